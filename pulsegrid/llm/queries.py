@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, minhash, secrets
+from pulsegrid.llm import chat, fingerprints, minhash, packing, secrets, sharding
 from pulsegrid.llm.store import documents
 
 
@@ -42,10 +42,29 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(documents(spark, sf_dir))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"))
+    placed = sharding.shard_rows(rows, F.col("key"), F.col("size"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return packing.pack(docs.select("doc_id", packing.length(F.col("text")).alias("tokens")), tokens=F.col("tokens")).drop("tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_secrets": op2_secrets,
     "op3_chat": op3_chat,
+    "op5_fingerprints": op5_fingerprints,
+    "op9_sharding": op9_sharding,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
