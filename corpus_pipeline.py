@@ -12,7 +12,10 @@ from pulsegrid.llm import stages
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", stages.drop_rejected),
     ("minhash near-dedup", stages.near_dedup),
+    ("secret scans", stages.redact_secrets),
+    ("packing", stages.pack),
 ]
 
 #: SQL cannot express the trained and sampled stages; tests hold the pipeline against brute force.

@@ -243,11 +243,10 @@ def _verify(batches: Iterator[pa.RecordBatch], least: list[int], numerator: int,
         yield _edges(_stars(ids, forest))
 
 
-def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """docs (doc_id, text) joined to members by doc_id; broadcast only below a checked number of rows."""
-    if members.count() <= SMALL_ROWS:
-        members = F.broadcast(members)
-    return docs.join(members, "doc_id")
+def bounded_broadcast(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few longs, to be broadcast if a count shows SMALL_ROWS at most, else to be shuffled as usual."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
 
 
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 5, miss: float = 1e-6, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
     clusters = cut(connected(links.union(wide)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
 
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("doc_id", "cluster", "size")
-    sets = cut(_with_texts(plain.where("doc_id IS NOT NULL"), sized).mapInArrow(lambda it: _sets(it, width), "doc_id long, shingle_set binary, cluster long, size long").where("length(shingle_set) > 0"))
+    sets = cut(plain.where("doc_id IS NOT NULL").join(bounded_broadcast(sized), "doc_id").mapInArrow(lambda it: _sets(it, width), "doc_id long, shingle_set binary, cluster long, size long").where("length(shingle_set) > 0"))
 
     blocks = F.ceil(F.col("size") / block).cast("long")
     home = F.pmod(F.xxhash64("doc_id"), blocks)

@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import minhash
-from pulsegrid.llm.store import shared_folder
+from pulsegrid.llm import minhash, packing, quality, secrets
+from pulsegrid.llm.store import documents, shared_folder
 
-__all__ = ["near_dedup", "shared_folder"]
+__all__ = ["drop_rejected", "near_dedup", "pack", "redact_secrets", "shared_folder"]
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards good labelled ones draws."""
+    return quality.keep_selected(docs.select(COLUMNS), documents(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; of its repeated rows all stay."""
     groups = minhash.near_duplicates(docs)
-    dropped = groups.where("NOT kept").select("doc_id").distinct()
+    dropped = minhash.bounded_broadcast(groups.where("NOT kept").select("doc_id").distinct())
     return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of every secret found."""
+    return secrets.redact(docs.select(COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place in a batch of its length bucket, without its text."""
+    lengths = docs.select("doc_id", packing.length(F.col("text")).alias("tokens"))
+    return packing.pack(lengths, tokens=F.col("tokens")).drop("tokens")
