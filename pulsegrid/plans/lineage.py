@@ -1,0 +1,16 @@
+"""Cutting lineage in loops, through the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` to ``spark.checkpoint.dir`` (a temporary folder only where that is unset, as in tests)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
