@@ -16,7 +16,7 @@ def _network(points: DataFrame, ways: DataFrame, profile: str, allow_emergency:
     """points: (id, lon, lat, tags); ways: (way_id, refs, tags)."""
     highway = roads.tag(F.col("tags"), "highway")
     kept = ways.where(roads.road_class_kept(highway, highways) & roads.way_accessible(F.col("tags"), allow_emergency))
-    refs = kept.select(F.explode("refs").cast("string").alias("node_id"))
+    refs = kept.select(F.explode(F.transform("refs", lambda r: r.cast("string"))).alias("node_id"))
     first = F.coalesce(F.when(F.length(roads.tag(F.col("tags"), "name")) > 0, roads.tag(F.col("tags"), "name")), roads.tag(F.col("tags"), "ref"))
     nodes = prune_orphans(points.dropDuplicates(["id"]).select(F.col("id").cast("string").alias("node_id"), first.alias("label"), "lon", "lat"), refs)
     pairs = geo.path_pairs(F.transform("refs", lambda r: r.cast("string")))
