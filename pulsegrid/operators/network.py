@@ -49,8 +49,10 @@ def _settle(per_origin: bool, max_cost: float | None) -> Callable[[pd.DataFrame,
         rows = []
         groups = labels.groupby("origin", sort=True) if per_origin else [(None, labels)]
         for _, own in groups:
+            if not own["fresh"].any():  # nothing new for this origin here
+                rows += zip(own["block"], own["origin"], own["node"], own["cost"], own["pred"], own["fresh"], strict=True)
+                continue
             best: dict[str, tuple] = {}
-            heap: list[tuple] = []
             for origin, node, cost, pred, fresh in zip(own["origin"], own["node"], own["cost"], own["pred"], own["fresh"], strict=True):
                 label = (cost, fresh, origin, pred if isinstance(pred, str) else "")
                 if node not in best or label < best[node]:
