@@ -108,24 +108,23 @@ def hazard_mutations(edges: DataFrame, nodes: DataFrame, hazards: DataFrame, exi
     """
     active = hazards.where("active")
     forward = edges_in_hazards(edges, nodes, active).join(active.drop("ring"), "hazard_id")
-    turn = F.dense_rank().over(Window.orderBy("hazard_id"))
-    turns = active.select("hazard_id").distinct().withColumn("turn", turn)  # hazards are few: one row each
-    forward = forward.join(turns, "hazard_id").select("src", "dst", "hazard_id", "turn", "severity", "speed_multiplier", "description", "expires_at", "active", F.lit(0).alias("back"))
+    forward = forward.select("src", "dst", "hazard_id", "severity", "speed_multiplier", "description", "expires_at", "active", F.lit(0).alias("back"))
     rows = forward
     if bidirectional:
         reverse = _known(forward.select(*[F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in forward.columns if c != "back"], F.lit(1).alias("back")), edges)
-        first = forward.groupBy("src", "dst").agg(F.min("turn").alias("_first"))
-        reverse = reverse.join(first, ["src", "dst"], "left").where(F.col("_first").isNull() | (F.col("_first") > F.col("turn"))).drop("_first")
+        first = forward.groupBy("src", "dst").agg(F.min("hazard_id").alias("_first"))
+        reverse = reverse.join(first, ["src", "dst"], "left").where(F.col("_first").isNull() | (F.col("_first") > F.col("hazard_id"))).drop("_first")
         if existing is not None:
             reverse = reverse.join(existing.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-        earliest = F.row_number().over(Window.partitionBy("src", "dst").orderBy("turn"))
+        earliest = F.row_number().over(Window.partitionBy("src", "dst").orderBy("hazard_id"))
         rows = forward.unionByName(reverse.withColumn("_n", earliest).where("_n = 1").drop("_n"))
     blocking = hazard_blocking(F.col("severity"), F.col("speed_multiplier"), F.col("active"))
+    turn = F.row_number().over(Window.partitionBy("src", "dst").orderBy("hazard_id"))  # only rows of one road are ever compared
     return rows.select(
         F.concat_ws("_", F.lit("haz"), "hazard_id", "src", "dst").alias("mutation_id"), "src", "dst", F.when(blocking, "road_closure").otherwise("speed_penalty").alias("mutation_type"), blocking.alias("blocked"),
         F.when(F.col("speed_multiplier") > 0, 1 / F.col("speed_multiplier")).otherwise(1.0).alias("cost_multiplier"), F.lit(None).cast("double").alias("cost_override"),
         F.coalesce(F.when(F.length("description") > 0, F.col("description")), F.concat_ws(" ", F.lit("Hazard"), "hazard_id")).alias("reason"),
-        (_time(now) if now is not None else F.lit(None).cast("timestamp_ntz")).alias("created_at"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), F.concat_ws("_", F.lit("hazard"), "hazard_id").alias("txn_id"), (F.lit(seq) + F.col("turn")).cast("long").alias("seq"),
+        (_time(now) if now is not None else F.lit(None).cast("timestamp_ntz")).alias("created_at"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), F.concat_ws("_", F.lit("hazard"), "hazard_id").alias("txn_id"), (F.lit(seq) + turn).cast("long").alias("seq"),
     )
 
 
