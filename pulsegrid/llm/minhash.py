@@ -299,12 +299,12 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
         exact = cut(exact)
         labelled = large.distinct().join(exact.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cluster", "doc_id", "size", F.coalesce("component", "doc_id").alias("label"))
         main = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        labelled = labelled.join(main, "cluster")
+        labelled = cut(labelled.join(bounded_broadcast(main), "cluster"))
         outside = labelled.where("label <> main")
         strangers = outside.groupBy("cluster").agg(F.count("*").alias("strangers"))
         lots = F.ceil(F.col("strangers") / block).cast("long")
         payload = sets.select("doc_id", "shingle_set")
-        known = labelled.join(strangers, "cluster").withColumn("lots", lots)
+        known = labelled.join(bounded_broadcast(strangers), "cluster").withColumn("lots", lots)
         lists = F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)
         at_home = known.select("cluster", home.alias("block"), F.explode(lists).alias("guests"), "doc_id", F.lit(0).alias("side"), "label")
         as_guests = known.where("label <> main").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("lots")).alias("guests"), "doc_id", F.lit(1).alias("side"), "label")
