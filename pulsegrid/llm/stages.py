@@ -10,24 +10,21 @@ from pulsegrid.llm.store import documents, shared_folder
 
 __all__ = ["drop_rejected", "near_dedup", "pack", "redact_secrets", "shared_folder"]
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling towards good labelled ones draws."""
-    return quality.keep_selected(docs.select(COLUMNS), documents(spark, sf_dir, "labels"))
+    return quality.keep_selected(docs, documents(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; of its repeated rows all stay."""
     groups = minhash.near_duplicates(docs)
     dropped = minhash.bounded_broadcast(groups.where("NOT kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret found."""
-    return secrets.redact(docs.select(COLUMNS))
+    return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
