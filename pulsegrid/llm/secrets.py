@@ -3,7 +3,7 @@
 Base kinds are regular expressions. The entropy kinds slide a window over candidate strings of each
 character class and keep the window's symbol counts and their sum of c*log2(c) up to date as one
 symbol leaves and one enters, so each step costs the same whatever the window's width. Candidates on
-the allow-list are suppressed.
+the allow-list and those that read as words or paths of words are suppressed.
 """
 
 from __future__ import annotations
@@ -47,19 +47,22 @@ class Alphabet:
     bits: float
 
 
+#: Of random keys of 20 symbols, 0.3 % of hexadecimal and 0.1 % of base64 ones stay below these bits.
 ALPHABETS = (
-    Alphabet("entropy_hex", "0123456789abcdef", r"(?<![A-Za-z0-9+/_=-])(?:[0-9a-f]{20,}|[0-9A-F]{20,})(?![A-Za-z0-9+/_=-])", 20, 3.0),
-    Alphabet("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.9),
+    Alphabet("entropy_hex", "0123456789abcdef", r"(?:(?<![A-Za-z0-9])|(?<=\b0[xX]))[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", 20, 2.8),
+    Alphabet("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.5),
 )
 
-#: Candidates that are no secrets: without digits or without letters, UUIDs, plain paths, alphabets, samples.
+#: Candidates that are no secrets: without letters, UUIDs, alphabets, samples. Words and paths of words are told by ``_words``.
 ALLOWED = (
-    r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^/?[A-Za-z0-9_-]+(/[A-Za-z0-9_-]+){2,}$",
     r"(?i)0123456789|abcdefghij|example",
 )
+#: What reads as words: whole segments (letters of one case or capitalised with up to two digits, or a number), then humps of
+#: segments without digits.
+SEGMENT = r"(?<![A-Za-z0-9])(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]+)(?![A-Za-z0-9])"
+HUMP = r"(?<![0-9][A-Za-z]{0,40})[A-Z]?[a-z]{3,}(?![A-Za-z]*[0-9])"
 
 
 def _located(text: Column, pattern: str, rank: int, group: int = 0, least: int = 1) -> Column:
@@ -106,6 +109,13 @@ def _entropy(alphabet: Alphabet, hit: Column) -> Column:
     return F.aggregate(pairs, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
+def _words(hit: Column) -> Column:
+    """Whether four fifths of the letters and digits read as words and no run of 8 others is left."""
+    left = F.regexp_replace(F.regexp_replace(hit, SEGMENT, ""), HUMP, "")
+    chars = lambda c: F.length(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
+    return (5 * chars(left) <= chars(hit)) & ~left.rlike("[A-Za-z0-9]{8}")
+
+
 def _scorer(alphabet: Alphabet):
     return lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), _entropy(alphabet, c["hit"]).alias("e"))
 
@@ -119,7 +129,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, text_col:
 
     Whole texts are scanned; a null or empty text has none. Base kinds come first among equal starts, in
     the order of BASE. An entropy span runs from the first to the last window of a candidate that reaches
-    its class's entropy, unless the candidate is on the allow-list or the span overlaps one found before.
+    its class's entropy, unless the candidate is on the allow-list or reads as words, or the span overlaps one found before.
     All other columns and repeated rows stay as they are; a column named secrets is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -129,7 +139,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, text_col:
         rows = rows.withColumn(kind.name, F.when(text.rlike(kind.hint), _plain(_located(text, kind.pattern, rank, kind.group, kind.least))).otherwise(none))
     rows = rows.withColumn("found", F.concat(*[k.name for k in BASE]))
     for rank, alphabet in enumerate(ALPHABETS, len(BASE)):
-        candidates = F.filter(_located(text, alphabet.pattern, rank), lambda c: ~F.greatest(*[c["hit"].rlike(a) for a in allowed], F.lit(False)))
+        candidates = F.filter(_located(text, alphabet.pattern, rank), lambda c: ~F.greatest(*[c["hit"].rlike(a) for a in allowed], _words(c["hit"]), F.lit(False)))
         scored = F.transform(candidates, _scorer(alphabet))
         spans = F.transform(F.filter(scored, lambda c: c["e"]["first"].isNotNull()), lambda c: F.struct((c["start"] + c["e"]["first"]).alias("start"), c["rank"].alias("rank"), (c["start"] + c["e"]["last"] + 1).alias("end")))
         rows = rows.withColumn(alphabet.name, F.when(text.rlike(alphabet.pattern), spans).otherwise(none))

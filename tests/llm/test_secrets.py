@@ -71,3 +71,35 @@ def test_query_digests(spark, sf_dir):
         said = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in spans) for k in range(3)]
+
+
+def test_entropy_finds_random_keys_of_every_class(spark):
+    import random
+
+    r = random.Random(3)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    either = lambda s: "".join(r.choice((c.upper(), c.lower())) for c in s)
+    hexes = lambda n: "".join(r.choices("0123456789ABCDEF", k=n))
+    slashed = lambda: "/".join("".join(r.choices(base64[:62], k=k)) for k in (12, 13, 13))
+    makers = {
+        "ENC_KEY=%s": lambda: hexes(32),
+        "id %s": lambda: either(hexes(32)),
+        "sk-%s": lambda: hexes(20),
+        "0x%s": lambda: hexes(32),
+        "path %s": slashed,
+        "letters %s": lambda: "".join(r.choices(base64[:52], k=20)),
+        "short %s": lambda: "".join(r.choices(base64, k=20)),
+        "long %s": lambda: "".join(r.choices(base64, k=40)),
+        "/srv/data/users/export/archive/%s": lambda: "".join(r.choices(base64[:62], k=32)),
+    }
+    rows = [(500 * k + i, frame % make()) for k, (frame, make) in enumerate(makers.items()) for i in range(500)]
+    missed = dict.fromkeys(makers, 0)
+    for x in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        missed[list(makers)[x.doc_id // 500]] += not x.secrets
+    assert {k: v for k, v in missed.items() if v > 10} == {}
+
+
+def test_words_and_paths_are_no_secrets(spark):
+    plain = ["/usr/local/lib2/python3/site-packages/numpy", "data/2023/11/28/part/00001/events", "ThisIsJustALongCamelCaseWordWithoutAnyDigit", "THE_QUICK_BROWN_FOX_JUMPS_V2", "very_long_function_name_over_the_lazy_dog_2", "einlichkeitverkeitach"]
+    df = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert [x.text for x in secrets.find_secrets(df).collect() if x.secrets] == []
