@@ -15,13 +15,15 @@ Stages, each a Spark job over rows:
    two passes: each block with a few documents common to all blocks, then each document outside the
    cluster's largest component against every block. No pair of different components goes untested.
 
-A pair at the threshold escapes all bands with probability under 1e-6 at the default settings.
+The number of bands follows from the threshold, so that a pair at it escapes all bands with probability ``miss``
+at most: 24 bands at 0.85, 35 at 0.8.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from functools import cache
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +34,33 @@ from pulsegrid.llm import hashing
 from pulsegrid.llm.components import connected
 from pulsegrid.llm.store import cut, partitions
 
-BANDS, ROWS, BATCH = 24, 5, 24
+ROWS, BATCH = 5, 24
 BLOCK, COMMON = 256, 16
 #: A side of a join is broadcast up to so many rows of two longs.
 SMALL_ROWS = 250_000
 U64 = hashing.U64
-_A, _B = hashing.stream(11, BANDS * ROWS) | U64(1), hashing.stream(12, BANDS * ROWS)
 _C = hashing.stream(13, 8) | U64(1)
 
 
-def least_matches(threshold: float, miss: float, hashes: int = BANDS * ROWS, step: int = BATCH) -> list[int]:
+def bands_needed(threshold: float, miss: float) -> int:
+    """The fewest bands that a pair at the threshold escapes with probability ``miss`` at most."""
+    agree = threshold**ROWS
+    return 1 if agree >= 1 else max(1, ceil(log(miss) / log(1 - agree)))
+
+
+@cache
+def _family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    return hashing.stream(11, hashes) | U64(1), hashing.stream(12, hashes)
+
+
+def least_matches(threshold: float, miss: float, hashes: int | None = None, step: int = BATCH) -> list[int]:
     """For each batch's end n: the fewest matches m at which P(similarity >= threshold | m of n) >= miss.
 
     With a uniform prior the posterior is Beta(m + 1, n - m + 1), whose upper tail is a binomial sum.
     """
     out = []
+    hashes = bands_needed(threshold, miss) * ROWS if hashes is None else hashes
+    step = min(step, hashes)
     for n in range(step, hashes + 1, step):
         tail, m = 0.0, -1
         while tail < miss:
@@ -72,11 +86,12 @@ def shingles(h: np.ndarray, places: np.ndarray, width: int) -> tuple[np.ndarray,
     return hashing.mix(raw), out
 
 
-def signatures(s: np.ndarray, places: np.ndarray) -> np.ndarray:
+def signatures(s: np.ndarray, places: np.ndarray, hashes: int) -> np.ndarray:
     """MinHash signatures (documents x hashes) of non-empty sets laid end to end."""
-    sig = np.empty((len(places) - 1, BANDS * ROWS), np.uint32)
-    for i in range(BANDS * ROWS):
-        sig[:, i] = np.minimum.reduceat((s * _A[i] + _B[i]) >> U64(32), places[:-1])
+    sig = np.empty((len(places) - 1, hashes), np.uint32)
+    a, b = _family(hashes)
+    for i in range(hashes):
+        sig[:, i] = np.minimum.reduceat((s * a[i] + b[i]) >> U64(32), places[:-1])
     return sig
 
 
@@ -86,7 +101,7 @@ def _keys(h: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(hashing.mix(h + rank * _C[5 + i]), places[:-1]) for i in range(2)], 1)
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], width: int, n_bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for at, n, (h,), places in hashing.grouped(batch.column(1), hashing.words):
@@ -98,14 +113,14 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
                 s, to = shingles(h, dense, width)
                 for k, i in enumerate(full):
                     sizes[i] = len(np.unique(s[to[k] : to[k + 1]]))
-                sig, key = signatures(s, to), _keys(h, dense)
-                band = np.empty((len(full), BANDS), U64)
-                for b in range(BANDS):
+                sig, key = signatures(s, to, n_bands * ROWS), _keys(h, dense)
+                band = np.empty((len(full), n_bands), U64)
+                for b in range(n_bands):
                     rows = sig[:, b * ROWS : (b + 1) * ROWS].astype(U64)
                     band[:, b] = hashing.mix((hashing.mix(rows + _C[:ROWS]) * _C[:ROWS]).sum(1, dtype=U64) + U64(b))
                 for k, i in enumerate(full):
                     keys[i], sigs[i], bands[i] = key[k].tobytes(), sig[k].tobytes(), band[k].view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(keys, pa.binary()), pa.array(sizes), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "words_key", "n_shingles", "signature", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(keys, pa.binary()), pa.array(sizes), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column(2).slice(at, n)], ["doc_id", "words_key", "n_shingles", "signature", "bands", "text_key"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -209,7 +224,7 @@ def _prune(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.R
     yield _edges((a, b))
 
 
-def _verify(batches: Iterator[pa.RecordBatch], least: list[int], numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], least: list[int], hashes: int, numerator: int, denominator: int) -> Iterator[pa.RecordBatch]:
     """Exact links of a block as stars; columns: cluster, block, block of guests, doc_id, side, label, shingle_set.
 
     side 0 rows are compared with each other and with side 1, side 1 rows with each other too; rows that
@@ -223,7 +238,7 @@ def _verify(batches: Iterator[pa.RecordBatch], least: list[int], numerator: int,
         blobs = table.column(6).take(pa.array(keep)).to_pylist()
         sets = [np.frombuffer(x, U64) for x in blobs]
         places = np.append(0, np.cumsum([len(s) for s in sets]))
-        sig = signatures(np.concatenate(sets), places)
+        sig = signatures(np.concatenate(sets), places, hashes)
         forest = Forest(len(ids))
         known: dict[int, int] = {}
         for i, x in enumerate(label):
@@ -249,7 +264,7 @@ def bounded_broadcast(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL_ROWS else rows
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 5, miss: float = 1e-6, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), width: int = 5, miss: float = 1e-6, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", text_key: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set holds its distinct
@@ -259,16 +274,28 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
 
     Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id have a
     null component_id, link with nothing and are kept. Rows repeated with one doc_id and text get the
-    same result; a doc_id with several texts gets a result for each. Other columns of ``docs`` are
-    not read, and an empty table gives an empty one.
+    same result; a doc_id with several texts gets a result for each, and its texts link apart. With
+    ``text_key`` the rows also have the xxhash64 of their text. Other columns of ``docs`` are not read,
+    and an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    n_bands = bands_needed(threshold[0] / threshold[1], miss)
     least = least_matches(threshold[0] / threshold[1], miss)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = cut(plain.mapInArrow(lambda it: _describe(it, width), "doc_id long, words_key binary, n_shingles long, signature binary, bands array<long>"))
+    text = F.col(text_col).cast("string")
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    described = cut(plain.mapInArrow(lambda it: _describe(it, width, n_bands), "doc_id long, words_key binary, n_shingles long, signature binary, bands array<long>, text_key long"))
 
     usable = described.where("words_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = cut(usable.groupBy("words_key").agg(F.min_by(F.struct("doc_id", "signature", "bands"), "doc_id").alias("r")).select("words_key", "r.*"))
+    named = F.struct("doc_id", "text_key")
+    reps = cut(usable.groupBy("words_key").agg(F.min_by(F.struct("doc_id", "text_key", "signature", "bands"), named).alias("r")).select("words_key", "r.*"))
+    # A document goes by its doc_id; the texts of a doc_id that has several go by hashes of their words.
+    several = bounded_broadcast(usable.groupBy("doc_id").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("several")))
+    apart = not several.isEmpty()
+    origin = None
+    if apart:
+        node = F.when(F.col("several"), F.xxhash64("words_key")).otherwise(F.col("doc_id"))
+        reps = cut(reps.join(several, "doc_id", "left").select("words_key", node.alias("doc_id"), "signature", "bands", F.col("doc_id").alias("own"), "text_key"))
+        origin = reps.select("doc_id", "own", F.col("text_key").alias("own_key"))
 
     # Buckets with the same members are folded; members are told by a count and two xors.
     banded = reps.select(F.explode("bands").alias("bucket"), "doc_id")
@@ -282,7 +309,14 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
     clusters = cut(connected(links.union(wide)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")))
 
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("doc_id", "cluster", "size")
-    sets = cut(plain.where("doc_id IS NOT NULL").join(bounded_broadcast(sized), "doc_id").mapInArrow(lambda it: _sets(it, width), "doc_id long, shingle_set binary, cluster long, size long").where("length(shingle_set) > 0"))
+    texts = plain.where("doc_id IS NOT NULL")
+    if apart:
+        sized = sized.join(origin, "doc_id")
+        met = (F.col("doc_id") == F.col("own")) & (F.col("text_key") == F.col("own_key"))
+        texts = texts.join(bounded_broadcast(sized.withColumnRenamed("doc_id", "node")), met).drop("doc_id").withColumnRenamed("node", "doc_id")
+    else:
+        texts = texts.join(bounded_broadcast(sized), "doc_id")
+    sets = cut(texts.select("doc_id", "text", "cluster", "size").mapInArrow(lambda it: _sets(it, width), "doc_id long, shingle_set binary, cluster long, size long").where("length(shingle_set) > 0"))
 
     blocks = F.ceil(F.col("size") / block).cast("long")
     home = F.pmod(F.xxhash64("doc_id"), blocks)
@@ -291,7 +325,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
 
     def verified(rows: DataFrame) -> DataFrame:
         keys = ["cluster", "block", "guests"]
-        return rows.repartition(n_parts, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _verify(it, least, *threshold), "a long, b long")
+        return rows.repartition(n_parts, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _verify(it, least, n_bands * ROWS, *threshold), "a long, b long")
 
     exact = connected(verified(homes.union(common)))
     large = sets.where(F.col("size") > block).select("doc_id", "cluster", "size")
@@ -311,7 +345,14 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
         second = verified(at_home.union(as_guests).join(payload, "doc_id").select("cluster", "block", "guests", "doc_id", "side", "label", "shingle_set"))
         exact = connected(second.union(exact.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-    places = reps.select("words_key", F.col("doc_id").alias("rep")).join(exact.select(F.col("node").alias("rep"), "component"), "rep", "left").select("words_key", F.coalesce("component", "rep").alias("found"))
-    out = described.select("doc_id", "words_key", "n_shingles").join(places, "words_key", "left")
+    if apart:  # components by their smallest doc_id
+        exact = cut(exact)
+        smallest = exact.join(origin.select(F.col("doc_id").alias("node"), "own"), "node").groupBy("component").agg(F.min("own").alias("least_own"))
+        exact = exact.join(smallest, "component").select("node", F.col("least_own").alias("component"))
+        alone = F.col("own")
+    else:
+        alone = F.col("rep")
+    places = reps.select("words_key", F.col("doc_id").alias("rep"), *(["own"] if apart else [])).join(exact.select(F.col("node").alias("rep"), "component"), "rep", "left").select("words_key", F.coalesce("component", alone).alias("found"))
+    out = described.select("doc_id", "words_key", "n_shingles", "text_key").join(places, "words_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["text_key"] if text_key else []))

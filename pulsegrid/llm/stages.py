@@ -10,16 +10,23 @@ from pulsegrid.llm.store import documents, shared_folder
 
 __all__ = ["drop_rejected", "near_dedup", "pack", "redact_secrets", "shared_folder"]
 
+#: Similarity of word shingles from which documents are near copies.
+NEAR = (80, 100)
+
+
 def drop_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling towards good labelled ones draws."""
     return quality.keep_selected(docs, documents(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; of its repeated rows all stay."""
-    groups = minhash.near_duplicates(docs)
-    dropped = minhash.bounded_broadcast(groups.where("NOT kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of similarity 0.8 or more, the one with the smallest doc_id; of its repeated rows all stay.
+
+    Of a doc_id with several texts only those that are copies go.
+    """
+    groups = minhash.near_duplicates(docs, threshold=NEAR, text_key=True)
+    dropped = minhash.bounded_broadcast(groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    return docs.join(dropped, (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

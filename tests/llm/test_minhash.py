@@ -72,3 +72,28 @@ def test_repeats_null_ids_and_other_columns(spark):
 def test_posterior_bounds_rise_with_the_batches():
     least = minhash.least_matches(0.85, 1e-6)
     assert least == sorted(least) and 0 < least[0] < 24 * 0.85 and least[-1] < 120 * 0.85
+
+
+def test_bands_follow_from_the_threshold():
+    for t in (0.5, 0.8, 0.85, 0.95):
+        n = minhash.bands_needed(t, 1e-6)
+        assert (1 - t**minhash.ROWS) ** n <= 1e-6 < (1 - t**minhash.ROWS) ** (n - 1)
+
+
+def test_pairs_between_080_and_085_and_texts_of_one_id(spark):
+    from pulsegrid.llm import stages
+
+    rows = []
+    for k in range(300):  # 104 words, 100 runs; 9 or 10 other words at an end leave 91 or 90 of 109 or 110: 0.83 and 0.82
+        base = [f"w{k}_{i}" for i in range(104)]
+        other = base[: -9 - k % 2] + [f"x{k}_{i}" for i in range(9 + k % 2)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    near = " ".join(f"w0_{i}" for i in range(100)) + " z z1 z2 z3"
+    rows += [(9001, "a text of its own that nothing resembles"), (9001, rows[0][1]), (9002, near), (9002, "another clean text under an id used twice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    single = stages.near_dedup(spark, df, "").collect()
+    want = [r for r in rows if r[0] < 9000 and r[0] % 2 == 0] + [rows[-4], rows[-1]]
+    assert sorted(map(tuple, single)) == sorted(want)
+    out = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(df, threshold=(80, 100)).collect()}
+    assert out[9002, 100] == 0 and out[9001, 100] == 0 and {c for (i, n), c in out.items() if i > 9000 and n < 100} == {9001, 9002}
+    assert all(c == c0 for c, c0 in ((out[2 * k + 1, 100], 2 * k) for k in range(300)))
