@@ -3,9 +3,9 @@
 Tokens (words and runs of marks, hashed to VOCABULARY ids) are predicted from the WINDOW tokens on each
 side. The network adds an embedding for each neighbour and place, passes the sum through tanh, and
 predicts the token's class and then its member of the class; output biases start at the corpus's own
-counts. Training masks a share of the positions of every document. Each task trains on its partition
-and the weights are averaged by the number of masked tokens, so what is gathered grows with the corpus
-and nothing of it is sampled. A document's score is the sum over all positions of the log probability
+counts. The inputs never hold the token itself, so every position of every document is a target in each
+round. Each task trains on its partition and the weights are averaged by the number of its tokens. What is
+gathered has a fixed size: VOCABULARY counts and the network's weights. A document's score is the sum over all positions of the log probability
 of its token given both sides (Wang and Cho, 2019; Salazar et al., 2020).
 """
 
@@ -23,8 +23,8 @@ from pulsegrid.llm.hashing import U64
 
 CLASSES, MEMBERS, WINDOW, DIM = 32, 64, 3, 16
 VOCABULARY = CLASSES * MEMBERS
-#: Share of positions masked in a round, learning rate, tokens in a step, and weights in one averaged block.
-MASKED, RATE, STEP, BLOCK = 0.15, 0.15, 1024, 2048
+#: Learning rate, tokens in a step, and weights in one averaged block.
+RATE, STEP, BLOCK = 0.15, 1024, 2048
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
@@ -133,6 +133,17 @@ def _mean(pdf):
     return pd.DataFrame({"block": [pdf["block"].iloc[0]], "weights": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
 
 
+def fit(batches: Iterator[pa.RecordBatch], net: Network) -> int:
+    """Trains ``net`` on every position of the texts in column 0, and tells how many there were."""
+    past, n = Network(np.zeros_like(net.flat)), 0
+    for batch in batches:
+        for _, _, token, near, _ in sequences(batch.column(0)):
+            for lo in range(0, len(token), STEP):
+                net.learn(near[lo : lo + STEP], token[lo : lo + STEP], past)
+            n += len(token)
+    return n
+
+
 def train(docs: DataFrame, rounds: int = 1) -> np.ndarray:
     """Weights trained on the texts of all of ``docs``; of an empty table, the untrained ones."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -140,26 +151,17 @@ def train(docs: DataFrame, rounds: int = 1) -> np.ndarray:
     for token, n in texts.mapInArrow(_counts, "token int, n long").groupBy("token").agg(F.sum("n")).collect():  # at most VOCABULARY rows
         counts[token] = n
     weights = Network.start(counts).flat
-    for turn in range(rounds):
+    for _ in range(rounds):
         shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-        def fit(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             net = Network(shared.value.copy())
-            past, n = Network(np.zeros_like(net.flat)), 0
-            for batch in batches:
-                for _, _, token, near, places in sequences(batch.column(0)):
-                    rank = np.arange(len(token)) - np.repeat(places[:-1], np.diff(places))
-                    draw = hashing.mix(token.astype(U64) * U64(8191) + rank.astype(U64) * U64(31) + U64(turn)) >> U64(11)
-                    masked = np.flatnonzero(draw < U64(int(MASKED * (1 << 53))))
-                    for lo in range(0, len(masked), STEP):
-                        own = masked[lo : lo + STEP]
-                        net.learn(near[own], token[own], past)
-                    n += len(masked)
+            n = fit(batches, net)
             if n:
                 parts = [net.flat[lo : lo + BLOCK].tobytes() for lo in range(0, len(net.flat), BLOCK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "weights"])
 
-        fitted = texts.mapInArrow(fit, "block int, n long, weights binary").groupBy("block").applyInPandas(_mean, "block int, weights binary").collect()
+        fitted = texts.mapInArrow(run, "block int, n long, weights binary").groupBy("block").applyInPandas(_mean, "block int, weights binary").collect()
         if fitted:  # as many rows as the network has blocks
             weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(fitted, key=lambda r: r["block"])])
     return weights

@@ -72,3 +72,14 @@ def test_scores_are_sums_of_conditionals_and_edge_cases(spark):
     assert out[1].mean_log_probability is None and out[2].n_tokens == 0
     assert masked_lm.pseudo_likelihood(df.limit(0)).collect() == []
     assert len(masked_lm.pseudo_likelihood(df.union(df)).collect()) == 10
+
+
+def test_every_position_is_a_target(monkeypatch):
+    texts = ["one two three, four. " * 700, None, "one two three", ""]
+    seen = []
+    monkeypatch.setattr(Network, "learn", lambda self, near, token, past: seen.append((near, token)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    n = masked_lm.fit(iter([batch]), net())
+    (_, _, token, near, _), = masked_lm.sequences(pa.array(texts))
+    assert n == len(token) > 4000 and max(len(t) for _, t in seen) <= masked_lm.STEP
+    assert np.concatenate([t for _, t in seen]).tolist() == token.tolist() and (np.concatenate([k for k, _ in seen]) == near).all()
