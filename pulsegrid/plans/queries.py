@@ -403,6 +403,13 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
 
 
+@query()
+def masked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``masked_documents`` over every document, whatever its language or without one."""
+    masked = text.mask_pii(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
+
+
 _HITS = [f"regexp_matches(l, '{r[0]}')" for r in rules.REPORT_RULES]
 _N_TYPES = " + ".join(f"CAST({h} AS INT)" for h in _HITS)
 _FIRST = "CASE " + " ".join(f"WHEN {h} THEN '{r[1]}'" for h, r in zip(_HITS, rules.REPORT_RULES, strict=True)) + " END"
