@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import geo, text
 from pulsegrid.operators import dispatch, network, overlay, spatial, tracking
 from pulsegrid.plans.lineage import shared_folder
-from pulsegrid.plans.queries import _LATEST_SQL, _WALK, NOW, _apart, _at, query
+from pulsegrid.plans.queries import _LATEST_SQL, _WALK, NOW, _apart, _at, _blocks, query
 from pulsegrid.plans.views import table, view
 from pulsegrid.sources import feeds as feed_sources
 from pulsegrid.streaming import live
@@ -88,6 +88,39 @@ def nearest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.top_units(etas, 2).select("incident_id", "apparatus_type", "unit_id", "eta_s", "rank")
 
 
+# --- whole searches: from all depots or units, without a bound; SQL would not end
+
+@query()
+def depot_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, depots = _at(spark, sf_dir, "nodes", "edges", "depots")
+    return network.shortest_paths(edges, depots.select(F.col("depot").alias("source")), blocks=_blocks(nodes, 25)).select("source", "node", "cost")
+
+
+@query()
+def whole_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, depots = _at(spark, sf_dir, "nodes", "edges", "depots")
+    return network.catchment(edges, depots, nodes, blocks=_blocks(nodes, 25))
+
+
+@query()
+def depot_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges, depots = _at(spark, sf_dir, "nodes", "edges", "depots")
+    found = network.routes(network.shortest_paths(edges, depots.select(F.col("depot").alias("source")), blocks=_blocks(nodes, 25)))
+    return found.select("source", "node", "cost", F.array_join("path", ",").alias("path"))
+
+
+@query()
+def ranked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest available units of each type for every incident; without a way last, with an infinite ETA; without units null."""
+    nodes, edges, incidents, units = _at(spark, sf_dir, "nodes", "edges", "incidents", "units")
+    free = dispatch.units_available(units)
+    calls = incidents.select(F.col("node_id").alias("incident_id"), "node_id").distinct()
+    asked = calls.crossJoin(F.broadcast(free.agg(F.collect_set("apparatus_type").alias("required_apparatus"))))
+    near = dispatch.top_units(dispatch.unit_etas(edges, asked, free, _blocks(nodes, 25)), 2)
+    near = near.select(F.col("incident_id").alias("node_id"), "apparatus_type", "unit_id", "eta_s", "reachable", "rank")
+    return incidents.select("incident_id", "node_id").join(near, "node_id", "left").select("incident_id", "apparatus_type", "unit_id", "eta_s", "reachable", "rank")
+
+
 # --- overlays
 
 @query("SELECT src, dst, mutation_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY seq DESC) AS rn FROM mutations) WHERE rn = 1")
