@@ -3,7 +3,7 @@
 Each paragraph is hashed to a wide vector; a document's fingerprint is the sum of its paragraphs'
 vectors modulo powers of two (Bellare and Micciancio's AdHash, as in LtHash). So it does not depend
 on the paragraphs' order, and inserting or deleting one adds or subtracts its vector. The vector has
-SUMS lanes modulo 2^32, which decide equality, and SIGNS lanes of +-1 modulo 2^16, from whose squared
+SUMS lanes modulo 2^32, which decide equality, and SIGNS lanes of +-1 modulo 2^32, from whose squared
 differences the size of the symmetric difference is estimated (Alon, Matias and Szegedy).
 """
 
@@ -22,7 +22,7 @@ from pulsegrid.llm.ranges import position
 from pulsegrid.llm.store import partitions
 
 SUMS, SIGNS = 8, 128
-WIDTH = SUMS * 4 + SIGNS * 2
+WIDTH = SUMS * 4 + SIGNS * 4
 #: A paragraph ends at a line break, or at a sentence's end before white space, so that one-line texts have several.
 BREAK = re.compile(r"(?<=[.!?;|])\s+|\n+")
 
@@ -39,18 +39,18 @@ def fingerprint(parts: Iterable[str]) -> bytes:
     rows = np.frombuffer(digests, np.uint8).reshape(-1, SUMS * 4 + SIGNS // 8)
     sums = np.ascontiguousarray(rows[:, : SUMS * 4]).view("<u4").sum(0, dtype=np.uint32)
     ones = np.unpackbits(rows[:, SUMS * 4 :], axis=1).sum(0, dtype=np.int64)
-    return sums.astype("<u4").tobytes() + (2 * ones - len(rows)).astype("<i2").tobytes()
+    return sums.astype("<u4").tobytes() + (2 * ones - len(rows)).astype("<i4").tobytes()
 
 
 def _lanes(mark: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(mark[: SUMS * 4], "<u4"), np.frombuffer(mark[SUMS * 4 :], "<i2")
+    return np.frombuffer(mark[: SUMS * 4], "<u4"), np.frombuffer(mark[SUMS * 4 :], "<i4")
 
 
 def insert(mark: bytes, paragraph: str, times: int = 1) -> bytes:
     """The fingerprint with a paragraph more (or, with times = -1, one less)."""
     sums, signs = _lanes(mark)
     more, ones = _lanes(fingerprint([paragraph]))
-    return (sums + more * np.uint32(times % (1 << 32))).astype("<u4").tobytes() + (signs + ones * np.int16(times)).astype("<i2").tobytes()
+    return (sums + more * np.uint32(times % (1 << 32))).astype("<u4").tobytes() + (signs + ones * np.int32(times)).astype("<i4").tobytes()
 
 
 def delete(mark: bytes, paragraph: str) -> bytes:

@@ -56,3 +56,12 @@ def test_query_equals_brute_force(spark, sf_dir):
     out = [tuple(r) for r in queries.op5_fingerprints(spark, sf_dir).collect()]
     assert sorted(out, key=str) == brute(docs)
     assert sum(r[5] for r in out) > 2 * sum(r[6] for r in out)
+
+
+def test_likeness_of_many_equal_lines():
+    from pulsegrid.llm import fingerprints as own
+
+    full, half = own.fingerprint(["a line"] * 70_000), own.fingerprint(["a line"] * 35_000)
+    assert len(full) == own.WIDTH
+    assert abs(own.likeness(full, half) - 0.8) < 1e-9
+    assert own.insert(half, "a line", 35_000) == full and own.insert(full, "a line", -35_000) == half
