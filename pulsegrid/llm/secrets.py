@@ -2,18 +2,27 @@
 
 Base kinds are regular expressions. The entropy kinds slide a window over candidate strings of each
 character class and keep the window's symbol counts and their sum of c*log2(c) up to date as one
-symbol leaves and one enters, so each step costs the same whatever the window's width. Candidates on
-the allow-list and those that read as words or paths of words are suppressed.
+symbol leaves and one enters; a string holds one character for each count, so a step rewrites two of them
+whatever the window's width. Candidates on the allow-list and those that read as words or paths of words are
+suppressed. All patterns are free of repeated groups, which Java matches recursively, and every step's
+time is near linear in the text and in the number of its matches.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.arrays import let, offsets
+
 SPAN = "array<struct<start:long,rank:int,end:long>>"
+#: Symbols of a candidate whose codes are in memory at once; neighbouring pieces share a window less one symbol.
+PIECE = 1 << 16
+#: Stand-ins for what was found, of which a text that follows Unicode holds none.
+NONCHARACTERS = ("﷐", "﷑", "﷒", "﷓")
 
 
 @dataclass(frozen=True)
@@ -49,7 +58,7 @@ class Alphabet:
 
 #: Of random keys of 20 symbols, 0.3 % of hexadecimal and 0.1 % of base64 ones stay below these bits.
 ALPHABETS = (
-    Alphabet("entropy_hex", "0123456789abcdef", r"(?:(?<![A-Za-z0-9])|(?<=\b0[xX]))[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", 20, 2.8),
+    Alphabet("entropy_hex", "0123456789abcdef", r"(?:(?<![A-Za-z0-9])|(?<=\b0[xX]))[0-9A-Fa-f]{20,}+(?![A-Za-z0-9])", 20, 2.8),
     Alphabet("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", r"[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.5),
 )
 
@@ -61,93 +70,136 @@ ALLOWED = (
 )
 #: What reads as words: whole segments (letters of one case or capitalised with up to two digits, or a number), then humps of
 #: segments without digits.
-SEGMENT = r"(?<![A-Za-z0-9])(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]+)(?![A-Za-z0-9])"
-HUMP = r"(?<![0-9][A-Za-z]{0,40})[A-Z]?[a-z]{3,}(?![A-Za-z]*[0-9])"
+SEGMENT = r"(?<![A-Za-z0-9])(?:(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,2}|[0-9]++)(?![A-Za-z0-9])"
+LETTERS, DIGITS = r"(?<![A-Za-z0-9])[A-Za-z]++(?![A-Za-z0-9])", r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+"
+HUMP = r"[A-Z]?[a-z]{3,}+"
 
 
-def _located(text: Column, pattern: str, rank: int, group: int = 0, least: int = 1) -> Column:
-    """Spans (with the matched string) of a pattern's matches, from the lengths of what lies between them."""
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,hit:string>>")
+def _matches(text: Column, pattern: str, group: int = 0, least: int = 1) -> Column:
+    """(gap, hit, keep) for each match of a pattern and what lies before it; the last gap has no hit."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"), parts.alias("part"))
+    return F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), (F.coalesce(F.length(x["part"]), F.lit(0)) >= least).alias("keep")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["hit"].alias("hit"))
-        keep = x["hit"].isNotNull() & (F.length(x["part"]) >= least)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return F.aggregate(found, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+def _placed(matches: Column) -> Column:
+    """(start, end, hit) of the matches to keep, from the lengths of what lies between them."""
 
+    def placed(m: Column) -> Column:
+        starts = offsets(F.transform(m, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))))
+        both = F.zip_with(m, starts, lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), x["keep"].alias("keep")))
+        return F.filter(both, lambda x: x["keep"])
 
-def _entropy(alphabet: Alphabet, hit: Column) -> Column:
-    """(first, last) position of the windows that reach the class's entropy, or nulls."""
+    return let(matches, placed)
+
+
+def _masked(matches: Column, fill: Column) -> Column:
+    """The text with as many ``fill`` characters in place of each match to keep."""
+    return F.array_join(F.transform(matches, lambda x: F.concat(x["gap"], F.when(x["keep"], F.repeat(fill, F.length(x["hit"]))).otherwise(F.coalesce(x["hit"], F.lit(""))))), "")
+
+
+def _window(alphabet: Alphabet, piece: Column) -> Column:
+    """(first, last) position in a piece of the windows that reach the class's entropy, or nulls."""
     w = alphabet.window
-    codes = F.transform(F.split(hit if alphabet.symbols.lower() != alphabet.symbols else F.lower(hit), ""), lambda c: F.instr(F.lit(alphabet.symbols), c))
-    weight = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet.symbols) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    gain = F.array(*[F.lit((c + 1) * log2(c + 1) - (c * log2(c) if c else 0.0)) for c in range(w)])
+    codes = F.transform(F.split(piece, ""), lambda c: F.instr(F.lit(alphabet.symbols), c))
+    start = F.struct(F.repeat(F.lit("0"), F.lit(len(alphabet.symbols) + 1)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def slide(acc: Column, pair: Column) -> Column:
-        old, new = pair["old"], pair["new"]
-        count = lambda code: F.element_at(acc["counts"], code + 1)
-        moved = old.isNull() | (old != new)
-        left = F.when(moved & old.isNotNull(), weight(count(old) - 1) - weight(count(old))).otherwise(F.lit(0.0))
-        entered = F.when(moved, weight(count(new) + 1) - weight(count(new))).otherwise(F.lit(0.0))
-        total = acc["sum"] + left + entered
-        counts = F.transform(acc["counts"], lambda n, i: n + (i == new).cast("int") - F.coalesce((i == old).cast("int"), F.lit(0)))
-        passed = (acc["at"] >= w - 1) & (F.log2(F.lit(float(w))) - total / w >= alphabet.bits)
+        old, new = pair["old"], pair["new"]  # old is 0 until the window is full
+        count = lambda code: F.ascii(F.substring(acc["counts"], code + 1, F.lit(1))) - 48
+        left = F.when(old > 0, -F.element_at(gain, count(old))).otherwise(F.lit(0.0))
+        total = acc["sum"] + left + F.element_at(gain, count(new) + 1)
+        fewer = F.when(old > 0, F.overlay(acc["counts"], F.char(count(old) + 47), old + 1, F.lit(1))).otherwise(acc["counts"])
+        counts = F.overlay(fewer, F.char(count(new) + 49), new + 1, F.lit(1))
+        moved = old != new
         return F.struct(
             F.when(moved, counts).otherwise(acc["counts"]).alias("counts"),
-            total.alias("sum"),
+            F.when(moved, total).otherwise(acc["sum"]).alias("sum"),
             (acc["at"] + 1).alias("at"),
-            F.when(passed, F.coalesce(acc["first"], acc["at"] - (w - 1))).otherwise(acc["first"]).alias("first"),
-            F.when(passed, acc["at"]).otherwise(acc["last"]).alias("last"),
+            *ends(acc),
         )
 
-    before = F.concat(F.array_repeat(F.lit(None).cast("int"), w), codes)
-    pairs = F.zip_with(codes, F.slice(before, F.lit(1), F.size(codes)), lambda new, old: F.struct(new.alias("new"), old.alias("old")))
-    return F.aggregate(pairs, start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    def ends(acc: Column) -> tuple[Column, Column]:  # of the symbols so far
+        passed = (acc["at"] >= w) & (acc["sum"] <= w * (log2(w) - alphabet.bits))
+        return F.when(passed, F.coalesce(acc["first"], acc["at"] - w)).otherwise(acc["first"]).alias("first"), F.when(passed, acc["at"] - 1).otherwise(acc["last"]).alias("last")
+
+    def slid(c: Column) -> Column:
+        before = F.concat(F.array_repeat(F.lit(0), w), F.slice(c, F.lit(1), F.greatest(F.size(c) - w, F.lit(0))))
+        pairs = F.zip_with(c, before, lambda new, old: F.struct(new.alias("new"), old.alias("old")))
+        return F.aggregate(pairs, start, slide, lambda acc: F.struct(*ends(acc)))
+
+    return let(codes, slid)
+
+
+def _entropy(alphabet: Alphabet, hit: Column) -> Column:
+    """(first, last) position of a candidate's windows that reach the class's entropy, or nulls; long candidates go in pieces."""
+
+    def pieces(h: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(h) - alphabet.window, F.lit(0)), F.lit(PIECE))
+        each = lambda at: let(_window(alphabet, F.substring(h, at + 1, F.lit(PIECE + alphabet.window - 1))), lambda r: F.struct((at + r["first"]).alias("first"), (at + r["last"]).alias("last")))
+        found = lambda p: F.struct(F.array_min(F.transform(p, lambda r: r["first"])).alias("first"), F.array_max(F.transform(p, lambda r: r["last"])).alias("last"))
+        return let(F.transform(starts, each), found)
+
+    return let(hit if alphabet.symbols.lower() != alphabet.symbols else F.lower(hit), pieces)
 
 
 def _words(hit: Column) -> Column:
     """Whether four fifths of the letters and digits read as words and no run of 8 others is left."""
-    left = F.regexp_replace(F.regexp_replace(hit, SEGMENT, ""), HUMP, "")
     chars = lambda c: F.length(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    return (5 * chars(left) <= chars(hit)) & ~left.rlike("[A-Za-z0-9]{8}")
+    parts = lambda left: F.struct(F.regexp_replace(left, LETTERS, "").alias("mixed"), F.regexp_replace(F.regexp_replace(left, DIGITS, ""), HUMP, "").alias("plain"))
+    few = lambda p: (5 * (chars(p["mixed"]) + chars(p["plain"])) <= chars(hit)) & ~p["mixed"].rlike("[A-Za-z0-9]{8}") & ~p["plain"].rlike("[A-Za-z0-9]{8}")
+    return let(let(F.regexp_replace(hit, SEGMENT, ""), parts), few)
+
 
+def _told(alphabet: Alphabet, matches: Column, allowed: tuple[str, ...]) -> Column:
+    """The candidates with their windows' ends; those on the allow-list, of words or of low entropy are not kept."""
+    known = lambda hit: F.greatest(*[hit.rlike(a) for a in allowed], _words(hit), F.lit(False))
+    none = F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    ends = F.transform(matches, lambda x: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.when(x["keep"] & ~known(x["hit"]), _entropy(alphabet, x["hit"])).otherwise(none).alias("e")))
 
-def _scorer(alphabet: Alphabet):
-    return lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), _entropy(alphabet, c["hit"]).alias("e"))
+    def cut(x: Column) -> Column:  # what lies before the first window belongs to the gap, what follows the last one to a match not kept
+        first, last = x["e"]["first"], x["e"]["last"]
+        inner = F.struct(F.concat(x["gap"], F.substring(x["hit"], F.lit(1), first)).alias("gap"), F.substring(x["hit"], first + 1, last + 1 - first).alias("hit"), F.lit(True).alias("keep"))
+        rest = F.struct(F.lit("").alias("gap"), F.substring(x["hit"], last + 2, F.length(x["hit"])).alias("hit"), F.lit(False).alias("keep"))
+        return F.when(first.isNotNull(), F.array(inner, rest)).otherwise(F.array(F.struct(x["gap"].alias("gap"), F.coalesce(x["hit"], F.lit("")).alias("hit"), F.lit(False).alias("keep"))))
 
+    return F.flatten(F.transform(ends, cut))
 
-def _plain(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
+
+def _scan(rows: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """``rows`` (row, text, fill) with ``found``, the sorted spans, and ``masked``, the text with ``fill`` over all of them."""
+    none = F.array().cast(SPAN)
+    text, masked = F.col("text"), F.col("masked")
+    spans = lambda matches, rank: F.transform(_placed(matches), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end")))
+    rows = rows.withColumn("masked", text)
+    for rank, kind in enumerate(BASE):
+        found = _matches(text, kind.pattern, kind.group, kind.least)
+        rows = rows.withColumn(kind.name, F.when(text.rlike(kind.hint), spans(found, rank)).otherwise(none))
+        rows = rows.withColumn("masked", F.when(F.size(kind.name) > 0, _masked(_matches(masked, kind.pattern, kind.group, kind.least), F.col("fill"))).otherwise(masked))
+    for rank, alphabet in enumerate(ALPHABETS, len(BASE)):
+        told = F.when(masked.rlike(alphabet.pattern), _told(alphabet, _matches(masked, alphabet.pattern), allowed))
+        rows = rows.withColumn("told", told)
+        hit = F.exists("told", lambda x: x["keep"])
+        rows = rows.withColumn(alphabet.name, F.when(hit, spans(F.col("told"), rank)).otherwise(none))
+        rows = rows.withColumn("masked", F.when(hit, _masked(F.col("told"), F.col("fill"))).otherwise(masked)).drop("told")
+    return rows.withColumn("found", F.sort_array(F.concat(*[k.name for k in (*BASE, *ALPHABETS)])))
 
 
 def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``secrets``: array of (start, kind, end), sorted; code points, end exclusive.
 
-    Whole texts are scanned; a null or empty text has none. Base kinds come first among equal starts, in
-    the order of BASE. An entropy span runs from the first to the last window of a candidate that reaches
-    its class's entropy, unless the candidate is on the allow-list or reads as words, or the span overlaps one found before.
-    All other columns and repeated rows stay as they are; a column named secrets is replaced.
+    Whole texts are scanned, however long; a null or empty text has none. Base kinds come first among equal
+    starts, in the order of BASE. Candidates for entropy are looked for in what the kinds before leave: an
+    entropy span runs from the first to the last window of a candidate that reaches its class's entropy,
+    unless the candidate is on the allow-list or reads as words. All other columns and repeated rows stay as
+    they are; a column named secrets is replaced. An empty table gives an empty one.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast(SPAN)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    for rank, kind in enumerate(BASE):
-        rows = rows.withColumn(kind.name, F.when(text.rlike(kind.hint), _plain(_located(text, kind.pattern, rank, kind.group, kind.least))).otherwise(none))
-    rows = rows.withColumn("found", F.concat(*[k.name for k in BASE]))
-    for rank, alphabet in enumerate(ALPHABETS, len(BASE)):
-        candidates = F.filter(_located(text, alphabet.pattern, rank), lambda c: ~F.greatest(*[c["hit"].rlike(a) for a in allowed], _words(c["hit"]), F.lit(False)))
-        scored = F.transform(candidates, _scorer(alphabet))
-        spans = F.transform(F.filter(scored, lambda c: c["e"]["first"].isNotNull()), lambda c: F.struct((c["start"] + c["e"]["first"]).alias("start"), c["rank"].alias("rank"), (c["start"] + c["e"]["last"] + 1).alias("end")))
-        rows = rows.withColumn(alphabet.name, F.when(text.rlike(alphabet.pattern), spans).otherwise(none))
-        new = F.filter(F.col(alphabet.name), lambda s: ~F.exists("found", lambda f: (f["start"] < s["end"]) & (s["start"] < f["end"])))
-        rows = rows.withColumn("found", F.concat("found", new))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit("\n").alias("fill"))
     names = F.array(*[F.lit(k.name) for k in (*BASE, *ALPHABETS)])
-    secrets = F.transform(F.array_sort("found"), lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["rank"] + 1).alias("kind"), s["end"].alias("end")))
-    return rows.select("row", secrets.alias("secrets")).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], "secrets")
+    secrets = F.transform("found", lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["rank"] + 1).alias("kind"), s["end"].alias("end")))
+    return _scan(rows, allowed).select("row", secrets.alias("secrets")).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], "secrets")
 
 
 def listed(secrets: Column) -> Column:
@@ -155,22 +207,24 @@ def listed(secrets: Column) -> Column:
     return F.array_join(F.transform(secrets, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every secret's span replaced by ``mark`` (overlapping spans by one) and the length column updated.
+def redact(docs: DataFrame, mark: str = "[SECRET]", allowed: tuple[str, ...] = ALLOWED, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """``docs`` with ``mark`` in place of the secrets found, spans that touch or overlap by one, and the length column updated.
 
-    Rows without secrets stay as they are, null texts among them.
+    Kinds are replaced one after another, in the order of BASE and then of the classes: what an earlier kind
+    leaves of a later kind's match goes if it is still a match. Rows without secrets stay as they are, null and
+    empty texts and repeated rows among them. What was found is first covered by a noncharacter that the text
+    does not hold; a text with secrets that holds all of NONCHARACTERS has its first one replaced by U+FFFD.
     """
-    found = find_secrets(docs, text_col=text_col)
-    text = F.col(text_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    out = found.withColumn(text_col, F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(text))
-    if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.size("secrets") > 0, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
-    return out.select(docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    free = F.coalesce(*[F.when(~F.contains(text, F.lit(c)), F.lit(c)) for c in NONCHARACTERS])
+    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), free.alias("fill"))
+    lost = F.when(F.col("fill").isNull(), F.replace("text", F.lit(NONCHARACTERS[0]), F.lit("\ufffd"))).otherwise(F.col("text"))
+    rows = rows.withColumn("text", lost).withColumn("fill", F.coalesce("fill", F.lit(NONCHARACTERS[0])))
+    quoted = mark.replace("\\", "\\\\").replace("$", "\\$")
+    marked = F.regexp_replace("masked", F.concat("fill", F.lit("++")), F.lit(quoted))
+    done = _scan(rows, allowed).select("row", F.when(F.size("found") > 0, marked).alias("new"))
+    own = {c: F.col("row")[c] for c in docs.columns}
+    own[text_col] = F.coalesce("new", own[text_col])
+    if chars_col in own:
+        own[chars_col] = F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[chars_col].dataType)).otherwise(own[chars_col])
+    return done.select(*[v.alias(c) for c, v in own.items()])

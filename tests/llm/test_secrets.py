@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from pulsegrid.llm import queries, secrets
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -63,6 +65,82 @@ def test_redaction_and_clashing_columns(spark):
     assert secrets.find_secrets(df.limit(0)).collect() == []
 
 
+def reads_as_words(hit):
+    left = re.sub(r"(?<![A-Za-z0-9])(?:(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,2}|[0-9]+)(?![A-Za-z0-9])", "", hit)
+    runs = re.findall("[A-Za-z0-9]+", left)
+    over = [x if re.search("[0-9]", x) else re.sub("[A-Z]?[a-z]{3,}", "", x) for x in runs]
+    return 5 * sum(map(len, over)) <= len(re.sub("[^A-Za-z0-9]", "", hit)) and not any(len(x) >= 8 for x in over)
+
+
+def entropy_spans(text):
+    """All spans of the query by plain Python: base kinds, then windows counted afresh in what they leave."""
+    from collections import Counter
+    from math import log2
+
+    found, left = brute(text), list(text)
+    for kind in (0, 1, 2):  # each in what the ones before leave
+        now = "".join(left)
+        for a, k, b in brute(now):
+            if k == kind:
+                left[a:b] = "\n" * (b - a)
+    for rank, alphabet in enumerate(secrets.ALPHABETS, 3):
+        now = "".join(left)
+        for m in re.finditer(alphabet.pattern.replace("}+", "}").replace(r"(?:(?<![A-Za-z0-9])|(?<=\b0[xX]))", r"(?:(?<![A-Za-z0-9])|(?:(?<=\b0x)|(?<=\b0X)))"), now):
+            if any(re.search(p, m[0]) for p in secrets.ALLOWED) or reads_as_words(m[0]):
+                continue
+            s, w = m[0].lower() if rank == 3 else m[0], alphabet.window
+            hits = [i for i in range(len(s) - w + 1) if -sum(n / w * log2(n / w) for n in Counter(s[i : i + w]).values()) >= alphabet.bits - 1e-9]
+            if hits:
+                a, b = m.start() + hits[0], m.start() + hits[-1] + w
+                found.append((a, rank, b))
+                left[a:b] = "\n" * (b - a)
+    return sorted(found)
+
+
+def test_all_spans_of_the_query_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+    for r in queries.op2_secrets(spark, sf).collect():
+        want = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in entropy_spans(texts[r.doc_id]))
+        assert r.spans == want, (r.doc_id, r.spans, want)
+
+
+def test_entropy_spans_of_random_texts_equal_brute_force(spark):
+    import random
+
+    r = random.Random(9)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEFabcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", "aB", "abcdefgh/", "word/path-Name_"]
+    marks = [" ", "\n", "é", "\U0001f600", ".", " 0x", "=", " token=", '"', "AKIA", "/"]
+    texts = ["".join("".join(r.choices(r.choice(alphabets), k=r.choice([3, 15, 17, 20, 21, 30, 64]))) + r.choice(marks) for _ in range(12)) for _ in range(600)]
+    names, kinds = ["assign", "access", "hex", "entropy_hex", "entropy_base64"], set()
+    for row in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got = [(s.start, names.index(s.kind), s.end) for s in row.secrets]
+        assert got == entropy_spans(row.text), row.text
+        kinds |= {k for _, k, _ in got}
+    assert kinds == set(range(5))
+
+
+def test_very_long_candidates_and_many_hits(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "".join(r.choices(base64, k=40))
+    hexes = ["%016x" % r.getrandbits(64) for _ in range(100_000)]
+    low = "aB" * 70_000  # entropy 1, in pieces
+    texts = ["a1/" * 1_000_000, " ".join(hexes), low + key + low, "a" * 300_000 + "1", "﷐x token=abcdefabcdef0123 ﷐﷑﷒﷓ token=abcdefabcdef0123"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.find_secrets(df).select("doc_id", F.size("secrets").alias("n"), F.slice("secrets", 1, 1).alias("first")).collect()
+    out = {x.doc_id: x for x in found}
+    assert out[0].n == 0 and out[1].n == len(hexes) and out[3].n == 1
+    (span,) = out[2].first
+    assert span.kind == "entropy_base64" and len(low) - 20 < span.start <= len(low) and len(low + key) <= span.end < len(low + key) + 20
+    red = {x.doc_id: x.text for x in secrets.redact(df).collect()}
+    assert red[0] == texts[0] and red[1] == " ".join(["[SECRET]"] * len(hexes)) and key not in red[2]
+    assert red[4] == "\ufffdx [SECRET] \ufffd﷑﷒﷓ [SECRET]"
+
+
 def test_query_digests(spark, sf_dir):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     names = [k.name for k in secrets.BASE]
