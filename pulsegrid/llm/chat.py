@@ -13,6 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.arrays import offsets
+
+#: Spark's JSON reader refuses longer strings; by default it does from 20 million characters on.
+LONGEST = {"maxStringLen": str((1 << 31) - 1)}
+#: A JSON string: a field's name with its colon, or a value's two quotes without what is between.
+STRINGS = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:)|(")[^"\\]*+(?:\\.[^"\\]*+)*+(")'
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -49,8 +55,9 @@ def field_paths(record: Column) -> Column:
 
     They are read off the record's variant schema, such as OBJECT<m: ARRAY<OBJECT<b: STRING>>>. Two levels
     below the top are told apart, which every declared layout needs at most. Null if it is no JSON object.
+    Strings are emptied first, so that a long text is no part of the variant.
     """
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, STRINGS, "$1$2$3")))
     inner = F.regexp_extract(schema, r"^OBJECT<(.*)>$", 1)
     # scalar types go, then every nested list of fields is spread over its parent's name
     bare = F.regexp_replace(inner, r": (STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP(_NTZ)?|FLOAT|BINARY)", "")
@@ -71,14 +78,17 @@ def fingerprint(record: Column) -> Column:
 
 
 def _mapped(layout: Layout, record: Column) -> Column:
+    broken = {**LONGEST, "columnNameOfCorruptRecord": "_broken"}
     if layout.each:
         path, role, text = layout.each
-        rows = F.from_json(F.get_json_object(record, path), f"array<struct<`{role}`:string,`{text}`:string>>")
-        turns = F.transform(rows, lambda r: F.struct(F.coalesce(r[role], F.lit("")).alias("role"), F.coalesce(r[text], F.lit("")).alias("text")))
+        field = path.removeprefix("$.")
+        row = F.from_json(record, f"`{field}` array<struct<`{role}`:string,`{text}`:string>>, _broken string", broken)
+        turns = F.transform(row[field], lambda r: F.struct(F.coalesce(r[role], F.lit("")).alias("role"), F.coalesce(r[text], F.lit("")).alias("text")))
     else:
         names = {path: path.removeprefix("$.") for _, path in layout.fields}
-        row = F.from_json(record, ", ".join(f"`{n}` string" for n in names.values()))
+        row = F.from_json(record, ", ".join(f"`{n}` string" for n in [*names.values(), "_broken"]), broken)
         turns = F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(row[names[path]], F.lit("")).alias("text")) for role, path in layout.fields])
+    turns = F.when(row["_broken"].isNull(), turns)
     if layout.roles:
         names = F.create_map(*[F.lit(n) for pair in layout.roles for n in pair])
         turns = F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(names, t["role"]), t["role"]).alias("role"), t["text"].alias("text")))
@@ -88,7 +98,9 @@ def _mapped(layout: Layout, record: Column) -> Column:
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``records`` with ``layout`` (name, null if no mapping has the fingerprint) and ``turns``, in place of the record.
 
-    Null records, broken JSON and unknown layouts get null turns: they are kept for inspection, not dropped.
+    Null and empty records, broken JSON and unknown layouts get null turns: they are kept for inspection, not
+    dropped. Texts may be as long as a row can be. Repeated rows give equal rows; other columns stay as they are,
+    those named layout or turns are replaced, and an empty table gives an empty one.
     """
     printed = records.withColumn("_fingerprint", fingerprint(F.col(record_col)))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -118,20 +130,20 @@ def format_turns(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) ->
     """``turns`` with ``formatted`` (text) and ``loss_mask`` (spans of it, in code points, that are learned).
 
     Each turn becomes <turn role="ROLE">TEXT</turn> and a line break. Null turns give a null text; an empty
-    list gives an empty one.
+    list gives an empty one. Texts may be as long as a row can be; repeated rows give equal rows, other columns
+    stay as they are, those named formatted or loss_mask are replaced, and an empty table gives an empty one.
     """
     pieces = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escape(t["role"], True), F.lit(ROLE_END)).alias("head"), escape(t["text"]).alias("body"), t["role"].isin(*learned).alias("learn")))
     rows = turns.withColumn("_pieces", pieces)
     text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"))
+    rows = rows.withColumn("_starts", offsets(F.transform("_pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE))))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["head"])
-        end = begin + F.length(p["body"])
-        span = F.struct(begin.alias("start"), end.alias("end"))
-        return F.struct((end + len(CLOSE)).alias("at"), F.when(p["learn"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def body(p: Column, at: Column) -> Column:
+        start = at + F.length(p["head"])
+        return F.struct(start.alias("start"), (start + F.length(p["body"])).alias("end"), p["learn"].alias("learn"))
 
-    mask = F.aggregate("_pieces", start, step, lambda acc: acc["spans"])
+    bodies = F.filter(F.zip_with("_pieces", "_starts", body), lambda b: b["learn"])
+    mask = F.transform(bodies, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
     return rows.select(*[c for c in turns.columns if c not in ("formatted", "loss_mask")], text.alias("formatted"), mask.alias("loss_mask"))
 
 

@@ -28,7 +28,8 @@ PROBE = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enume
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
+    said = F.inline(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(p, rows.columns, strict=True)]) for p in PROBE]))
+    probe = spark.range(1).select(said)
     formatted = chat.format_turns(chat.canonical_turns(chat.records_of(rows.union(probe))))
     back = formatted.select("conv_id", "layout", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss_mask")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -80,8 +81,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return packing.pack(docs.select("doc_id", packing.length(F.col("text")).alias("tokens")), tokens=F.col("tokens")).drop("tokens")
+    return packing.pack(documents(spark, sf_dir).select("doc_id", packing.length(F.col("text")).alias("tokens")), tokens=F.col("tokens")).drop("tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -61,3 +61,26 @@ def test_nulls_ties_and_empty(spark):
     (row,) = chat.canonical_turns(chat.records_of(df)).collect()
     assert [(t.role, t.text) for t in row.turns] == [("", "x"), ("user", ""), ("user", "b"), ("user", "b")]
     assert chat.format_turns(chat.canonical_turns(chat.records_of(df.limit(0)))).collect() == []
+
+
+def test_texts_over_20_million_characters_and_many_turns(spark):
+    long = 'x"\\y<turn' * 3_200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", "a"), (2, 1, "user", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat.format_turns(chat.canonical_turns(chat.records_of(df)))
+    back = done.select("conv_id", "layout", chat.read_turns(chat.F.col("formatted")).alias("t"), chat.learned_text(chat.F.col("formatted"), chat.F.col("loss_mask")).alias("l"))
+    out = {r.conv_id: r for r in back.collect()}
+    assert out[1].layout == "prompt" and [t.text for t in out[1].t] == [long, long] and out[1].l == long
+    assert out[2].layout == "messages" and out[2].t[1].text == long and out[2].l == ""
+    many = spark.range(40_000).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 1, 'assistant', 'user') AS role", "cast(id AS string) AS text")
+    done = chat.format_turns(chat.canonical_turns(chat.records_of(many)))
+    (row,) = done.select(chat.F.size(chat.read_turns(chat.F.col("formatted"))).alias("n"), chat.learned_text(chat.F.col("formatted"), chat.F.col("loss_mask")).alias("l")).collect()
+    assert row.n == 40_000 and row.l == "".join(map(str, range(1, 40_000, 2)))
+
+
+def test_broken_values_and_clashing_columns(spark):
+    rows = [('{"prompt": "a\\x", "completion": "b"}',), ('{"prompt": "a", "completion": "b"} ',), ("",), ('{"messages": []}',)]
+    df = spark.createDataFrame(rows, "record string").selectExpr("record", "'mine' AS turns", "record AS formatted")
+    out = [r.turns for r in chat.canonical_turns(df).collect()]
+    assert out[0] is None and [t.text for t in out[1]] == ["a", "b"] and out[2] is None
+    assert [r.formatted for r in chat.format_turns(chat.canonical_turns(df)).collect()][1].count("</turn>") == 2
