@@ -4,7 +4,8 @@ Records are ordered by a hash of their text, so equal texts are neighbours. A si
 keys gives quantile boundaries for many more ranges than shards. Ranges that turn out overfull are
 subdivided: a text that alone fills more than a range gets a range of its own, the rest is cut at its
 own quantiles. Whole ranges are then dealt to shards, largest first, always to the lightest shard.
-A range is spread over shards only if one text's copies exceed a shard's share.
+A range is spread over shards only if one text's copies exceed a shard's share. The rows are written once with
+their key, size and a number of their own; all counts read these narrow columns.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.ranges import numbered, position
+from pulsegrid.llm.store import written
 
 #: Ranges for each shard, bytes of a range on large inputs, most ranges, and sampled keys for each range.
 RANGES, RANGE_BYTES, MOST_RANGES, SAMPLED = 64, 256 << 20, 16_384, 64
@@ -29,7 +31,7 @@ def _quantiles(rows: DataFrame, n: int) -> list[int]:
 def splitters(rows: DataFrame, total: int, n: int, seed: int = 1) -> list[int]:
     """Sorted boundaries of about ``n`` ranges of equal bytes, from keys drawn with probability in proportion to size."""
     chance = F.least(F.lit(1.0), F.col("size") * (SAMPLED * n / total))
-    draw = F.pmod(F.xxhash64("id", "key", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
+    draw = F.pmod(F.xxhash64("id", "own", "key", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     bounds = _quantiles(rows.where(draw < chance), n)
     for _ in range(ROUNDS):
         loads = rows.groupBy(position(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
@@ -75,25 +77,27 @@ def shard_rows(rows: DataFrame, key: Column, size: Column, row_id: str = "doc_id
 
     ``key`` (a long) orders records and keeps equal keys together, ``size`` (a positive long) is what
     shards share equally; both must be of ``rows``. Null keys count as 0, null sizes as 1. Equal keys
-    are told apart by ``row_id``; repeated rows are interchangeable. Columns named shard or slot are
-    replaced. An empty table gives an empty one.
+    are ordered by ``row_id``; repeated rows are interchangeable, and a row's number in the written table
+    tells them apart, so that they can be spread too. A size may be as large as a long. Columns named shard
+    or slot are replaced. An empty table gives an empty one.
     """
     names = [c for c in rows.columns if c not in ("shard", "slot")]
-    keyed = rows.select(F.struct(*names).alias("row"), F.coalesce(key, F.lit(0)).cast("long").alias("key"), F.greatest(F.coalesce(size, F.lit(1)), F.lit(1)).cast("long").alias("size"), F.col(row_id).cast("string").alias("id"))
+    keyed = rows.select(F.struct(*names).alias("row"), F.coalesce(key, F.lit(0)).cast("long").alias("key"), F.greatest(F.coalesce(size, F.lit(1)), F.lit(1)).cast("long").alias("size"), F.col(row_id).cast("string").alias("id"), F.monotonically_increasing_id().alias("own"))
+    keyed = written(keyed)
     total, count = keyed.agg(F.sum("size"), F.count("*")).first()
     if not count:
         return rows.select(*names, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).limit(0)
     n = min(MOST_RANGES, max(RANGES * shards, total // RANGE_BYTES))
-    bounds = splitters(keyed.select("id", "key", "size"), total, n)
+    bounds = splitters(keyed.select("id", "own", "key", "size"), total, n)
     ranged = keyed.withColumn("range", position(F.col("key"), bounds))
     sized = ranged.groupBy("range").agg(F.count("*").alias("n")).collect()
     fair = -(-count // n)
     pieces = {r["range"]: -(-r["n"] // fair) for r in sized if r["n"] > 2 * fair}
     table = rows.sparkSession.createDataFrame([*pieces.items()] or [(-1, 1)], "range int, pieces int")
-    ranged = ranged.join(F.broadcast(table), "range", "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    ranged = ranged.join(F.broadcast(table), "range", "left").withColumn("piece", F.pmod(F.xxhash64("id", "own"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
     loads = [tuple(r) for r in ranged.groupBy("range", "piece").agg(F.count("*"), F.sum("size")).collect()]
     units = [(*k, *v) for k, v in deal(loads, shards, total).items()]
-    out = numbered(ranged, units, {"range": "int", "piece": "int", "shard": "int", "offset": "long"}, [F.col("key"), F.col("id"), F.col("size")])
+    out = numbered(ranged, units, {"range": "int", "piece": "int", "shard": "int", "offset": "long"}, [F.col("key"), F.col("id"), F.col("own")])
     return out.select(*[F.col("row")[c].alias(c) for c in names], "shard", "slot")
 
 

@@ -49,10 +49,25 @@ def test_position_equals_counting(spark):
     assert all(r.at == sum(b <= r.id for b in bounds) for r in df.collect())
 
 
-def test_query(spark, sf_dir):
-    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    out = queries.op9_sharding(spark, sf_dir).collect()
+def test_equal_rows_of_one_id_are_spread(spark):
+    rows = [(7, "the same text " * 3)] * 4000 + [(i, f"own text {i}") for i in range(400)]
+    loads, places = checked(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect(), 8)
+    assert max(loads) < 1.1 * min(loads) and all(len(v) == 1 for k, v in places.items() if k[0] == "o")
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op9_sharding(spark, sf).collect()
     assert sorted(r.doc_id for r in out) == sorted(docs)
+    loads, slots, places = [0] * 8, {}, {}
     for r in out:
         raw = docs[r.doc_id].encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        loads[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+        places.setdefault(docs[r.doc_id], set()).add(r.shard)
+    assert max(loads) < 1.03 * min(loads) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    share = sum(loads) / 8
+    copies = {t: sum(docs[r.doc_id] == t for r in out) * (len(t.encode()) + 1) for t, v in places.items() if len(v) > 1}
+    assert all(size > share for size in copies.values())
