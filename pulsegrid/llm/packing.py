@@ -1,20 +1,19 @@
 """Length buckets of least padding, and batches within a token budget.
 
-The global histogram of lengths is counted by Spark; its bins are bounded (exact up to ``EXACT``, then
-a fixed number for each doubling), so dynamic programming over it on the driver does not grow with
-the corpus. Documents are numbered inside their bucket without gathering a bucket in one task.
+The global histogram of lengths is counted by Spark, with a bin for each distinct length; there are at most
+about sqrt(2 * tokens) of them. Dynamic programming over it on the driver takes time in proportion to the
+bins, so boundaries are optimal at every length. Documents are numbered inside their bucket without
+gathering a bucket in one task.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.ranges import numbered, position
+from pulsegrid.llm.store import written
 
-#: Lengths up to EXACT are bins of their own; above, FINE bins for each doubling.
-EXACT, FINE = 2048, 256
 BUCKETS, BUDGET = 16, 16_384
 #: Rows of a bucket that one task numbers, about, and most such lots of all buckets.
 LOT_ROWS, MOST_LOTS = 200_000, 8192
@@ -25,40 +24,48 @@ def length(text: Column) -> Column:
     return F.greatest(F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)), F.lit(1)).cast("long")
 
 
-def bin_of(n: Column) -> Column:
-    """The largest length of a length's bin; at most 1/FINE above it."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(n.cast("double") - 0.5)) - int(np.log2(FINE)), F.lit(0))).cast("long")
-    return F.when(n <= EXACT, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def boundaries(histogram: list[tuple[int, int]], buckets: int) -> list[int]:
     """The largest lengths of at most ``buckets`` buckets that minimise total padding over (length, count) bins.
 
-    best[k][j] = min over i of best[k - 1][i] + length[j] * (rows of bins i..j) - (tokens of them); each
-    bucket is as long as its longest bin.
+    best[k][j] = min over i of best[k - 1][i] + length[j] * (rows of bins i..j), the padded tokens, in whole
+    numbers. For each i that is a line in length[j] with slope -(rows before i); slopes fall and lengths rise,
+    so the lower envelope is kept as a queue and a round takes one pass over the bins.
     """
     histogram = sorted(histogram)
     if not histogram:
         return []
-    size = np.array([x for x, _ in histogram], float)
-    rows = np.concatenate([[0.0], np.cumsum([n for _, n in histogram])])
+    size, rows = [x for x, _ in histogram], [0]
+    for _, n in histogram:
+        rows.append(rows[-1] + n)
     m = len(size)
-    best = np.concatenate([[0.0], np.full(m, np.inf)])
-    cut = np.zeros((buckets, m + 1), int)
-    for k in range(buckets):
-        new = np.full(m + 1, np.inf)
-        new[0] = 0.0
-        for j in range(1, m + 1):  # padded tokens; real tokens are the same in any split
-            cost = best[:j] + size[j - 1] * (rows[j] - rows[:j])
-            i = int(cost.argmin())
-            new[j], cut[k, j] = cost[i], i
+    best: list[int] = [size[j] * rows[j + 1] for j in range(m)]  # of the first j + 1 bins, in one bucket
+    cuts = [[-1] * m]
+    for _ in range(1, min(buckets, m)):
+        new, cut = list(best), [-1] * m  # -1: no more buckets than before
+        line: list[int] = []  # ends i of earlier buckets: best[i] - rows[i + 1] * x
+        at = 0
+        for j in range(1, m):
+            i = j - 1
+            while len(line) - at >= 2:  # the last line is nowhere lowest between its neighbours
+                a, b = line[-2], line[-1]
+                if (best[i] - best[a]) * (rows[b + 1] - rows[a + 1]) > (best[b] - best[a]) * (rows[i + 1] - rows[a + 1]):
+                    break
+                line.pop()
+            line.append(i)
+            value = lambda k, x=size[j]: best[k] - rows[k + 1] * x
+            while len(line) - at >= 2 and value(line[at + 1]) <= value(line[at]):
+                at += 1
+            total = value(line[at]) + size[j] * rows[j + 1]
+            if total < new[j]:
+                new[j], cut[j] = total, line[at]
         best = new
-    out, j = [], m
-    for k in range(buckets - 1, -1, -1):
-        if j:
-            out.append(int(size[j - 1]))
-            j = int(cut[k, j])
-    return sorted(set(out))
+        cuts.append(cut)
+    out, j = [], m - 1
+    for cut in reversed(cuts):
+        if cut[j] >= 0:
+            out.append(size[j])
+            j = cut[j]
+    return sorted([*out, size[j]])
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens: Column | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -67,14 +74,16 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens:
     ``tokens`` is a document's length (by default ``length`` of its text); nulls and lengths under 1 count
     as 1. Every document goes to the shortest bucket that holds it; a batch of a bucket has as many rows
     as bucket_length fits into ``budget``, and one at least, so a document over the budget is a batch of
-    its own. Batches are numbered from 0 in each bucket. Ties are ordered by id; repeated rows are
-    packed each. Columns of the same names are replaced. An empty table gives an empty one.
+    its own, however long. Batches are numbered from 0 in each bucket. Ties are ordered by id; repeated rows
+    are packed each, and a row's number in the written table tells them apart. Columns of the same names are
+    replaced. An empty table gives an empty one.
     """
     made = ("n_tokens", "bucket", "bucket_length", "batch", "batch_row", "padding")
     names = [c for c in docs.columns if c not in made]
     count = F.greatest(F.coalesce(tokens if tokens is not None else length(F.col("text")), F.lit(1)), F.lit(1)).cast("long")
-    rows = docs.select(F.struct(*names).alias("row"), count.alias("n_tokens"), F.xxhash64(F.col(id_col)).alias("spread"), F.col(id_col).alias("id"))
-    histogram = [tuple(r) for r in rows.groupBy(bin_of(F.col("n_tokens")).alias("size")).agg(F.count("*")).collect()]
+    rows = docs.select(F.struct(*names).alias("row"), count.alias("n_tokens"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("own"))
+    rows = written(rows).withColumn("spread", F.xxhash64("id", "own"))
+    histogram = [tuple(r) for r in rows.groupBy("n_tokens").agg(F.count("*")).collect()]
     ends = boundaries(histogram, buckets)
     if not ends:
         return docs.select(*names, *[F.lit(0).cast("long").alias(c) for c in made]).limit(0)
@@ -88,7 +97,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens:
     for b, lot, n in sorted(tuple(r) for r in placed.groupBy("bucket", "lot").agg(F.count("*")).collect()):
         units.append((b, lot, ends[b], max(1, budget // ends[b]), at[b]))
         at[b] += n
-    out = numbered(placed, units, {"bucket": "int", "lot": "int", "bucket_length": "long", "rows": "long", "offset": "long"}, [F.col("id")])
+    out = numbered(placed, units, {"bucket": "int", "lot": "int", "bucket_length": "long", "rows": "long", "offset": "long"}, [F.col("id"), F.col("own")])
     return out.select(
         *[F.col("row")[c].alias(c) for c in names],
         "n_tokens",

@@ -1,5 +1,7 @@
 import random
-from itertools import combinations
+import re
+from collections import Counter
+from itertools import accumulate, combinations
 
 from pyspark.sql import functions as F
 
@@ -21,11 +23,14 @@ def test_boundaries_are_optimal():
     assert packing.boundaries([], 3) == []
 
 
-def test_bins_hold_their_lengths(spark):
-    df = spark.range(1, 20_000).select("id", packing.bin_of(F.col("id")).alias("b"))
-    rows = df.collect()
-    assert all(r.id <= r.b <= r.id * (1 + 1 / packing.FINE) + 1 and (r.b == r.id or r.id > packing.EXACT) for r in rows)
-    assert len({r.b for r in rows}) < packing.EXACT + 4 * packing.FINE
+def test_boundaries_of_long_texts_are_optimal_too():
+    r = random.Random(6)
+    for _ in range(60):
+        histogram = [(s, r.choice([1, r.randrange(1, 50), 10 ** r.randrange(12)])) for s in r.sample([*range(1, 40), *range(2000, 10**7, 991)], r.randrange(1, 10))]
+        top, k = max(s for s, _ in histogram), r.randrange(1, 5)
+        best = min(padding(histogram, [*c, top]) for q in range(k) for c in combinations([s for s, _ in histogram if s < top], q))
+        got = packing.boundaries(histogram, k)
+        assert len(got) <= k and padding(histogram, got) == best
 
 
 def test_batches_fit_the_budget_and_leave_no_gap(spark):
@@ -46,7 +51,26 @@ def test_batches_fit_the_budget_and_leave_no_gap(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
-def test_query_covers_all_documents(spark, sf_dir):
-    out = queries.op10_packing(spark, sf_dir)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+def test_query_is_optimal_and_without_gaps(spark, sf_dir):
+    docs = {r.doc_id: max(1, len(re.findall(r"[^ \t\n\x0b\f\r]+", r.text or ""))) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = queries.op10_packing(spark, sf_dir).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == docs and len(out) == len(docs)
+    histogram = sorted(Counter(docs.values()).items())
+    size, rows = [s for s, _ in histogram], [0, *accumulate(n for _, n in histogram)]
+    best = [s * rows[j + 1] for j, s in enumerate(size)]  # brute force over every split
+    for _ in range(packing.BUCKETS - 1):
+        best = [min(best[j], *[best[i] + size[j] * (rows[j + 1] - rows[i + 1]) for i in range(j)]) if j else best[0] for j in range(len(size))]
+    assert sum(r.bucket_length for r in out) == best[-1]
+    places = {}
+    for r in out:
+        full = max(1, packing.BUDGET // r.bucket_length)
+        assert r.padding == r.bucket_length - r.n_tokens >= 0 and r.batch_row < full
+        places.setdefault((r.bucket, full), []).append(r.batch * full + r.batch_row)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
+def test_repeated_rows_and_lots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LOT_ROWS", 50)
+    df = spark.createDataFrame([(1, "a b c")] * 4000, "doc_id long, text string")
+    out = packing.pack(df, budget=30).collect()
+    assert sorted((r.batch, r.batch_row) for r in out) == [(i // 10, i % 10) for i in range(4000)]
