@@ -20,7 +20,7 @@ from pulsegrid.llm.hashing import U64
 from pulsegrid.llm.store import cut
 
 FEATURES = 1 << 14
-#: Labelled rows used to fit the target model and to calibrate, about; the raw model counts all documents.
+#: Labelled rows used to fit the target model and to calibrate, about, by default; the raw model counts all documents.
 LABELS = 20_000
 #: A rejected good document weighs as much as so many accepted bad ones in calibration.
 COST = 5.0
@@ -121,32 +121,35 @@ def calibrated_cut(sample: list[tuple[float, bool]]) -> float:
     return float("inf") if at == len(sample) else (sample[at - 1][0] + sample[at][0]) / 2
 
 
-def _selection(docs: DataFrame, labels: DataFrame, seed: int, k: int | None) -> tuple[np.ndarray, float, DataFrame]:
+def _selection(docs: DataFrame, labels: DataFrame, seed: int, k: int | None, n_labels: int) -> tuple[np.ndarray, float, DataFrame]:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
-    sample = cut(known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(n, 1))) < LABELS).select("doc_id", "quality", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).alias("fold")))
+    sample = cut(known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(n, 1))) < n_labels).select("doc_id", "quality", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).alias("fold")))
     ratios = log_ratios(docs, sample.where("quality = 1 AND fold = 0"))
     marks = cut(scored(docs.select("doc_id", "text"), ratios).select("doc_id", "n_features", "log_weight", gumbel_key(F.col("log_weight"), F.col("doc_id"), seed).alias("gumbel_key")))
     if k is None:
-        held_out = marks.join(F.broadcast(sample.where("fold = 1")), "doc_id").select("log_weight", "quality").collect()
+        one = marks.join(F.broadcast(sample.where("fold = 1")), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("log_weight"), F.min("quality").alias("quality"))
+        held_out = one.select("log_weight", "quality").collect()  # one row for each sampled label
         k = marks.where(F.col("log_weight") >= calibrated_cut([(w, q == 1) for w, q in held_out])).count()
     k = min(k, marks.count())
     return ratios, kth_largest(marks, "gumbel_key", k) if k else float("inf"), marks
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, k: int | None = None, n_labels: int = LABELS) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_key, selected), one row per row of ``docs`` (doc_id, text).
 
-    ``labels`` has doc_id and quality (1 is good); about LABELS of them are used, half to fit and half to
-    calibrate. ``k`` documents are drawn; by default as many as weigh at least the calibrated cut. Rows
+    ``labels`` has doc_id and quality (1 is good); about ``n_labels`` of them, drawn by a hash of doc_id, are
+    used, half to fit and half to calibrate; of a doc_id with several labels or rows the least counts. ``k`` documents are drawn; by default as many as weigh at least the calibrated cut. Rows
     that tie with the k-th (repeated rows do) are drawn too. Null and empty texts weigh 0. Without labels
     all are drawn. Other columns are not read.
     """
-    _, least, marks = _selection(docs, labels, seed, k)
+    _, least, marks = _selection(docs, labels, seed, k, n_labels)
     return marks.withColumn("selected", F.col("gumbel_key") >= least)
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 1, k: int | None = None) -> DataFrame:
+def keep_selected(docs: DataFrame, labels: DataFrame, seed: int = 1, k: int | None = None, n_labels: int = LABELS) -> DataFrame:
     """The rows of ``docs`` that ``resample`` selects, all columns; texts are scored again rather than shuffled."""
-    ratios, least, _ = _selection(docs, labels, seed, k)
-    return scored(docs, ratios).where(gumbel_key(F.col("log_weight"), F.col("doc_id"), seed) >= least).select(docs.columns)
+    ratios, least, _ = _selection(docs, labels, seed, k, n_labels)
+    own = {c: f"{c}_of_docs" for c in docs.columns if c in ("n_features", "log_weight")}
+    kept = scored(docs.withColumnsRenamed(own), ratios).where(gumbel_key(F.col("log_weight"), F.col("doc_id"), seed) >= least)
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

@@ -78,3 +78,25 @@ def test_edge_cases(spark):
     assert not any(r.selected for r in quality.resample(docs, labels, k=0).collect())
     assert quality.resample(docs.limit(0), labels.limit(0)).collect() == []
     assert all(r.selected for r in quality.resample(docs, labels.limit(0)).collect())
+
+
+def test_selection_of_the_query_equals_brute_force(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    fold = {r.doc_id: r.f for r in spark.createDataFrame([(i,) for i in labels], "doc_id long").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("f")).collect()}
+    weights = brute_weights(docs, {i for i, q in labels.items() if q == 1 and fold[i] == 0})
+    sample = [(weights[i][1], q == 1) for i, q in labels.items() if fold[i] == 1 and i in weights]
+    k = sum(w >= quality.calibrated_cut(sample) for _, w in weights.values())
+    out = queries.op6_quality(spark, sf_dir).collect()
+    keys = {r.doc_id: r.gumbel_key - r.log_weight + weights[r.doc_id][1] for r in out}
+    assert {r.doc_id for r in out if r.selected} == set(sorted(keys, key=keys.get, reverse=True)[:k])
+
+
+def test_labels_limit_repeated_ids_and_clashing_columns(spark):
+    rows = [(i, f"good words here {i}" if i % 2 else f"BAD @@ ## {i}", float(i)) for i in range(400)] + [(1, "good words here 1", 1.0)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, log_weight double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    for n in (50, 400):
+        kept = quality.keep_selected(docs, labels, n_labels=n).collect()
+        assert all(r.log_weight == float(r.doc_id) for r in kept)
+        assert sum(r.doc_id == 1 for r in kept) in (0, 51) and 150 < len({r.doc_id for r in kept}) < 260
