@@ -4,7 +4,7 @@ import re
 from pulsegrid.llm import minhash
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """component_id by doc_id from all pairs of full shingle sets."""
     sets = {}
     for i, text in rows:
@@ -12,7 +12,7 @@ def brute(rows):
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     comp = {i: i for i in sets}
     ids = sorted(sets)
-    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in ids for b in ids if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     changed = True
     while changed:
         changed = False
