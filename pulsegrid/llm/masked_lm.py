@@ -1,17 +1,22 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
-Tokens (words and runs of marks, hashed to VOCABULARY ids) are predicted from the WINDOW tokens on each
-side. The network adds an embedding for each neighbour and place, passes the sum through tanh, and
-predicts the token's class and then its member of the class; output biases start at the corpus's own
-counts. The inputs never hold the token itself, so every position of every document is a target in each
-round. Each task trains on its partition and the weights are averaged by the number of its tokens. What is
-gathered has a fixed size: VOCABULARY counts and the network's weights. A document's score is the sum over all positions of the log probability
-of its token given both sides (Wang and Cho, 2019; Salazar et al., 2020).
+Tokens (words and runs of marks) are predicted from the WINDOW tokens on each side. What is gathered from
+the corpus grows with it: a table of every distinct token's count. The OWN most frequent tokens have ids of
+their own, the others share BINS ids by hash. The network multiplies each neighbour's embedding by its
+place's matrix, passes the sum through tanh, and predicts the token's class and then its member of the class;
+output biases start at the corpus's own counts. The inputs never hold the token itself, so every position of
+every document is a target in each round. A token of a bin is then told from the others of its bin by its
+share of the bin's counts, joined from the table. A document's score is the sum over all positions of the log
+probability of its token given both sides (Wang and Cho, 2019; Salazar et al., 2020).
+
+Each task trains on its partition from the round's common weights, and the weights are averaged by the number
+of tokens. So weights depend, slightly, on how Spark splits the files; the same splits give the same weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import hashing
-from pulsegrid.llm.hashing import U64
+from pulsegrid.llm.store import partitions, written
 
-CLASSES, MEMBERS, WINDOW, DIM = 32, 64, 3, 16
+CLASSES, MEMBERS, WINDOW, DIM = 64, 64, 3, 16
 VOCABULARY = CLASSES * MEMBERS
-#: Learning rate, tokens in a step, and weights in one averaged block.
-RATE, STEP, BLOCK = 0.15, 1024, 2048
+BINS = 512
+OWN = VOCABULARY - BINS
+#: Learning rate, tokens in a step, weights in one averaged block, and partial means of a block.
+RATE, STEP, BLOCK, LOTS = 0.15, 4096, 8192, 32
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
 class Network:
-    """Weights: embeddings (place, token, DIM), their bias, class outputs, class inputs, member outputs, and biases."""
+    """Weights: embeddings, places' matrices, their bias, class outputs, class inputs, member outputs, and biases."""
 
-    SHAPES = ((len(PLACES), VOCABULARY + 1, DIM), (DIM,), (DIM, CLASSES), (CLASSES,), (CLASSES, DIM), (DIM, MEMBERS), (CLASSES, MEMBERS))
+    SHAPES = ((VOCABULARY + 1, DIM), (len(PLACES) * DIM, DIM), (DIM,), (DIM, CLASSES), (CLASSES,), (CLASSES, DIM), (DIM, MEMBERS), (CLASSES, MEMBERS))
 
     def __init__(self, flat: np.ndarray) -> None:
         self.flat, self.parts, at = flat, [], 0
@@ -45,150 +52,251 @@ class Network:
         """Small fixed random weights, and biases that give the counts' own distribution."""
         flat = np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES), np.float32)
         net, rng = cls(flat), np.random.default_rng(7)
-        for i in (0, 2, 4, 5):
-            net.parts[i][:] = rng.normal(0, 0.1, net.parts[i].shape)
-        net.parts[0][:, VOCABULARY] = 0  # beyond a document's ends
+        for i, scale in ((0, 0.3), (1, 0.25), (3, 0.1), (5, 0.1), (6, 0.1)):
+            net.parts[i][:] = rng.normal(0, scale, net.parts[i].shape)
+        net.parts[0][VOCABULARY] = 0  # beyond a document's ends
         share = (counts.reshape(CLASSES, MEMBERS) + 1.0) / (counts.sum() + VOCABULARY)
-        net.parts[3][:], net.parts[6][:] = np.log(share.sum(1)), np.log(share / share.sum(1, keepdims=True))
+        net.parts[4][:], net.parts[7][:] = np.log(share.sum(1)), np.log(share / share.sum(1, keepdims=True))
         return net
 
-    def forward(self, near: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Log probabilities of tokens given their neighbours (tokens x places), and what the gradient needs."""
-        emb, bias, out, out_bias, inner, last, last_bias = self.parts
-        total = emb[0][near[:, 0]] + bias
-        for k in range(1, len(PLACES)):
-            total += emb[k][near[:, k]]
-        hidden = np.tanh(total)
+    def forward(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Log probabilities of the tokens at some places of a padded row, and what the gradient needs."""
+        emb, mix, bias, out, out_bias, inner, last, last_bias = self.parts
+        x = emb[row]
+        near = np.concatenate([x[at + k] for k in PLACES], 1)
+        hidden = np.tanh(near @ mix + bias)
+        token = row[at]
         group, member = token // MEMBERS, token % MEMBERS
         joint = hidden + inner[group]
-        rows = np.arange(len(token))
+        rows = np.arange(len(at))
         probabilities = []
-        logs = np.zeros(len(token), total.dtype)
+        logs = np.zeros(len(at), hidden.dtype)
         for logits, pick in ((hidden @ out + out_bias, group), (joint @ last + last_bias[group], member)):
             logits -= logits.max(1, keepdims=True)
             chosen = logits[rows, pick]
             np.exp(logits, out=logits)
             norm = logits.sum(1, keepdims=True)
             logs += chosen - np.log(norm[:, 0])
-            probabilities.append(logits / norm)
-        return logs, (hidden, joint, group, member, *probabilities)
+            logits /= norm
+            probabilities.append(logits)
+        return logs, (near, hidden, joint, group, member, *probabilities)
 
-    def learn(self, near: np.ndarray, token: np.ndarray, past: Network) -> None:
+    def learn(self, row: np.ndarray, at: np.ndarray, past: Network) -> None:
         """One step of Adagrad; ``past`` holds the squared gradients so far."""
-        _, (hidden, joint, group, member, of_class, of_member) = self.forward(near, token)
-        rows, n = np.arange(len(token)), len(token)
+        _, (near, hidden, joint, group, member, of_class, of_member) = self.forward(row, at)
+        rows, n = np.arange(len(at)), len(at)
         of_class[rows, group] -= 1
         of_member[rows, member] -= 1
         of_class /= n
         of_member /= n
-        emb, bias, out, out_bias, inner, last, last_bias = self.parts
+        mix, out, last = self.parts[1], self.parts[3], self.parts[6]
         to_joint = of_member @ last.T
         to_total = (of_class @ out.T + to_joint) * (1 - hidden * hidden)
-        for i, grad in ((1, to_total.sum(0)), (2, hidden.T @ of_class), (3, of_class.sum(0)), (5, joint.T @ of_member)):
+        to_near = to_total @ mix.T
+        to_x = np.zeros((len(row), DIM), to_near.dtype)
+        for i, k in enumerate(PLACES):  # a place of the row is met once for each k
+            to_x[at + k] += to_near[:, i * DIM : (i + 1) * DIM]
+        for i, grad in ((1, near.T @ to_total), (2, to_total.sum(0)), (3, hidden.T @ of_class), (4, of_class.sum(0)), (6, joint.T @ of_member)):
             self._step(i, slice(None), grad, past)
-        self._sparse(4, None, group, to_joint, past)
-        self._sparse(6, None, group, of_member, past)
-        for k in range(len(PLACES)):
-            self._sparse(0, k, near[:, k], to_total, past)
-        emb[:, VOCABULARY] = 0
+        self._sparse(group, ((5, to_joint), (7, of_member)), past)
+        self._sparse(row, ((0, to_x),), past)
+        self.parts[0][VOCABULARY] = 0
 
     def _step(self, i: int, at, grad: np.ndarray, past: Network) -> None:
         past.parts[i][at] += grad * grad
         self.parts[i][at] -= RATE * grad / (np.sqrt(past.parts[i][at]) + 1e-6)
 
-    def _sparse(self, i: int, place: int | None, ids: np.ndarray, grad: np.ndarray, past: Network) -> None:
+    def _sparse(self, ids: np.ndarray, grads: tuple[tuple[int, np.ndarray], ...], past: Network) -> None:
         order = np.argsort(ids, kind="stable")
         own = ids[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        self._step(i, own[first] if place is None else (place, own[first]), np.add.reduceat(grad[order], first), past)
+        for i, grad in grads:
+            self._step(i, own[first], np.add.reduceat(grad[order], first), past)
+
+
+@dataclass
+class Model:
+    """Hashes of the tokens with ids of their own (sorted) and their ids, each bin's (count, distinct tokens), the token table, and weights."""
+
+    known: np.ndarray
+    ids: np.ndarray
+    bins: np.ndarray
+    table: DataFrame
+    weights: np.ndarray
+
+    def mapping(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.known, self.ids
+
+
+def numbered(h: np.ndarray, mapping: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of hashed tokens, and which of them are of a bin."""
+    known, ids = mapping
+    h = h.view(np.int64)
+    if not len(known):
+        return OWN + (h & (BINS - 1)), np.ones(len(h), bool)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    rare = known[at] != h
+    return np.where(rare, OWN + (h & (BINS - 1)), ids[at]), rare
 
 
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first document, how many, tokens, neighbours, offsets of documents) over a column of texts."""
+    """(first document, how many, hashed tokens, their seats in a padded row, offsets of documents) over a column of texts."""
     for at, n, (h, _), places in hashing.grouped(column, hashing.tokens):
-        token = (h % U64(VOCABULARY)).astype(np.int64)
-        own = np.repeat(np.arange(n), np.diff(places))
-        seat = np.arange(len(token)) + WINDOW * (own + 1)
-        padded = np.full(len(token) + WINDOW * (n + 1), VOCABULARY)
-        padded[seat] = token
-        yield at, n, token, np.stack([padded[seat + k] for k in PLACES], 1) if len(token) else np.zeros((0, len(PLACES)), np.int64), places
+        seat = np.arange(len(h)) + WINDOW * (np.repeat(np.arange(n), np.diff(places)) + 1)
+        yield at, n, h, seat, places
+
+
+def steps(ids: np.ndarray, seat: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Padded rows of up to ``size`` tokens with their neighbours, and the tokens' places in them."""
+    if not len(ids):
+        return
+    row = np.full(seat[-1] + WINDOW + 1, VOCABULARY)
+    row[seat] = ids
+    for lo in range(0, len(ids), size):
+        own = seat[lo : lo + size]
+        yield row[own[0] - WINDOW : own[-1] + WINDOW + 1], own - own[0] + WINDOW
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(VOCABULARY, np.int64)
-    for batch in batches:
-        for _, _, token, _, _ in sequences(batch.column(0)):
-            total += np.bincount(token, minlength=VOCABULARY)
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], ["token", "n"])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def merged() -> pa.RecordBatch:
+        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        u, back = np.unique(h, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(back, n).astype(np.int64))], ["token", "n"])
+
+    for batch in batches:
+        for _, _, h, _, _ in sequences(batch.column(0)):
+            held.append(np.unique(h, return_counts=True))
+            if sum(len(x) for x, _ in held) > 1_000_000:
+                yield merged()
+                held = []
+    if held:
+        yield merged()
 
-def _mean(pdf):
-    """One block's weights, averaged by the tokens that trained them."""
-    import pandas as pd
 
-    total = np.zeros(len(pdf["weights"].iloc[0]) // 4)
-    for n, blob in zip(pdf["n"], pdf["weights"], strict=True):
-        total += n * np.frombuffer(blob, np.float32)
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "weights": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights averaged by their tokens; columns block, lot, n, weights, sorted by block and lot. One sum is held at a time."""
+    key, n, total = None, 0, np.zeros(0)
 
+    def done() -> pa.RecordBatch:
+        cells = ([key[0]], pa.int32()), ([key[1]], pa.int32()), ([n], pa.int64()), ([(total / n).astype(np.float32).tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cells], ["block", "lot", "n", "weights"])
 
-def fit(batches: Iterator[pa.RecordBatch], net: Network) -> int:
+    for batch in batches:
+        for block, lot, count, blob in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            if key != (block, lot):
+                if key is not None:
+                    yield done()
+                key, n, total = (block, lot), 0, np.zeros(len(blob) // 4)
+            n += count
+            total += count * np.frombuffer(blob, np.float32)
+    if key is not None:
+        yield done()
+
+
+def averaged(parts: DataFrame) -> DataFrame:
+    """One row for each block of ``parts`` (block, lot, n, weights), by way of partial means of LOTS lots, so no task meets all parts of a block."""
+    for lot in (F.pmod("lot", F.lit(LOTS)), F.lit(0)):
+        rows = parts.withColumn("lot", lot.cast("int")).repartition(partitions(parts.sparkSession), "block", "lot").sortWithinPartitions("block", "lot", "n", "weights")
+        parts = rows.mapInArrow(_mean, "block int, lot int, n long, weights binary")
+    return parts
+
+
+def fit(batches: Iterator[pa.RecordBatch], net: Network, mapping: tuple[np.ndarray, np.ndarray]) -> int:
     """Trains ``net`` on every position of the texts in column 0, and tells how many there were."""
     past, n = Network(np.zeros_like(net.flat)), 0
     for batch in batches:
-        for _, _, token, near, _ in sequences(batch.column(0)):
-            for lo in range(0, len(token), STEP):
-                net.learn(near[lo : lo + STEP], token[lo : lo + STEP], past)
-            n += len(token)
+        for _, _, h, seat, _ in sequences(batch.column(0)):
+            for row, at in steps(numbered(h, mapping)[0], seat, STEP):
+                net.learn(row, at, past)
+            n += len(h)
     return n
 
 
-def train(docs: DataFrame, rounds: int = 1) -> np.ndarray:
-    """Weights trained on the texts of all of ``docs``; of an empty table, the untrained ones."""
+def vocabulary(docs: DataFrame) -> Model:
+    """The token table of the texts of ``docs``, ids for its OWN most frequent tokens, and a network that knows the counts alone."""
+    table = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    top = table.orderBy(F.desc("n"), "token").limit(OWN).collect()  # OWN rows at most
+    counts, bins = np.zeros(VOCABULARY), np.zeros((BINS, 2))
+    counts[: len(top)] = [r["n"] for r in top]
+    if top:
+        rare = (F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("token") > top[-1]["token"]))
+        for b, n, distinct in table.where(rare).groupBy(F.col("token").bitwiseAND(BINS - 1)).agg(F.sum("n"), F.count("*")).collect():  # BINS rows at most
+            bins[b] = n, distinct
+    counts[OWN:] = bins[:, 0]
+    order = np.argsort([r["token"] for r in top]).astype(np.int64)
+    known = np.array([r["token"] for r in top], np.int64)[order]
+    return Model(known, order, bins, table, Network.start(counts).flat)
+
+
+def train(docs: DataFrame, rounds: int = 1) -> Model:
+    """A model trained on the texts of all of ``docs``; of an empty table, an untrained one."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    counts = np.zeros(VOCABULARY)
-    for token, n in texts.mapInArrow(_counts, "token int, n long").groupBy("token").agg(F.sum("n")).collect():  # at most VOCABULARY rows
-        counts[token] = n
-    weights = Network.start(counts).flat
+    model = vocabulary(docs)
     for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast(weights)
+        shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            net = Network(shared.value.copy())
-            n = fit(batches, net)
+            from pyspark import TaskContext
+
+            weights, mapping = shared.value
+            net = Network(weights.copy())
+            n = fit(batches, net, mapping)
             if n:
                 parts = [net.flat[lo : lo + BLOCK].tobytes() for lo in range(0, len(net.flat), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["block", "n", "weights"])
+                cells = (range(len(parts)), pa.int32()), ([TaskContext.get().partitionId()] * len(parts), pa.int32()), ([n] * len(parts), pa.int64()), (parts, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cells], ["block", "lot", "n", "weights"])
 
-        fitted = texts.mapInArrow(run, "block int, n long, weights binary").groupBy("block").applyInPandas(_mean, "block int, weights binary").collect()
-        if fitted:  # as many rows as the network has blocks
-            weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(fitted, key=lambda r: r["block"])])
-    return weights
+        fitted = averaged(texts.mapInArrow(run, "block int, lot int, n long, weights binary")).collect()  # as many rows as the network has blocks
+        if fitted:
+            model.weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(fitted, key=lambda r: r["block"])])
+    return model
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, log_probability, mean_log_probability); a text without tokens has 0 and a null mean."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+def _lists(own: np.ndarray, h: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Each document's distinct tokens and how often it has them."""
+    order = np.lexsort((h, own))
+    own, h = own[order], h[order]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    ends = pa.array(np.searchsorted(own[first], np.arange(n + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(ends, pa.array(v)) for v in (h[first].view(np.int64), np.diff(np.append(first, len(h))).astype(np.int64)))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, mean_log_probability, log_probability, n_tokens); a text without tokens has a null mean and 0.
+
+    In a bin of N counts and D distinct tokens, a token seen n times has the share (n + 1) / (N + D + 1), which
+    leaves one part for tokens never seen.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping(), np.log(model.bins.sum(1) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shared.value)
+        weights, mapping, norms = shared.value
+        net = Network(weights)
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for at, k, token, near, places in sequences(batch.column(1)):
-                logs = np.concatenate([np.zeros(0), *[net.forward(near[lo : lo + 4096], token[lo : lo + 4096])[0] for lo in range(0, len(token), 4096)]])
-                n[at : at + k] = np.diff(places)
+            for first, k, h, seat, places in sequences(batch.column(1)):
+                ids, rare = numbered(h, mapping)
+                logs = np.concatenate([np.zeros(0), *[net.forward(row, at)[0] for row, at in steps(ids, seat, STEP)]])
+                logs[rare] -= norms[ids[rare] - OWN]
                 sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
-                total[at : at + k] = sums[places[1:]] - sums[places[:-1]]
-            with np.errstate(invalid="ignore"):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / n, mask=n == 0)], ["doc_id", "n_tokens", "log_probability", "mean_log_probability"])
+                own = np.repeat(np.arange(k), np.diff(places))
+                tokens, times = _lists(own[rare], h[rare], k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(places).astype(np.int64)), pa.array(sums[places[1:]] - sums[places[:-1]]), tokens, times], ["doc_id", "n_tokens", "known", "tokens", "times"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_probability double, mean_log_probability double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(texts.mapInArrow(run, "doc_id long, n_tokens long, known double, tokens array<long>, times array<long>").withColumn("own", F.monotonically_increasing_id()))
+    met = rows.select("own", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("own", "t.*").withColumnRenamed("tokens", "token")
+    shares = met.join(model.table, "token", "left").groupBy("own").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("shares"))
+    total = F.col("known") + F.coalesce("shares", F.lit(0.0))
+    return rows.join(shares, "own", "left").select("doc_id", F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_probability"), total.alias("log_probability"), "n_tokens")
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = 1) -> DataFrame:
-    """Scores of every row of ``docs`` (doc_id, text) under a network trained on all of them.
+    """Scores of every row of ``docs`` (doc_id, text) under a model trained on all of them, as of ``score``.
 
-    Null and empty texts have no tokens; repeated rows count and are scored each; other columns are not read.
+    Null and empty texts have no tokens; repeated rows count and are scored each, alike; rows without doc_id are
+    scored too. Texts may be as long as a row can be: they are read in pieces. Other columns are not read, and an
+    empty table gives an empty one.
     """
     return score(docs, train(docs, rounds))

@@ -1,85 +1,135 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from pulsegrid.llm import masked_lm
+from pulsegrid.llm import masked_lm, queries
 from pulsegrid.llm.masked_lm import Network
 
+PAD = masked_lm.VOCABULARY
+
 
 def net(seed=1):
     own = Network.start(np.arange(masked_lm.VOCABULARY) % 7)
     own.flat += np.random.default_rng(seed).normal(0, 0.1, len(own.flat)).astype(np.float32)
+    own.parts[0][PAD] = 0
     return own
 
 
 def test_probabilities_sum_to_one_and_use_both_sides():
     own = net()
-    near = np.array([[1, 2, 3, 4, 5, 6]] * masked_lm.VOCABULARY)
-    logs, _ = own.forward(near, np.arange(masked_lm.VOCABULARY))
+    tokens = np.arange(PAD)
+    row = np.tile([1, 2, 3, 0, 4, 5, 6], PAD)
+    at = np.arange(PAD) * 7 + 3
+    row[at] = tokens
+    logs, _ = own.forward(row, at)
     assert abs(np.exp(logs.astype(float)).sum() - 1) < 1e-4
-    for place in range(6):
-        other = near.copy()
-        other[:, place] = 77
-        assert not np.allclose(own.forward(other, np.arange(masked_lm.VOCABULARY))[0], logs)
+    for place in (0, 1, 2, 4, 5, 6):
+        other = row.copy()
+        other[np.arange(PAD) * 7 + place] = 77
+        assert not np.allclose(own.forward(other, at)[0], logs)
 
 
 def test_gradient_equals_differences():
     own, r = net(), np.random.default_rng(2)
-    near, token = r.integers(0, masked_lm.VOCABULARY, (5, 6)), r.integers(0, masked_lm.VOCABULARY, 5)
+    row = np.concatenate([[PAD] * 3, r.integers(0, 40, 9), [PAD] * 3, r.integers(0, PAD, 4), [PAD] * 3])
+    at = np.flatnonzero(row != PAD)
     flat = own.flat.astype(np.float64)
     before = flat.copy()
-
-    exact = Network(flat)
-    past = Network(np.zeros_like(flat))
-    exact.learn(near, token, past)
-    moved = np.flatnonzero(past.flat > 1e-8)
-    for i in r.choice(moved, 25, replace=False):
+    exact, past = Network(flat), Network(np.zeros(len(flat)))
+    exact.learn(row, at, past)
+    moved = np.flatnonzero((past.flat > 1e-8) & (np.arange(len(flat)) // masked_lm.DIM != PAD))
+    for i in r.choice(moved, 40, replace=False):
         a, b = before.copy(), before.copy()
         a[i] += 1e-5
         b[i] -= 1e-5
-        slope = -(Network(a).forward(near, token)[0].astype(float).mean() - Network(b).forward(near, token)[0].astype(float).mean()) / 2e-5
-        assert abs(abs(slope) - np.sqrt(past.flat[i])) < 1e-2 * (0.01 + abs(slope)) + 2e-3
+        slope = -(Network(a).forward(row, at)[0].mean() - Network(b).forward(row, at)[0].mean()) / 2e-5
+        assert abs(abs(slope) - np.sqrt(past.flat[i])) < 1e-4 * (1 + abs(slope))
+        want = before[i] - masked_lm.RATE * slope / (abs(slope) + 1e-6)  # the first step of Adagrad
+        assert abs(want - flat[i]) < 1e-3
 
 
 def test_neighbours_stop_at_documents():
-    rows = list(masked_lm.sequences(pa.array(["a b", None, "", "c"])))
-    (_, n, token, near, places), = rows
+    ((_, n, h, seat, places),) = masked_lm.sequences(pa.array(["a b", None, "", "c"]))
     assert n == 4 and places.tolist() == [0, 2, 2, 2, 3]
-    pad = masked_lm.VOCABULARY
-    assert near[0].tolist() == [pad, pad, pad, token[1], pad, pad] and near[2].tolist() == [pad] * 6
+    ((row, at),) = masked_lm.steps(np.array([7, 8, 9]), seat, 100)
+    assert [row[a - 3 : a + 4].tolist() for a in at] == [[PAD, PAD, PAD, 7, 8, PAD, PAD], [PAD, PAD, 7, 8, PAD, PAD, PAD], [PAD, PAD, PAD, 9, PAD, PAD, PAD]]
+    apart = [row[a - 3 : a + 4].tolist() for row, at in masked_lm.steps(np.array([7, 8, 9]), seat, 1) for a in at]
+    assert apart == [row[a - 3 : a + 4].tolist() for a in at]  # steps see over their ends
+
+
+def test_every_position_is_a_target(monkeypatch):
+    texts = ["one two three, four. " * 1700, None, "one two three", ""]
+    seen = []
+    monkeypatch.setattr(Network, "learn", lambda self, row, at, past: seen.append(row[at]))
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = masked_lm.fit(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), net(), none)
+    ((_, _, h, _, _),) = masked_lm.sequences(pa.array(texts))
+    assert n == len(h) > 9000 and max(map(len, seen)) <= masked_lm.STEP
+    assert np.concatenate(seen).tolist() == masked_lm.numbered(h, none)[0].tolist()
+
+
+def test_averages_equal_direct_means(spark):
+    r = np.random.default_rng(3)
+    rows = [(b, lot, int(r.integers(1, 9)), r.normal(size=5).astype(np.float32).tobytes()) for b in range(3) for lot in range(100)]
+    got = masked_lm.averaged(spark.createDataFrame(rows, "block int, lot int, n long, weights binary")).collect()
+    assert len(got) == 3
+    for x in got:
+        own = [(n, np.frombuffer(w, np.float32)) for b, _, n, w in rows if b == x.block]
+        assert np.allclose(np.frombuffer(x.weights, np.float32), sum(n * w for n, w in own) / sum(n for n, _ in own), atol=1e-6) and x.n == sum(n for n, _ in own)
+
+
+def tokens_of(text):
+    return re.findall(rb"[0-9A-Za-z_\x80-\xff]+|[^0-9A-Za-z_\x80-\xff\x20\x09-\x0D]+", (text or "").encode())
+
+
+def test_the_token_table_counts_every_token(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = Counter(t for r in docs.collect() for t in tokens_of(r.text))
+    model = masked_lm.vocabulary(docs)
+    counts = sorted((r.n for r in model.table.collect()), reverse=True)
+    assert counts == sorted(want.values(), reverse=True)
+    own = masked_lm.OWN
+    assert len(model.known) == own < len(counts) and model.bins.sum(0).tolist() == [sum(counts[own:]), len(counts) - own]
+
+
+def test_query_is_one_model_fitted_here_and_scored_here(spark, sf_dir):
+    """Training on one partition, and scoring, by plain numpy over the query's table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").coalesce(1)
+    model = masked_lm.vocabulary(docs)
+    texts = [r.text for r in docs.collect()]
+    mine = Network(model.weights.copy())
+    masked_lm.fit(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), mine, model.mapping())
+    theirs = masked_lm.train(docs)
+    assert np.allclose(theirs.weights, mine.flat, atol=1e-3)
+    out = {r.doc_id: r for r in masked_lm.score(docs, theirs).collect()}
+    table = {r.token: r.n for r in model.table.collect()}
+    for row in docs.collect()[:60]:
+        ((_, _, h, seat, _),) = masked_lm.sequences(pa.array([row.text]))
+        ids, rare = masked_lm.numbered(h, model.mapping())
+        logs = sum(Network(theirs.weights).forward(r, at)[0].astype(float).sum() for r, at in masked_lm.steps(ids, seat, 50))
+        logs += sum(np.log((table[t] + 1) / (model.bins[i - masked_lm.OWN].sum() + 1)) for t, i in zip(h.view(np.int64)[rare].tolist(), ids[rare], strict=True))
+        assert out[row.doc_id].n_tokens == len(h) == len(tokens_of(row.text))
+        assert abs(out[row.doc_id].log_probability - logs) < 1e-3 * (1 + len(h))
+    assert {r.doc_id for r in queries.op8_masked_lm(spark, sf_dir).collect()} == set(out)
 
 
 def test_training_beats_counts_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     train, held = docs.where("doc_id % 10 < 4"), docs.where("doc_id % 40 = 39")
-    learned = masked_lm.train(train, rounds=2)
-    counts = np.zeros(masked_lm.VOCABULARY)
-    for batch in train.select("text").toArrow().to_batches():
-        for _, _, token, _, _ in masked_lm.sequences(batch.column(0)):
-            counts += np.bincount(token, minlength=masked_lm.VOCABULARY)
-    mean = lambda w: sum(r.log_probability for r in masked_lm.score(held, w).collect()) / sum(r.n_tokens for r in masked_lm.score(held, w).collect())
-    assert mean(learned) > mean(Network.start(counts).flat) + 0.1
-
-
-def test_scores_are_sums_of_conditionals_and_edge_cases(spark):
-    texts = ["one two three four", None, "", "!!", "x " * 5000]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
-    own = net()
-    out = {r.doc_id: r for r in masked_lm.score(df, own.flat).collect()}
-    (_, _, token, near, places), = masked_lm.sequences(pa.array(texts))
-    logs = own.forward(near, token)[0].astype(float)
-    for i in range(len(texts)):
-        assert abs(out[i].log_probability - logs[places[i] : places[i + 1]].sum()) < 1e-3 * (1 + len(logs))
-    assert out[1].mean_log_probability is None and out[2].n_tokens == 0
+    learned = masked_lm.train(train)
+    start = masked_lm.vocabulary(train)
+    mean = lambda m: masked_lm.score(held, m).agg(F.sum("log_probability") / F.sum("n_tokens")).first()[0]
+    assert mean(learned) > mean(start) + 0.2
+
+
+def test_edge_cases(spark):
+    texts = ["one two three four", None, "", "!!", "x " * 50_000, "one two three four"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1)], "doc_id long, text string, n_tokens int")
+    out = {r.doc_id: r for r in masked_lm.pseudo_likelihood(df).collect()}
+    assert out[1].mean_log_probability is None and (out[2].n_tokens, out[2].log_probability) == (0, 0.0)
+    assert out[0][1:] == out[5][1:] and out[None].n_tokens == 2 and out[4].n_tokens == 50_000
     assert masked_lm.pseudo_likelihood(df.limit(0)).collect() == []
-    assert len(masked_lm.pseudo_likelihood(df.union(df)).collect()) == 10
-
-
-def test_every_position_is_a_target(monkeypatch):
-    texts = ["one two three, four. " * 700, None, "one two three", ""]
-    seen = []
-    monkeypatch.setattr(Network, "learn", lambda self, near, token, past: seen.append((near, token)))
-    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    n = masked_lm.fit(iter([batch]), net())
-    (_, _, token, near, _), = masked_lm.sequences(pa.array(texts))
-    assert n == len(token) > 4000 and max(len(t) for _, t in seen) <= masked_lm.STEP
-    assert np.concatenate([t for _, t in seen]).tolist() == token.tolist() and (np.concatenate([k for k, _ in seen]) == near).all()
+    assert len(masked_lm.pseudo_likelihood(df.union(df)).collect()) == 14
