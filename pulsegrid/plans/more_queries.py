@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from math import cos, radians, sin
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,23 @@ def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs.select("route_id", "pos", F.round("length_m", 3).alias("length_m"), F.round("at_m", 3).alias("at_m"))
 
 
-@query(f"WITH {_PATH_SQL} SELECT k AS route_id, CAST(4 AS INT) AS pos, CAST(k + 4 AS STRING) AS node, 'left' AS maneuver FROM leg WHERE pos = 0")
+#: Turns in degrees of a drive with steps of 100 m, and their classes: every one on either side.
+_BENDS = [(10, "straight"), (30, "slight_right"), (90, "right"), (150, "sharp_right"), (175, "u_turn"), (-12, "straight"), (-30, "slight_left"), (-90, "left"), (-150, "sharp_left"), (-175, "u_turn")]
+
+
+@query("SELECT k AS route_id, CAST(pos AS INT) AS pos, maneuver FROM nodes CROSS JOIN (VALUES " + ", ".join(f"({i + 1}, '{m}')" for i, (_, m) in enumerate(_BENDS) if m != "straight") + ") v(pos, maneuver)")
 def route_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.turn_by_turn(_paths(spark, sf_dir), view(spark, sf_dir, "nodes")).select("route_id", "pos", "node", "maneuver")
+    """A drive with every class of turn from every node of the grid, its bends laid out east and north of it."""
+    nodes = view(spark, sf_dir, "nodes")
+    heading, at = 0, [(0.0, 0.0), (0.0, 100.0)]
+    for turn, _ in _BENDS:
+        heading += turn
+        at.append((at[-1][0] + 100 * sin(radians(heading)), at[-1][1] + 100 * cos(radians(heading))))
+    metre = F.lit(1 / 111_195.0)
+    bends = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(e)) * metre / F.cos(F.radians("lat"))).alias("dx"), (F.lit(float(n)) * metre).alias("dy")) for i, (e, n) in enumerate(at)])
+    placed = nodes.select("k", "lon", "lat", F.explode(bends).alias("b")).select(F.concat_ws("_", "k", "b.i").alias("node_id"), (F.col("lon") + F.col("b.dx")).alias("lon"), (F.col("lat") + F.col("b.dy")).alias("lat"))
+    paths = nodes.select(F.col("k").alias("route_id"), F.array(*[F.concat_ws("_", "k", F.lit(i)) for i in range(len(at))]).alias("path"))
+    return tracking.turn_by_turn(paths, placed).select("route_id", "pos", "maneuver")
 
 
 @query(f"""WITH {_PATH_SQL}, m AS (SELECT leg.k, {_apart('a', 'b')} AS d, CAST(b.k % 7 AS DOUBLE) - a.k % 7 AS h FROM leg JOIN nodes a ON a.node_id = leg.src JOIN nodes b ON b.node_id = leg.dst)
@@ -226,7 +241,8 @@ def stream_unit_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT event_id FROM events", plain=True)
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _event_stream(spark, sf_dir).select("event_id", "ts")
+    """Each event arrives one to three times."""
+    e = _event_stream(spark, sf_dir).select("event_id", "ts", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("again"))
     return _drained(spark, live.deduplicated(e)).select("event_id")
 
 

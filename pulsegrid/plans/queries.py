@@ -339,10 +339,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.strongly_connected(edges, nodes, _blocks(nodes, 25))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(0 AS BIGINT) AS without_coordinates, (SELECT count(*) FROM edges) AS edges, CAST(0 AS BIGINT) AS dangling_edges FROM nodes")
+@query("""WITH known AS (SELECT * FROM nodes WHERE k % 17 <> 5)
+SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) FILTER (k % 13 = 0) AS BIGINT) AS without_coordinates, (SELECT count(*) FROM edges) AS edges,
+(SELECT count(*) FROM (SELECT DISTINCT src, dst FROM edges WHERE src NOT IN (SELECT node_id FROM known) OR dst NOT IN (SELECT node_id FROM known))) AS dangling_edges FROM known""")
 def network_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a network with a part of its nodes missing and others without coordinates."""
     nodes, edges = _at(spark, sf_dir, "nodes", "edges")
-    return network.describe_network(nodes, edges)
+    return network.describe_network(nodes.where("k % 17 <> 5").withColumn("lon", F.when(F.col("k") % 13 != 0, F.col("lon"))), edges)
 
 
 @query("SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(cost) AS cost, count(DISTINCT src) > 1 AS both_ways FROM edges GROUP BY 1, 2")
@@ -440,11 +443,24 @@ def audit_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- exports
 
-@query("""SELECT incident_id, printf('%.2f', CAST(report_s AS DOUBLE)) AS report_time_s, printf('%.2f', CAST(first_dispatch_s AS DOUBLE)) AS first_dispatch_time_s, coalesce(printf('%.2f', CAST(first_arrival_s AS DOUBLE)), '') AS first_arrival_time_s, coalesce(printf('%.2f', CAST(first_arrival_s - first_dispatch_s AS DOUBLE)), '') AS first_travel_time_s FROM responses""")
+_TWO = "coalesce(printf('%.2f', CAST({x} AS DOUBLE)), '')"
+_SPAN = "CASE WHEN {b} >= {a} THEN {b} - {a} END"
+_EXPORTED = {
+    "report_time_s": "report_s", "first_dispatch_time_s": "first_dispatch_s", "first_arrival_time_s": "first_arrival_s", "all_arrival_time_s": "all_arrival_s", "cleared_time_s": "cleared_s", "queue_delay_s": "queue_delay_s",
+    "turnout_time_s": _SPAN.format(a="report_s", b="first_dispatch_s"), "first_travel_time_s": _SPAN.format(a="first_dispatch_s", b="first_arrival_s"), "first_total_response_time_s": _SPAN.format(a="report_s", b="first_arrival_s"), "full_alarm_travel_time_s": _SPAN.format(a="first_dispatch_s", b="all_arrival_s"),
+}
+
+
+@query(f"""WITH r AS (SELECT *, CASE WHEN CAST(incident_id AS BIGINT) % 4 = 1 THEN all_arrival_s + 7 END AS cleared_s, CAST(incident_id AS BIGINT) % 3 AS u FROM responses)
+SELECT incident_id, priority AS emergency_type, CONCAT('level ', CAST(u AS STRING)) AS urgency, {", ".join(f"{_TWO.format(x=x)} AS {name}" for name, x in _EXPORTED.items())},
+CAST(u AS INT) AS units_count, CASE u WHEN 0 THEN '' WHEN 1 THEN 'U1' ELSE 'U1;U2' END AS assigned_units FROM r""")
 def incident_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = view(spark, sf_dir, "responses")
-    r = r.select("incident_id", F.col("priority").alias("emergency_type"), F.lit("").alias("urgency"), "report_s", *[F.col(c).cast("double").alias(c) for c in ("first_dispatch_s", "first_arrival_s", "all_arrival_s")], F.lit(None).cast("double").alias("cleared_s"), "queue_delay_s", F.array().cast("array<string>").alias("assigned_units"))
-    return exports.incident_rows(r).select("incident_id", "report_time_s", "first_dispatch_time_s", "first_arrival_time_s", "first_travel_time_s")
+    r, u = view(spark, sf_dir, "responses"), F.col("incident_id").cast("long") % 3
+    units = F.slice(F.array(F.lit("U1"), F.lit("U2")), F.lit(1), u.cast("int"))
+    times = [F.col(c).cast("double").alias(c) for c in ("first_dispatch_s", "first_arrival_s", "all_arrival_s")]
+    cleared = F.when(F.col("incident_id").cast("long") % 4 == 1, (F.col("all_arrival_s") + 7).cast("double"))
+    rows = r.select("incident_id", F.col("priority").alias("emergency_type"), F.concat(F.lit("level "), u.cast("string")).alias("urgency"), "report_s", *times, cleared.alias("cleared_s"), "queue_delay_s", units.alias("assigned_units"))
+    return exports.incident_rows(rows)
 
 
 @query()
