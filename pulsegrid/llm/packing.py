@@ -8,6 +8,8 @@ gathering a bucket in one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ from pulsegrid.llm.ranges import numbered, position
 from pulsegrid.llm.store import written
 
 BUCKETS, BUDGET = 16, 16_384
-#: Rows of a bucket that one task numbers, about, and most such lots of all buckets.
-LOT_ROWS, MOST_LOTS = 200_000, 8192
+#: Rows and tokens of a bucket that one task numbers, about, and most such lots of all buckets.
+LOT_ROWS, LOT_TOKENS, MOST_LOTS = 200_000, 1 << 24, 1 << 17
 
 
 def length(text: Column) -> Column:
@@ -88,9 +90,13 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, tokens:
     if not ends:
         return docs.select(*names, *[F.lit(0).cast("long").alias(c) for c in made]).limit(0)
     placed = rows.withColumn("bucket", position(F.col("n_tokens") - 1, ends))
-    inside = {b: sum(n for size, n in histogram if (ends[b - 1] if b else 0) < size <= ends[b]) for b in range(len(ends))}
+    inside, held = dict.fromkeys(range(len(ends)), 0), dict.fromkeys(range(len(ends)), 0)
+    for size, n in histogram:
+        b = bisect_left(ends, size)
+        inside[b] += n
+        held[b] += size * n
     least = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4 // len(ends))
-    lots = {b: int(min(max(least, n // LOT_ROWS), MOST_LOTS // len(ends), n) or 1) for b, n in inside.items()}
+    lots = {b: int(min(max(least, n // LOT_ROWS, held[b] // LOT_TOKENS), MOST_LOTS // len(ends), n) or 1) for b, n in inside.items()}
     table = docs.sparkSession.createDataFrame([*lots.items()], "bucket int, lots int")
     placed = placed.join(F.broadcast(table), "bucket").withColumn("lot", F.pmod("spread", F.col("lots")).cast("int")).drop("lots")
     units, at = [], dict.fromkeys(inside, 0)
