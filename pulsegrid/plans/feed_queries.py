@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import geo
@@ -29,23 +29,28 @@ def _documents(rows: DataFrame) -> str:
 _WAYS = """way AS (SELECT a.k AS a, b.k AS b, CAST(floor(a.k / 50) AS BIGINT) AS r, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM nodes a JOIN nodes b ON b.k = a.k + 1 WHERE a.k % 50 <> 49),
 kept AS (SELECT *, r % 5 <> 3 AS fore, r % 5 <> 1 AS back FROM way WHERE r % 7 <> 5 AND r % 11 <> 6),
 steps AS (SELECT a AS src, b AS dst, r, x0, y0, x1, y1 FROM kept WHERE fore UNION ALL SELECT b, a, r, x0, y0, x1, y1 FROM kept WHERE back)"""
-_TAGS = F.create_map(
-    F.lit("highway"), F.when(F.col("r") % 7 == 5, "footway").otherwise("residential"),
-    F.lit("oneway"), F.when(F.col("r") % 5 == 1, "yes").when(F.col("r") % 5 == 3, "-1").otherwise("no"),
-    F.lit("access"), F.when(F.col("r") % 11 == 6, "private").otherwise("yes"),
-    F.lit("name"), F.concat(F.lit("Row "), F.col("r").cast("string")),
-)
+
+
+def _tags() -> Column:
+    oneway = F.when(F.col("r") % 5 == 1, "yes").when(F.col("r") % 5 == 3, "-1").otherwise("no")
+    tags = {
+        "highway": F.when(F.col("r") % 7 == 5, "footway").otherwise("residential"),
+        "oneway": oneway,
+        "access": F.when(F.col("r") % 11 == 6, "private").otherwise("yes"),
+        "name": F.concat(F.lit("Row "), F.col("r").cast("string")),
+    }
+    return F.create_map(*[x for k, v in tags.items() for x in (F.lit(k), v)])
 
 
 def _rows_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(r, members sorted by k) with a thousandth of the nodes left out of the ways by their own row."""
+    """(r, members sorted by k): the nodes of each row of the grid."""
     nodes = view(spark, sf_dir, "nodes").withColumn("r", F.floor(F.col("k") / 50).cast("long"))
     return nodes.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))).alias("m"))
 
 
 def _osm_json(spark: SparkSession, sf_dir: str) -> str:
     points = F.transform("m", lambda p: F.struct(F.lit("node").alias("type"), p["k"].alias("id"), p["lat"].alias("lat"), p["lon"].alias("lon")))
-    way = F.struct(F.lit("way").alias("type"), (F.col("r") + 1_000_000).alias("id"), F.transform("m", lambda p: p["k"]).alias("nodes"), _TAGS.alias("tags"))
+    way = F.struct(F.lit("way").alias("type"), (F.col("r") + 1_000_000).alias("id"), F.transform("m", lambda p: p["k"]).alias("nodes"), _tags().alias("tags"))
     dots = F.array_join(F.transform(points, lambda p: F.to_json(p)), ",")
     doc = F.concat(F.lit('{"elements":['), dots, F.lit(","), F.to_json(way), F.lit("]}"))
     return _documents(_rows_of_grid(spark, sf_dir).select(F.col("r").alias("name"), doc.alias("doc")))
@@ -54,7 +59,7 @@ def _osm_json(spark: SparkSession, sf_dir: str) -> str:
 def _osm_xml(spark: SparkSession, sf_dir: str) -> str:
     dots = F.array_join(F.transform("m", lambda p: F.format_string('<node id="%d" lat="%s" lon="%s"/>', p["k"], p["lat"].cast("string"), p["lon"].cast("string"))), "")
     refs = F.array_join(F.transform("m", lambda p: F.format_string('<nd ref="%d"/>', p["k"])), "")
-    tags = F.array_join(F.transform(F.map_entries(_TAGS), lambda t: F.format_string('<tag k="%s" v="%s"/>', t["key"], t["value"])), "")
+    tags = F.array_join(F.transform(F.map_entries(_tags()), lambda t: F.format_string('<tag k="%s" v="%s"/>', t["key"], t["value"])), "")
     doc = F.concat(F.lit('<osm version="0.6">'), dots, F.format_string('<way id="%d">', F.col("r") + 1_000_000), refs, tags, F.lit('<tag k="" v="x"/></way></osm>'))
     return _documents(_rows_of_grid(spark, sf_dir).select(F.col("r").alias("name"), doc.alias("doc")))
 
@@ -78,7 +83,7 @@ def extract_roads_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_WAYS}, used AS (SELECT src AS k FROM steps UNION SELECT dst FROM steps) SELECT node_id, lon, lat FROM nodes WHERE k IN (SELECT k FROM used)")
 def extract_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that a kept way refers to; rows of one node have no steps and are left out of the comparison by a join with the edges."""
+    """Nodes at the ends of kept roads; a row of one node has a way without steps, so its node is left out here."""
     nodes, edges = maps.read_osm_json(spark, _osm_json(spark, sf_dir))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
     return nodes.join(ends, "node_id", "left_semi").select("node_id", "lon", "lat")
