@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import feeds as feed_words
 from pulsegrid.functions import geo
 from pulsegrid.operators import metrics, network, overlay, spatial, tracking
 from pulsegrid.plans.lineage import shared_folder
@@ -171,6 +172,19 @@ def weather_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("hazard_type", "severity", "speed_multiplier").agg(F.count("*").alias("n"))
 
 
+# --- an operator's words
+
+_SAID = "CASE event_id % 7 WHEN 0 THEN ' Flash_Flood ' WHEN 1 THEN 'bush FIRE' WHEN 2 THEN 'toxic cloud' WHEN 3 THEN 'bridge collapse' WHEN 4 THEN 'civil_unrest' WHEN 5 THEN 'fire and gas' ELSE 'nothing known' END"
+_HOW = "CASE user_id % 5 WHEN 0 THEN 'CRITICAL!' WHEN 1 THEN 'quite severe' WHEN 2 THEN 'Moderate' WHEN 3 THEN 'low' ELSE 'unclear' END"
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'flood_inundation' WHEN 1 THEN 'wildfire_perimeter' WHEN 2 THEN 'toxic_gas_plume' WHEN 3 THEN 'structural_debris' WHEN 4 THEN 'civil_unrest' WHEN 5 THEN 'wildfire_perimeter' ELSE 'flood_inundation' END AS hazard_type,
+CASE user_id % 5 WHEN 1 THEN 'severe' WHEN 2 THEN 'moderate' WHEN 3 THEN 'low' ELSE 'critical_blocked' END AS severity FROM events""", plain=True)
+def hazard_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "events").select("event_id", F.expr(_SAID).alias("said"), F.expr(_HOW).alias("how"))
+    return said.select("event_id", feed_words.hazard_from_text(F.col("said")).alias("hazard_type"), feed_words.severity_from_text(F.col("how")).alias("severity"))
+
+
 # --- facilities bound to roads
 
 @query("""SELECT s_suppkey, s_suppkey % 3 <> 0 AS bound, CASE WHEN s_suppkey % 3 <> 0 THEN node_id END AS nearest_node_id FROM supplier CROSS JOIN size JOIN nodes ON k = 1 + (s_suppkey * 37) % (n - 1)""")

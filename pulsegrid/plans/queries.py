@@ -400,13 +400,13 @@ def _masked(sql: str) -> str:
     return sql
 
 
-@query(f"SELECT doc_id, sha256({_masked('text')}) AS masked_sha256, len(regexp_extract_all({_masked('text')}, 'REDACTED')) AS marks FROM documents WHERE lang = 'en'", plain=True)
+@query(f"SELECT doc_id, sha256({_masked('text')}) AS masked_sha256, len(regexp_extract_all({_masked('text')}, 'REDACTED')) AS marks FROM documents", plain=True)
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = text.mask_pii(F.col("text"))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
 
 
-@query()
+@query(f"SELECT doc_id, lang, sha256({_masked('text')}) AS masked_sha256, len(regexp_extract_all({_masked('text')}, 'REDACTED')) AS marks FROM documents", plain=True)
 def masked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``masked_documents`` over every document, whatever its language or without one."""
     masked = text.mask_pii(F.col("text"))

@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -40,6 +42,11 @@ def test_query_without_sql_has_rows(spark, sf_dir, name):
     assert own.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_import_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), check=True, timeout=120)
+
+
 def test_contract(spark):
     assert entry.entry(spark).count() > 0
     assert set(own.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
