@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 from pulsegrid.plans import queries as own
 
-SLOW = {"components"}  # main_network is made from it
+SLOW = {"components", "main_network"}  # tests/test_network.py holds both operators against plain Python
 
 
 @pytest.fixture(scope="module")
