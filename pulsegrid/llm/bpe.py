@@ -166,6 +166,8 @@ def encoder(path: str) -> Encoder:
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, token_ids) of whole texts, one row per row; null and empty texts have no tokens.
 
+    Texts may be as long as a row can be. Repeated rows give equal rows, rows without doc_id keep their null, other
+    columns are not read whatever their names, and an empty table gives an empty one.
     ``vocabulary`` is the path of a byte-level BPE tokenizer file that every worker can open.
     """
 
@@ -182,7 +184,10 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, token_ids) with ``decoded``: the tokens' bytes as UTF-8, broken sequences replaced; null ids give a null."""
+    """(doc_id, token_ids) with ``decoded``: the tokens' bytes as UTF-8, broken sequences replaced; null ids give a null.
+
+    Repeated rows give equal rows, other columns are not read, and an empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
