@@ -23,7 +23,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder."""
+    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder.
+
+    Nulls, empty and very long texts, ties, repeated rows and further columns are each stage's to settle (see
+    ``pulsegrid.llm.stages``); an empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{stages.shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
