@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.lineage import cut
@@ -21,86 +22,150 @@ from pulsegrid.plans.lineage import cut
 INFINITE = float("inf")
 #: Estimated rounds up to which plain rounds are used.
 PLAIN_ROUNDS = 20
+#: Origins that one group of a block's round settles, on average.
+ORIGINS = 64
 
 
-def _relax(edges: DataFrame, seeds: DataFrame, key: list[str], max_cost: float | None) -> DataFrame:
-    """Least (cost, origin, pred) of each key; seeds are (origin, node, cost)."""
+def _nearest_only(labels: DataFrame, k: int | None) -> DataFrame:
+    """Of each (kind, node) the ``k`` least labels by cost, then origin; all of them without ``k``."""
+    if k is None:
+        return labels
+    place = F.row_number().over(Window.partitionBy("kind", "node").orderBy("cost", "origin"))
+    return labels.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
+def _relax(edges: DataFrame, seeds: DataFrame, max_cost: float | None, k: int | None = None) -> DataFrame:
+    """Least (cost, pred) of each (origin, node); seeds are (origin, node, cost) and, if labels are limited, kind."""
     roads = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
-    best = F.min(F.struct("cost", "fresh", "origin", "pred")).alias("b")
-    state = seeds.select("origin", "node", "cost", F.lit(None).cast("string").alias("pred"), F.lit(1).alias("fresh"))
-    out = lambda rows: rows.groupBy(*key).agg(best).select("node", F.col("b.origin").alias("origin"), "b.cost", "b.pred", "b.fresh")
-    state = cut(out(state))
+    best = F.min(F.struct("cost", "fresh", "pred", "kind")).alias("b")
+    kind = F.col("kind") if "kind" in seeds.columns else F.lit("")
+    state = seeds.select(
+        "origin",
+        "node",
+        "cost",
+        F.lit(None).cast("string").alias("pred"),
+        F.lit(1).alias("fresh"),
+        kind.alias("kind"),
+    )
+
+    def least(rows: DataFrame) -> DataFrame:
+        return _nearest_only(rows.groupBy("origin", "node").agg(best).select("origin", "node", "b.*"), k)
+
+    state = cut(least(state))
     roads = cut(roads)
     while not state.where("fresh = 1").isEmpty():
-        near = state.where("fresh = 1").join(roads, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "origin", (F.col("cost") + F.col("step")).alias("cost"), F.col("node").alias("pred"), F.lit(1).alias("fresh"))
+        near = (
+            state.where("fresh = 1")
+            .join(roads, F.col("node") == F.col("src"))
+            .select(
+                "origin",
+                F.col("dst").alias("node"),
+                (F.col("cost") + F.col("step")).alias("cost"),
+                F.lit(1).alias("fresh"),
+                F.col("node").alias("pred"),
+                "kind",
+            )
+        )
         if max_cost is not None:
             near = near.where(F.col("cost") <= max_cost)
-        state = cut(out(state.withColumn("fresh", F.lit(0)).unionByName(near)))
-    return state.drop("fresh")
+        state = cut(least(state.withColumn("fresh", F.lit(0)).unionByName(near)))
+    return state.select("node", "origin", "cost", "pred")
 
 
-def _settle(per_origin: bool, max_cost: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """One block's round: Dijkstra from all labels that arrived, giving improved labels inside and just outside."""
+def _settle(max_cost: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One block's round for some origins: Dijkstra from the labels that arrived, improved labels inside and just outside."""
 
     def run(labels: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        out_roads: dict[str, list[tuple[str, float, int]]] = {}
+        out_roads: dict[str, list[tuple[str, float, int | None]]] = {}
         for src, dst, step, to_block in zip(roads["src"], roads["dst"], roads["step"], roads["dst_block"], strict=True):
             out_roads.setdefault(src, []).append((dst, step, to_block))
         rows = []
-        groups = labels.groupby("origin", sort=True) if per_origin else [(None, labels)]
-        for _, own in groups:
-            if not own["fresh"].any():  # nothing new for this origin here
-                rows += zip(own["block"], own["origin"], own["node"], own["cost"], own["pred"], own["fresh"], strict=True)
-                continue
-            best: dict[str, tuple] = {}
-            for origin, node, cost, pred, fresh in zip(own["origin"], own["node"], own["cost"], own["pred"], own["fresh"], strict=True):
-                label = (cost, fresh, origin, pred if isinstance(pred, str) else "")
-                if node not in best or label < best[node]:
-                    best[node] = label
-            heap = [(c, o, n, p) for n, (c, fresh, o, p) in best.items() if fresh]
+        for origin, own in labels.groupby("origin", sort=True):
+            block, kind = int(own["block"].iloc[0]), own["kind"].iloc[0]
+            best = {
+                node: (cost, fresh, pred if isinstance(pred, str) else "")
+                for node, cost, fresh, pred in zip(own["node"], own["cost"], own["fresh"], own["pred"], strict=True)
+            }
+            heap = [(cost, node, pred) for node, (cost, fresh, pred) in best.items() if fresh]
             heapq.heapify(heap)
-            outside: dict[str, tuple] = {}
-            changed: dict[str, tuple] = {}
+            outside: dict[str, tuple[float, str, int]] = {}
             while heap:
-                cost, origin, node, pred = heapq.heappop(heap)
-                if (cost, origin, pred) != (best[node][0], best[node][2], best[node][3]):
+                cost, node, pred = heapq.heappop(heap)
+                if (cost, pred) != (best[node][0], best[node][2]):
                     continue
-                changed[node] = (cost, origin, pred)
                 for dst, step, to_block in out_roads.get(node, ()):
                     new = cost + step
                     if max_cost is not None and new > max_cost:
                         continue
-                    if to_block is not None and to_block == to_block and int(to_block) != int(own["block"].iloc[0]):
-                        if dst not in outside or (new, origin) < outside[dst][:2]:
-                            outside[dst] = (new, origin, node, int(to_block))
-                    elif dst not in best or (new, origin) < (best[dst][0], best[dst][2]):
-                        best[dst] = (new, 1, origin, node)
-                        heapq.heappush(heap, (new, origin, dst, node))
-            block = int(own["block"].iloc[0])
-            rows += [(block, o, n, c, p or None, 0) for n, (c, _, o, p) in best.items()]
-            rows += [(b, o, n, c, p, 1) for n, (c, o, p, b) in outside.items()]
-        return pd.DataFrame(rows, columns=["block", "origin", "node", "cost", "pred", "fresh"])
+                    if to_block is not None and to_block == to_block and int(to_block) != block:
+                        if dst not in outside or new < outside[dst][0]:
+                            outside[dst] = (new, node, int(to_block))
+                    elif dst not in best or new < best[dst][0]:
+                        best[dst] = (new, 1, node)
+                        heapq.heappush(heap, (new, dst, node))
+            rows += [(block, origin, n, c, p or None, 0, kind) for n, (c, _, p) in best.items()]
+            rows += [(b, origin, n, c, p, 1, kind) for n, (c, p, b) in outside.items()]
+        return pd.DataFrame(rows, columns=["block", "origin", "node", "cost", "pred", "fresh", "kind"])
 
     return run
 
 
-def _relax_blocks(edges: DataFrame, seeds: DataFrame, blocks: DataFrame, per_origin: bool, max_cost: float | None) -> DataFrame:
-    """The same labels as ``_relax``; ``blocks`` is (node, block). Labels never lose to later equal ones."""
-    schema = "block long, origin string, node string, cost double, pred string, fresh int"
+def _relax_blocks(
+    edges: DataFrame, seeds: DataFrame, blocks: DataFrame, max_cost: float | None, k: int | None = None
+) -> DataFrame:
+    """The same labels as ``_relax``; ``blocks`` is (node, block). Labels never lose to later equal ones.
+
+    A group settles one block for about ORIGINS origins, however many reach it.
+    """
+    schema = "block long, origin string, node string, cost double, pred string, fresh int, kind string"
     at = blocks.select("node", F.col("block").cast("long").alias("block"))
-    roads = edges.groupBy("src", "dst").agg(F.min("cost").alias("step")).join(at.select(F.col("node").alias("src"), "block"), "src").join(at.select(F.col("node").alias("dst"), F.col("block").alias("dst_block")), "dst")
+    roads = (
+        edges.groupBy("src", "dst")
+        .agg(F.min("cost").alias("step"))
+        .join(at.select(F.col("node").alias("src"), "block"), "src")
+        .join(at.select(F.col("node").alias("dst"), F.col("block").alias("dst_block")), "dst")
+    )
     roads = cut(roads.select("block", "src", "dst", "step", "dst_block"))
-    state = cut(seeds.join(at, "node").select("block", "origin", "node", F.col("cost").cast("double").alias("cost"), F.lit(None).cast("string").alias("pred"), F.lit(1).alias("fresh")))
-    key = ["origin", "node"] if per_origin else ["node"]
-    best = F.min(F.struct("cost", "fresh", "origin", "pred", "block")).alias("b")
+    lots = max(1, ceil(seeds.select("origin").distinct().count() / ORIGINS))
+    lot = F.pmod(F.xxhash64("origin"), F.lit(lots)).alias("lot")
+    kind = F.col("kind") if "kind" in seeds.columns else F.lit("")
+    state = seeds.join(at, "node").select(
+        "block",
+        "origin",
+        "node",
+        F.col("cost").cast("double").alias("cost"),
+        F.lit(None).cast("string").alias("pred"),
+        F.lit(1).alias("fresh"),
+        kind.alias("kind"),
+    )
+    best = F.min(F.struct("cost", "fresh", "pred", "block", "kind")).alias("b")
     while True:
-        merged = cut(state.groupBy(*key).agg(best).select("node", F.col("b.block").alias("block"), F.col("b.origin").alias("origin"), F.col("b.cost").alias("cost"), F.col("b.pred").alias("pred"), F.col("b.fresh").alias("fresh")))
+        least = state.groupBy("origin", "node").agg(best).select("origin", "node", "b.*")
+        moves = F.max("fresh").over(Window.partitionBy("block", "lot", "origin"))
+        merged = cut(_nearest_only(least, k).withColumn("lot", lot).withColumn("moves", moves))
         if merged.where("fresh = 1").isEmpty():
             return merged.select("node", "origin", "cost", "pred")
-        moving = merged.where("fresh = 1").select("block").distinct()
-        still = merged.join(moving, "block", "left_anti").select("block", "origin", "node", "cost", "pred", "fresh")
-        busy = merged.join(moving, "block", "left_semi")
-        state = still.unionByName(busy.groupBy("block").cogroup(roads.groupBy("block")).applyInPandas(_settle(per_origin, max_cost), schema))
+        still = merged.where("moves = 0").drop("lot", "moves")
+        busy = merged.where("moves = 1").drop("moves")
+        groups = busy.select("block", F.col("lot").alias("of_lot")).distinct()
+        ways = roads.join(groups, "block").groupBy("block", "of_lot")
+        busy = busy.groupBy("block", "lot")
+        state = still.unionByName(busy.cogroup(ways).applyInPandas(_settle(max_cost), schema))
+
+
+def nearest_origins(
+    edges: DataFrame, origins: DataFrame, k: int, targets: DataFrame | None = None, blocks: DataFrame | None = None
+) -> DataFrame:
+    """(kind, origin, node, cost): for each node, or each of ``targets`` (node), the ``k`` nearest origins of each kind.
+
+    origins: (origin, node, kind); ties go to the smaller origin. Only k labels of a kind are kept at a node in any
+    round: an origin beyond them there is beyond them, too, at every node that its ways lead on to.
+    """
+    seeds = origins.select("origin", "node", F.lit(0.0).alias("cost"), "kind").distinct()
+    found = _relax(edges, seeds, None, k) if blocks is None else _relax_blocks(edges, seeds, blocks, None, k)
+    if targets is not None:
+        found = found.join(targets.select("node").distinct(), "node", "left_semi")
+    return found.join(origins.select("origin", "kind").distinct(), "origin").select("kind", "origin", "node", "cost")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_cost: float | None = None, blocks: DataFrame | None = None) -> DataFrame:
@@ -110,7 +175,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
     no row. With ``blocks`` (node, block) rounds settle whole blocks; labels are the same.
     """
     seeds = sources.select(F.col("source").alias("origin"), F.col("source").alias("node"), F.lit(0.0).alias("cost")).distinct()
-    found = _relax(edges, seeds, ["origin", "node"], max_cost) if blocks is None else _relax_blocks(edges, seeds, blocks, True, max_cost)
+    found = _relax(edges, seeds, max_cost) if blocks is None else _relax_blocks(edges, seeds, blocks, max_cost)
     out = found.select(F.col("origin").alias("source"), "node", "cost", "pred")
     return out if targets is None else out.join(targets.select("node").distinct(), "node", "left_semi").select("source", "node", "cost", "pred")
 
@@ -154,8 +219,8 @@ def _relax_ties(edges: DataFrame, seeds: DataFrame, max_cost: float | None) -> D
 
 
 def _relax_ties_blocks(edges: DataFrame, seeds: DataFrame, blocks: DataFrame, max_cost: float | None) -> DataFrame:
-    found = _relax_blocks(edges, seeds, blocks, True, max_cost)
-    return found.groupBy("node").agg(F.min(F.struct("cost", "origin")).alias("b")).select("node", F.col("b.origin").alias("depot"), "b.cost")
+    found = _relax_blocks(edges, seeds, blocks, max_cost, k=1)
+    return found.select("node", F.col("origin").alias("depot"), "cost")
 
 
 def catchment_lists(found: DataFrame) -> DataFrame:
