@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text as words
@@ -170,58 +170,133 @@ def operable_for_routing(contracts: DataFrame) -> Column:
     return is_valid(F.col("validation_status")) & (F.col("location.lon").isNotNull() | F.col("location.node_id").isNotNull()) & F.col("emergency_type").isNotNull() & F.col("urgency").isNotNull()
 
 
-def _policy_table() -> Column:
-    need = lambda a, n: F.struct(F.lit(a).alias("apparatus_type"), F.lit(n).alias("quantity"))
-    return F.array(*[F.struct(F.lit(t).alias("type"), F.lit(band).alias("band"), F.array(*[need(a, n) for a, n in base]).alias("baseline"), _list(c).alias("constraints"), F.lit(rule).alias("rule")) for t, band, base, c, rule in rules.POLICY])
+NEEDS = "array<struct<apparatus_type:string,quantity:int>>"
+REQUIRED = "array<struct<apparatus_type:string,quantity:int,is_mandatory:boolean,source:string>>"
+
+
+def _policy_table(spark: SparkSession) -> DataFrame:
+    """What the policy says of each type at each urgency: one row for each pair of the two lists in ``rules``."""
+    rows = []
+    for kind in rules.EMERGENCY_TYPES:
+        when, to, why = rules.ESCALATION.get(kind, (None, None, None))
+        for given in rules.URGENCIES:
+            acute = given in rules.URGENCIES[:2]
+            raised = given != to if when == "all" else when == "routine" and not acute
+            band = "acute" if raised or acute else "routine"
+            base, constraints, rule = next(r[2:] for r in rules.POLICY if r[0] == kind and r[1] in ("both", band))
+            needs = [F.struct(F.lit(x).alias("apparatus_type"), F.lit(n).alias("quantity")) for x, n in base]
+            row = {
+                "_type": F.lit(kind),
+                "_given": F.lit(given),
+                "_to": F.lit(to if raised else None).cast("string"),
+                "_raised": F.lit(why if raised else None).cast("string"),
+                "_base": F.array(*needs).cast(NEEDS),
+                "_constraints": _list(constraints),
+                "_rule": F.lit(rule),
+                "_allowed": _list(rules.COMPATIBLE[kind]),
+            }
+            rows.append(F.struct(*[value.alias(name) for name, value in row.items()]))
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def apply_policy(contracts: DataFrame, augment: bool = True) -> DataFrame:
     """``contracts`` with effective urgency, apparatus (with quantity, is_mandatory, source), constraints, profile, objective, rules and warnings.
 
     Contracts that are not valid are not dispatchable and get nothing. Suggestions raise quantities or add compatible
-    types as optional; incompatible ones are refused with a warning.
+    types as optional; incompatible ones are refused with a warning. The policy is joined as a table of one row for
+    each type and urgency, so it is broadcast whatever the contracts.
     """
     kind, given = F.col("emergency_type"), F.col("urgency")
-    valid = is_valid(F.col("validation_status")) & kind.isNotNull() & given.isNotNull()
-    routine = ~given.isin(rules.URGENCIES[:2])
-    effective, raised = given, F.lit(None).cast("string")
-    for t, (when, to, rule) in rules.ESCALATION.items():
-        applies = (kind == t) & ((given != to) if when == "all" else routine)
-        effective = F.when(applies, to).otherwise(effective)
-        raised = F.when(applies, F.lit(rule)).otherwise(raised)
-    p = contracts.withColumn("is_dispatchable", valid).withColumn("effective_urgency", F.when(valid, effective).otherwise(F.coalesce(given, F.lit("priority_4_alpha"))))
-    acute = F.col("effective_urgency").isin(rules.URGENCIES[:2])
-    chosen = F.filter(_policy_table(), lambda r: (r["type"] == kind) & ((r["band"] == "both") | (r["band"] == F.when(acute, "acute").otherwise("routine"))))
-    p = p.withColumn("_rule", F.when(valid, F.try_element_at(chosen, F.lit(1)))).withColumn("_raised", F.when(valid, raised))
+    valid = F.col("is_dispatchable")
+    has_type = kind.isNotNull() & given.isNotNull()
+    known = F.when(given.isin(rules.URGENCIES), given).otherwise(rules.URGENCIES[-1])
+    p = contracts.withColumn("is_dispatchable", is_valid(F.col("validation_status")) & has_type)
+    table = F.broadcast(_policy_table(contracts.sparkSession))
+    p = p.join(table, valid & (kind == F.col("_type")) & (known == F.col("_given")), "left")
+    effective = F.when(valid, F.coalesce("_to", given)).otherwise(F.coalesce(given, F.lit(rules.URGENCIES[-1])))
+
+    # how often each type is suggested, beside what the policy asks for
     suggested = F.col("required_apparatus") if augment else F.array().cast(STRINGS)
-    p = p.withColumn("_counts", F.transform(F.array_distinct(suggested), lambda a: F.struct(a.alias("apparatus_type"), F.size(F.filter(suggested, lambda b: b == a)).alias("n"))))
-    none = F.array().cast("array<struct<apparatus_type:string,quantity:int>>")
-    base = F.coalesce("_rule.baseline", none)
-    asked = lambda a: F.coalesce(F.try_element_at(F.transform(F.filter(F.col("_counts"), lambda c: c["apparatus_type"] == a), lambda c: c["n"]), F.lit(1)), F.lit(0))
-    mandatory = F.transform(base, lambda b: F.struct(b["apparatus_type"].alias("apparatus_type"), F.greatest(b["quantity"], asked(b["apparatus_type"])).alias("quantity"), F.lit(True).alias("is_mandatory"), F.when(asked(b["apparatus_type"]) > b["quantity"], "model_augmented").otherwise("statutory_policy").alias("source")))
-    in_base = lambda a: F.exists(base, lambda b: b["apparatus_type"] == a)
-    allowed = F.try_element_at(F.create_map(*[x for t, a in rules.COMPATIBLE.items() for x in (F.lit(t), _list(a))]), kind)
-    extra = F.filter(F.col("_counts"), lambda c: ~in_base(c["apparatus_type"]))
-    optional = F.transform(F.filter(extra, lambda c: F.array_contains(allowed, c["apparatus_type"])), lambda c: F.struct(c["apparatus_type"].alias("apparatus_type"), c["n"].alias("quantity"), F.lit(False).alias("is_mandatory"), F.lit("model_augmented").alias("source")))
-    refused = F.transform(F.filter(extra, lambda c: ~F.array_contains(allowed, c["apparatus_type"])), lambda c: c["apparatus_type"])
-    needs = F.concat(mandatory, optional)
-    keyed = F.array_sort(F.transform(needs, lambda r: F.struct((~r["is_mandatory"]).alias("a"), r["apparatus_type"].alias("b"), r.alias("r"))))
-    floods = F.exists("identified_hazards", lambda h: F.lower(F.trim(h["hazard_type"])).isin("flash_flood", "flood_inundation"))
+    base = F.coalesce("_base", F.array().cast(NEEDS))
+    times = lambda a: F.size(F.filter(F.col("_suggested"), lambda s: s == a))
+    p = p.withColumn("effective_urgency", effective).withColumn("_suggested", suggested)
+    counted = F.transform(base, lambda b: F.struct(b.alias("b"), times(b["apparatus_type"]).alias("n")))
+    based = F.transform(base, lambda b: b["apparatus_type"])
+    p = p.withColumn("_counted", counted).withColumn("_extra", F.array_distinct(F.array_except("_suggested", based)))
+    allowed = F.filter(F.col("_extra"), lambda a: F.array_contains("_allowed", a))
+    refused = F.filter(F.col("_extra"), lambda a: ~F.array_contains("_allowed", a))
+
+    def need(apparatus: Column, quantity: Column, mandatory: bool, source: Column) -> Column:
+        return F.struct(
+            apparatus.alias("apparatus_type"),
+            quantity.alias("quantity"),
+            F.lit(mandatory).alias("is_mandatory"),
+            source.alias("source"),
+        )
+
+    def by_policy(c: Column) -> Column:
+        least = c["b"]["quantity"]
+        source = F.when(c["n"] > least, "model_augmented").otherwise("statutory_policy")
+        return need(c["b"]["apparatus_type"], F.greatest(least, c["n"]), True, source)
+
+    optional = F.transform(allowed, lambda a: need(a, times(a), False, F.lit("model_augmented")))
+    p = p.withColumn("_needs", F.concat(F.transform("_counted", by_policy), optional))
+    p = p.withColumn("_refused", F.when(valid, refused).otherwise(_list([])))
+
+    # mandatory apparatus first, then by name
+    keyed = F.transform("_needs", lambda r: F.struct((~r["is_mandatory"]).alias("a"), r["apparatus_type"].alias("b"), r.alias("r")))
+    required = F.when(valid, F.transform(F.array_sort(keyed), lambda k: k["r"])).otherwise(F.array().cast(REQUIRED))
+    flood_types = ["flash_flood", "flood_inundation"]
+    floods = F.exists("identified_hazards", lambda h: F.lower(F.trim(h["hazard_type"])).isin(flood_types))
+    p = p.withColumn("required", required).withColumn("_floods", floods)
     any_hazard = F.size("identified_hazards") > 0
-    constraints = F.array_sort(F.array_distinct(F.concat(F.coalesce("_rule.constraints", F.array().cast(STRINGS)), F.when(any_hazard, _list([rules.HAZARD_AVOIDING])).otherwise(_list([])), F.when(floods, _list([rules.FLOOD_AVOIDING])).otherwise(_list([])))))
-    p = p.withColumn("required", F.when(valid, F.transform(keyed, lambda k: k["r"])).otherwise(F.array().cast("array<struct<apparatus_type:string,quantity:int,is_mandatory:boolean,source:string>>")))
-    p = p.withColumn("routing_constraints", F.when(valid, constraints).otherwise(_list([]))).withColumn("_refused", F.when(valid, refused).otherwise(_list([])))
+    constraints = F.concat(
+        F.coalesce("_constraints", F.array().cast(STRINGS)),
+        F.when(any_hazard, _list([rules.HAZARD_AVOIDING])).otherwise(_list([])),
+        F.when(F.col("_floods"), _list([rules.FLOOD_AVOIDING])).otherwise(_list([])),
+    )
+    constraints = F.array_sort(F.array_distinct(constraints))
+    p = p.withColumn("routing_constraints", F.when(valid, constraints).otherwise(_list([])))
+
     siren = F.array_contains("routing_constraints", rules.SIREN)
-    bravo = F.col("effective_urgency") == "priority_3_bravo"
+    bravo = F.col("effective_urgency") == rules.URGENCIES[2]
     profile = F.when(~valid, "travel_time").when(siren, "emergency_time").when(bravo, "travel_time").otherwise("distance")
-    objective = F.when(~valid, "balanced_travel").when(siren & kind.isin(rules.SAFETY_FIRST), "maximize_crew_safety").when(siren, "minimize_response_time").when(bravo, "balanced_travel").otherwise("minimize_distance")
-    more = F.transform(F.filter(needs, lambda r: r["source"] == "model_augmented"), lambda r: F.concat(F.when(r["is_mandatory"], "RULE_AUGMENT_QUANTITY_").otherwise("RULE_AUGMENT_TYPE_"), F.upper(r["apparatus_type"])))
-    applied = F.filter(F.concat(F.array("_raised", "_rule.rule"), more, F.transform("_refused", lambda a: F.concat(F.lit("RULE_REJECT_INCOMPATIBLE_"), F.upper(a))), F.array(F.when(any_hazard, "RULE_ENFORCE_HAZARD_AVOIDANCE"), F.when(floods, "RULE_ENFORCE_FLOOD_ZONE_BYPASS"))), lambda r: r.isNotNull())
-    warnings = F.when(~valid, F.transform("issues", lambda i: i["code"])).otherwise(F.transform("_refused", lambda a: F.concat(F.lit("incompatible_"), a)))
+    objective = (
+        F.when(~valid, "balanced_travel")
+        .when(siren & kind.isin(rules.SAFETY_FIRST), "maximize_crew_safety")
+        .when(siren, "minimize_response_time")
+        .when(bravo, "balanced_travel")
+        .otherwise("minimize_distance")
+    )
+
+    def augmented(r: Column) -> Column:
+        change = F.when(r["is_mandatory"], "RULE_AUGMENT_QUANTITY_").otherwise("RULE_AUGMENT_TYPE_")
+        return F.concat(change, F.upper(r["apparatus_type"]))
+
+    applied = F.concat(
+        F.array("_raised", "_rule"),
+        F.transform(F.filter("_needs", lambda r: r["source"] == "model_augmented"), augmented),
+        F.transform("_refused", lambda a: F.concat(F.lit("RULE_REJECT_INCOMPATIBLE_"), F.upper(a))),
+        F.array(
+            F.when(any_hazard, "RULE_ENFORCE_HAZARD_AVOIDANCE"),
+            F.when(F.col("_floods"), "RULE_ENFORCE_FLOOD_ZONE_BYPASS"),
+        ),
+    )
+    applied = F.filter(applied, lambda r: r.isNotNull())
+    issues = F.transform("issues", lambda i: i["code"])
+    refusals = F.transform("_refused", lambda a: F.concat(F.lit("incompatible_"), a))
     return p.select(
-        *contracts.columns, "is_dispatchable", "effective_urgency", "required", "routing_constraints", profile.alias("weighting_profile"), objective.alias("routing_objective"), F.when(valid & any_hazard, "moderate").alias("hazard_avoidance_threshold"),
-        F.when(valid, applied).otherwise(_list(["POLICY_REJECT_INVALID_CONTRACT"])).alias("policy_rules"), warnings.alias("policy_warnings"),
-    )
+        *contracts.columns,
+        "is_dispatchable",
+        "effective_urgency",
+        "required",
+        "routing_constraints",
+        profile.alias("weighting_profile"),
+        objective.alias("routing_objective"),
+        F.when(valid & any_hazard, "moderate").alias("hazard_avoidance_threshold"),
+        F.when(valid, applied).otherwise(_list(["POLICY_REJECT_INVALID_CONTRACT"])).alias("policy_rules"),
+        F.when(~valid, issues).otherwise(refusals).alias("policy_warnings"),
+    )
 
 
 def directives(reports: DataFrame, nodes: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
