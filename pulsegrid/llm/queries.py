@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, chat, fingerprints, hnsw, masked_lm, minhash, packing, quality, secrets, sharding
+from pulsegrid.llm import bpe, chat, exact, fingerprints, hnsw, lexical, masked_lm, minhash, packing, quality, secrets, sharding, tries
 from pulsegrid.llm.store import documents
 
 
@@ -84,6 +84,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", packing.length(F.col("text")).alias("tokens")), tokens=F.col("tokens")).drop("tokens")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_secrets": op2_secrets,
@@ -95,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_masked_lm": op8_masked_lm,
     "op9_sharding": op9_sharding,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -139,4 +154,50 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
 SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = e.vec_id""",
+    "op11_prefix_trie": """
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT)),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)),
+    4294967295::UBIGINT), 4294967295) % 6 AS h
+  FROM own),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n, CAST(unnest(range(0, len(turns) + 1)) AS BIGINT) AS depth, turns FROM r),
+x AS (SELECT conv_id, n, depth, turns[1:depth] AS node, turns[1:depth - 1] AS above, CASE WHEN depth > 0 THEN length(turns[depth].text) ELSE 0 END AS chars FROM p),
+nodes AS (
+  SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM x GROUP BY depth, node),
+kids AS (SELECT a.depth, a.node, count(b.depth) AS n_children FROM nodes a LEFT JOIN nodes b ON b.depth = a.depth + 1 AND b.above = a.node GROUP BY a.depth, a.node),
+full_nodes AS (SELECT nodes.*, n_children FROM nodes JOIN kids USING (depth, node)),
+below AS (
+  SELECT a.depth, a.node, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved
+  FROM full_nodes a JOIN full_nodes b ON b.depth >= a.depth AND b.node[1:a.depth] = a.node GROUP BY a.depth, a.node)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, l.n_leaves, CAST(l.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below l USING (depth, node) LEFT JOIN nodes u ON f.depth > 0 AND u.depth = f.depth - 1 AND u.node = f.above""",
+    "op12_lexical_search": r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+d AS (SELECT * FROM w WHERE len(ws) > 0),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+i AS (
+  SELECT item_id, item, term, count(*) AS times FROM (
+    SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+t AS (SELECT doc_id, own, n, term, count(*) AS tf FROM (SELECT doc_id, own, len(ws) AS n, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+m AS (SELECT doc_id, own, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)) AS impact FROM t, s),
+r AS (
+  SELECT item_id, item, doc_id, own, CAST(sum(times * w * impact) AS BIGINT) AS score FROM i JOIN f USING (term) JOIN m USING (term) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10""",
+    "op13_exact_dedup": """
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size FROM documents)""",
 }
