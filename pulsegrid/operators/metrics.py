@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import geo
+from pulsegrid.operators.ranks import percentiles_of
+from pulsegrid.plans.lineage import cut
 
 
 def _interval(start: Column, end: Column) -> Column:
@@ -25,48 +27,103 @@ def response_intervals(responses: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(value: Column, shares: list[float]) -> Column:
-    """Exact percentiles by linear interpolation; of nothing: zeros."""
-    return F.coalesce(F.percentile(value, shares), F.array(*[F.lit(0.0)] * len(shares)))
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a group at most); null keys meet."""
+    if not keys:
+        return left.join(F.broadcast(right), how="left")  # one row at most
+    names = {k: f"_r_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()]
+    return left.join(right.withColumnsRenamed(names), same, "left").drop(*names.values())
 
 
-def compliance(responses: DataFrame, by: list[str] | None = None, first_s: float = 240.0, full_s: float = 480.0, target: float = 0.90, use_total: bool = False) -> DataFrame:
+def compliance(
+    responses: DataFrame,
+    by: list[str] | None = None,
+    first_s: float = 240.0,
+    full_s: float = 480.0,
+    target: float = 0.90,
+    use_total: bool = False,
+) -> DataFrame:
     """Response-time compliance, one row per group (one row in all if there is none, even of an empty table).
 
     Rates are shares of serviced incidents. Without full-alarm times the full rate is 1 if nothing was serviced
-    and else 0, and the full flag follows the first.
+    and else 0, and the full flag follows the first. Incidents are first added up for each first-alarm time; sums
+    and exact percentiles follow from that table, which is written once and whatever a group's size is read in ranges.
     """
     first, full = (F.col(f"{k}_{'total' if use_total else 'travel'}_s") for k in ("first", "full"))
     keys = by or []
-    base = response_intervals(responses).groupBy(*keys).agg(
-        F.count("*").alias("total_incidents"),
-        F.count(first).alias("serviced_incidents"),
-        F.count(full).alias("_full"),
-        F.count_if(first <= first_s).alias("first_compliant"),
-        F.count_if(full <= full_s).alias("full_compliant"),
-        F.coalesce(F.avg(first), F.lit(0.0)).alias("mean_first"),
-        percentiles(first, [0.5, 0.9, 0.95]).alias("_p"),
-        F.coalesce(F.max(first), F.lit(0.0)).alias("max_first"),
-        F.coalesce(F.avg("queue_delay_s"), F.lit(0.0)).alias("mean_queue"),
-        F.coalesce(F.max("queue_delay_s"), F.lit(0.0)).alias("max_queue"),
+    counted = cut(
+        response_intervals(responses)
+        .groupBy(*keys, first.alias("_v"))
+        .agg(
+            F.count("*").alias("_n"),
+            F.count(full).alias("_m"),
+            F.count_if(full <= full_s).alias("_in_full"),
+            F.sum("queue_delay_s").alias("_queue"),
+            F.count("queue_delay_s").alias("_queued"),
+            F.max("queue_delay_s").alias("_longest"),
+        )
     )
+    served = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    mean = lambda total, n: F.coalesce(total / F.when(n > 0, n), F.lit(0.0))
+    base = counted.groupBy(*keys).agg(
+        whole("_n").alias("total_incidents"),
+        whole(served).alias("serviced_incidents"),
+        whole("_m").alias("_full"),
+        whole(F.when(F.col("_v") <= first_s, F.col("_n"))).alias("first_compliant"),
+        whole("_in_full").alias("full_compliant"),
+        mean(F.sum(F.col("_v") * F.col("_n")), F.sum(served)).alias("mean_first"),
+        F.coalesce(F.max("_v"), F.lit(0.0)).alias("max_first"),
+        mean(F.sum("_queue"), F.sum("_queued")).alias("mean_queue"),
+        F.coalesce(F.max("_longest"), F.lit(0.0)).alias("max_queue"),
+    )
+    base = _joined(base, percentiles_of(counted, keys, "_v", "_n", [0.5, 0.9, 0.95]), keys)
     n, m = F.col("serviced_incidents"), F.col("_full")
     first_rate = F.when(n > 0, F.col("first_compliant") / n).otherwise(0.0)
     full_rate = F.when(m > 0, F.col("full_compliant") / m).when(n == 0, 1.0).otherwise(0.0)
     first_ok = (n > 0) & (first_rate >= target)
     full_ok = F.when(m > 0, full_rate >= target).otherwise(first_ok)
+    at = lambda i: F.coalesce(F.col("p")[i], F.lit(0.0))
     return base.select(
-        *keys, "total_incidents", "serviced_incidents", "first_compliant", first_rate.alias("first_rate"), "full_compliant", full_rate.alias("full_rate"), first_ok.alias("first_ok"), full_ok.alias("full_ok"), (first_ok & full_ok).alias("overall_ok"),
-        "mean_first", F.col("_p")[0].alias("median_first"), F.col("_p")[1].alias("p90_first"), F.col("_p")[2].alias("p95_first"), "max_first", "mean_queue", "max_queue",
-    )
+        *keys,
+        "total_incidents",
+        "serviced_incidents",
+        "first_compliant",
+        first_rate.alias("first_rate"),
+        "full_compliant",
+        full_rate.alias("full_rate"),
+        first_ok.alias("first_ok"),
+        full_ok.alias("full_ok"),
+        (first_ok & full_ok).alias("overall_ok"),
+        "mean_first",
+        at(0).alias("median_first"),
+        at(1).alias("p90_first"),
+        at(2).alias("p95_first"),
+        "max_first",
+        "mean_queue",
+        "max_queue",
+    )
 
 
 def latency_stats(measurements: DataFrame, by: list[str], unit: str = "us") -> DataFrame:
-    """Statistics of ``elapsed_ns`` in microseconds or milliseconds; the deviation of one value is 0."""
+    """Statistics of ``elapsed_ns`` in microseconds or milliseconds; the deviation of one value is 0.
+
+    The percentiles are exact and of bounded memory, whatever a group's size (see ``ranks.percentiles_of``).
+    """
     x = F.col("elapsed_ns") / {"us": 1e3, "ms": 1e6}[unit]
-    p = F.percentile(x, [0.5, 0.9, 0.95, 0.99])
-    out = measurements.groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("stddev"), F.min(x).alias("min"), p.alias("_p"), F.max(x).alias("max"))
-    return out.select(*by, "n", "mean", "stddev", "min", *[F.col("_p")[i].alias(k) for i, k in enumerate(("p50", "p90", "p95", "p99"))], "max")
+    rows = measurements.select(*by, x.alias("_v"))
+    base = rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.avg("_v").alias("mean"),
+        F.coalesce(F.stddev_samp("_v"), F.lit(0.0)).alias("stddev"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+    )
+    counted = cut(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")))
+    out = _joined(base, percentiles_of(counted, by, "_v", "_n", [0.5, 0.9, 0.95, 0.99]), by)
+    points = [F.col("p")[i].alias(k) for i, k in enumerate(("p50", "p90", "p95", "p99"))]
+    return out.select(*by, "n", "mean", "stddev", "min", *points, "max")
 
 
 def dispatch_plan(assignments: DataFrame) -> DataFrame:

@@ -34,15 +34,26 @@ def _nearest_only(labels: DataFrame, k: int | None) -> DataFrame:
     return labels.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def _roads(edges: DataFrame) -> DataFrame:
+    """(src, dst, step, step_m): the cheapest road of each pair, of equal ones the shortest; without lengths they are 0."""
+    length = F.coalesce("distance_m", F.lit(0.0)) if "distance_m" in edges.columns else F.lit(0.0)
+    best = F.min(F.struct(F.col("cost").alias("step"), length.cast("double").alias("step_m"))).alias("b")
+    return edges.groupBy("src", "dst").agg(best).select("src", "dst", "b.*")
+
+
+#: Labels are compared by cost, then distance driven; an old one stays where a new one is as good.
+_LEAST = ("cost", "metres", "fresh", "pred")
+
+
 def _relax(edges: DataFrame, seeds: DataFrame, max_cost: float | None, k: int | None = None) -> DataFrame:
-    """Least (cost, pred) of each (origin, node); seeds are (origin, node, cost) and, if labels are limited, kind."""
-    roads = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
-    best = F.min(F.struct("cost", "fresh", "pred", "kind")).alias("b")
+    """Least (cost, metres, pred) of each (origin, node); seeds are (origin, node, cost) and, if labels are limited, kind."""
+    best = F.min(F.struct(*_LEAST, "kind")).alias("b")
     kind = F.col("kind") if "kind" in seeds.columns else F.lit("")
     state = seeds.select(
         "origin",
         "node",
         "cost",
+        F.lit(0.0).alias("metres"),
         F.lit(None).cast("string").alias("pred"),
         F.lit(1).alias("fresh"),
         kind.alias("kind"),
@@ -52,7 +63,7 @@ def _relax(edges: DataFrame, seeds: DataFrame, max_cost: float | None, k: int |
         return _nearest_only(rows.groupBy("origin", "node").agg(best).select("origin", "node", "b.*"), k)
 
     state = cut(least(state))
-    roads = cut(roads)
+    roads = cut(_roads(edges))
     while not state.where("fresh = 1").isEmpty():
         near = (
             state.where("fresh = 1")
@@ -61,6 +72,7 @@ def _relax(edges: DataFrame, seeds: DataFrame, max_cost: float | None, k: int |
                 "origin",
                 F.col("dst").alias("node"),
                 (F.col("cost") + F.col("step")).alias("cost"),
+                (F.col("metres") + F.col("step_m")).alias("metres"),
                 F.lit(1).alias("fresh"),
                 F.col("node").alias("pred"),
                 "kind",
@@ -69,43 +81,44 @@ def _relax(edges: DataFrame, seeds: DataFrame, max_cost: float | None, k: int |
         if max_cost is not None:
             near = near.where(F.col("cost") <= max_cost)
         state = cut(least(state.withColumn("fresh", F.lit(0)).unionByName(near)))
-    return state.select("node", "origin", "cost", "pred")
+    return state.select("node", "origin", "cost", "metres", "pred")
 
 
 def _settle(max_cost: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     """One block's round for some origins: Dijkstra from the labels that arrived, improved labels inside and just outside."""
+    columns = ["block", "origin", "node", "cost", "metres", "pred", "fresh", "kind"]
 
     def run(labels: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
-        out_roads: dict[str, list[tuple[str, float, int | None]]] = {}
-        for src, dst, step, to_block in zip(roads["src"], roads["dst"], roads["step"], roads["dst_block"], strict=True):
-            out_roads.setdefault(src, []).append((dst, step, to_block))
+        out_roads: dict[str, list[tuple[str, float, float, int | None]]] = {}
+        ways = zip(roads["src"], roads["dst"], roads["step"], roads["step_m"], roads["dst_block"], strict=True)
+        for src, dst, step, step_m, to_block in ways:
+            out_roads.setdefault(src, []).append((dst, step, step_m, to_block))
         rows = []
         for origin, own in labels.groupby("origin", sort=True):
             block, kind = int(own["block"].iloc[0]), own["kind"].iloc[0]
-            best = {
-                node: (cost, fresh, pred if isinstance(pred, str) else "")
-                for node, cost, fresh, pred in zip(own["node"], own["cost"], own["fresh"], own["pred"], strict=True)
-            }
-            heap = [(cost, node, pred) for node, (cost, fresh, pred) in best.items() if fresh]
+            held = zip(own["node"], own["cost"], own["metres"], own["fresh"], own["pred"], strict=True)
+            best = {node: (cost, m, fresh, pred if isinstance(pred, str) else "") for node, cost, m, fresh, pred in held}
+            heap = [(cost, m, node, pred) for node, (cost, m, fresh, pred) in best.items() if fresh]
             heapq.heapify(heap)
-            outside: dict[str, tuple[float, str, int]] = {}
+            outside: dict[str, tuple[float, float, str, int]] = {}
             while heap:
-                cost, node, pred = heapq.heappop(heap)
-                if (cost, pred) != (best[node][0], best[node][2]):
+                cost, m, node, pred = heapq.heappop(heap)
+                known = best[node]
+                if (cost, m, pred) != (known[0], known[1], known[3]):
                     continue
-                for dst, step, to_block in out_roads.get(node, ()):
-                    new = cost + step
-                    if max_cost is not None and new > max_cost:
+                for dst, step, step_m, to_block in out_roads.get(node, ()):
+                    new = (cost + step, m + step_m)
+                    if max_cost is not None and new[0] > max_cost:
                         continue
                     if to_block is not None and to_block == to_block and int(to_block) != block:
-                        if dst not in outside or new < outside[dst][0]:
-                            outside[dst] = (new, node, int(to_block))
-                    elif dst not in best or new < best[dst][0]:
-                        best[dst] = (new, 1, node)
-                        heapq.heappush(heap, (new, dst, node))
-            rows += [(block, origin, n, c, p or None, 0, kind) for n, (c, _, p) in best.items()]
-            rows += [(b, origin, n, c, p, 1, kind) for n, (c, p, b) in outside.items()]
-        return pd.DataFrame(rows, columns=["block", "origin", "node", "cost", "pred", "fresh", "kind"])
+                        if dst not in outside or new < outside[dst][:2]:
+                            outside[dst] = (*new, node, int(to_block))
+                    elif dst not in best or new < best[dst][:2]:
+                        best[dst] = (*new, 1, node)
+                        heapq.heappush(heap, (*new, dst, node))
+            rows += [(block, origin, n, c, m, p or None, 0, kind) for n, (c, m, _, p) in best.items()]
+            rows += [(b, origin, n, c, m, p, 1, kind) for n, (c, m, p, b) in outside.items()]
+        return pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -117,15 +130,14 @@ def _relax_blocks(
 
     A group settles one block for about ORIGINS origins, however many reach it.
     """
-    schema = "block long, origin string, node string, cost double, pred string, fresh int, kind string"
+    schema = "block long, origin string, node string, cost double, metres double, pred string, fresh int, kind string"
     at = blocks.select("node", F.col("block").cast("long").alias("block"))
     roads = (
-        edges.groupBy("src", "dst")
-        .agg(F.min("cost").alias("step"))
+        _roads(edges)
         .join(at.select(F.col("node").alias("src"), "block"), "src")
         .join(at.select(F.col("node").alias("dst"), F.col("block").alias("dst_block")), "dst")
     )
-    roads = cut(roads.select("block", "src", "dst", "step", "dst_block"))
+    roads = cut(roads.select("block", "src", "dst", "step", "step_m", "dst_block"))
     lots = max(1, ceil(seeds.select("origin").distinct().count() / ORIGINS))
     lot = F.pmod(F.xxhash64("origin"), F.lit(lots)).alias("lot")
     kind = F.col("kind") if "kind" in seeds.columns else F.lit("")
@@ -134,17 +146,18 @@ def _relax_blocks(
         "origin",
         "node",
         F.col("cost").cast("double").alias("cost"),
+        F.lit(0.0).alias("metres"),
         F.lit(None).cast("string").alias("pred"),
         F.lit(1).alias("fresh"),
         kind.alias("kind"),
     )
-    best = F.min(F.struct("cost", "fresh", "pred", "block", "kind")).alias("b")
+    best = F.min(F.struct(*_LEAST, "block", "kind")).alias("b")
     while True:
         least = state.groupBy("origin", "node").agg(best).select("origin", "node", "b.*")
         moves = F.max("fresh").over(Window.partitionBy("block", "lot", "origin"))
         merged = cut(_nearest_only(least, k).withColumn("lot", lot).withColumn("moves", moves))
         if merged.where("fresh = 1").isEmpty():
-            return merged.select("node", "origin", "cost", "pred")
+            return merged.select("node", "origin", "cost", "metres", "pred")
         still = merged.where("moves = 0").drop("lot", "moves")
         busy = merged.where("moves = 1").drop("moves")
         groups = busy.select("block", F.col("lot").alias("of_lot")).distinct()
@@ -153,19 +166,54 @@ def _relax_blocks(
         state = still.unionByName(busy.cogroup(ways).applyInPandas(_settle(max_cost), schema))
 
 
+def nearest_labels(edges: DataFrame, origins: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:
+    """(kind, origin, node, cost, metres, pred): at each node the labels of the ``k`` nearest origins of each kind.
+
+    origins: (origin, node, kind), an origin being of one kind; ties go to the smaller origin. Of ways of equal cost
+    the shortest counts (``distance_m`` of the roads). Only k labels of a kind are kept at a node in any round: an
+    origin beyond them there is beyond them, too, at every node that its ways lead on to. So the way to a kept label
+    leads over kept labels alone, and ``paths_of`` can walk it back.
+    """
+    seeds = origins.select("origin", "node", F.lit(0.0).alias("cost"), "kind").distinct()
+    found = _relax(edges, seeds, None, k) if blocks is None else _relax_blocks(edges, seeds, blocks, None, k)
+    kinds = origins.select("origin", "kind").distinct()
+    return found.join(kinds, "origin").select("kind", "origin", "node", "cost", "metres", "pred")
+
+
 def nearest_origins(
     edges: DataFrame, origins: DataFrame, k: int, targets: DataFrame | None = None, blocks: DataFrame | None = None
 ) -> DataFrame:
     """(kind, origin, node, cost): for each node, or each of ``targets`` (node), the ``k`` nearest origins of each kind.
 
-    origins: (origin, node, kind); ties go to the smaller origin. Only k labels of a kind are kept at a node in any
-    round: an origin beyond them there is beyond them, too, at every node that its ways lead on to.
+    See ``nearest_labels``.
     """
-    seeds = origins.select("origin", "node", F.lit(0.0).alias("cost"), "kind").distinct()
-    found = _relax(edges, seeds, None, k) if blocks is None else _relax_blocks(edges, seeds, blocks, None, k)
+    found = nearest_labels(edges, origins, k, blocks)
     if targets is not None:
         found = found.join(targets.select("node").distinct(), "node", "left_semi")
-    return found.join(origins.select("origin", "kind").distinct(), "origin").select("kind", "origin", "node", "cost")
+    return found.select("kind", "origin", "node", "cost")
+
+
+def paths_of(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(origin, node, path) for each of ``pairs`` (origin, node): the nodes from the origin's start to the node.
+
+    ``labels``: (origin, node, pred). Jumps of 1, 2, 4, ... steps back are worked out for the labels of the asked
+    origins; each pair then takes the jumps from the longest to the shortest, so in the end it holds each node of its
+    way once. What is kept beside the paths are pairs of nodes, some log2(hops) for each label.
+    """
+    asked = cut(pairs.select("origin", "node").distinct())
+    own = labels.join(asked.select("origin").distinct(), "origin", "left_semi")
+    jumps = [cut(own.where("pred IS NOT NULL").select("origin", F.col("node").alias("at"), F.col("pred").alias("to")))]
+    while not jumps[-1].isEmpty():
+        first = jumps[-1].select("origin", "at", F.col("to").alias("by"))
+        second = jumps[-1].select("origin", F.col("at").alias("by"), "to")
+        jumps.append(cut(first.join(second, ["origin", "by"]).select("origin", "at", "to")))
+    steps = asked.select("origin", "node", F.col("node").alias("at"), F.lit(0).alias("back"))
+    for k in range(len(jumps) - 2, -1, -1):
+        more = steps.join(jumps[k], ["origin", "at"])
+        more = more.select("origin", "node", F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back"))
+        steps = cut(steps.unionByName(more))
+    nodes = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("i"), "at")))
+    return steps.groupBy("origin", "node").agg(F.transform(nodes, lambda s: s["at"]).alias("path"))
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, max_cost: float | None = None, blocks: DataFrame | None = None) -> DataFrame:
@@ -261,21 +309,38 @@ def complete_routes(requests: DataFrame, found: DataFrame) -> DataFrame:
     return out.select("source", "destination", F.coalesce("path", F.array().cast("array<string>")).alias("path"), F.coalesce("cost", F.lit(INFINITE)).alias("total_cost"), F.col("path").isNotNull().alias("reachable"))
 
 
+def _facilities_of_needs(needs: DataFrame, facilities: DataFrame) -> DataFrame:
+    """(need, poi_id, node): the facilities that have all of a need's capabilities; needs are (need, required)."""
+    at = facilities.select("poi_id", F.col("nearest_node_id").alias("node"), "trauma_level")
+    trauma = F.exists("required", lambda c: c.startswith("trauma_level"))
+    wanted = needs.select("need", F.size("required").alias("n"), trauma.alias("trauma"), F.explode("required").alias("capability"))
+    has = facilities.select("poi_id", F.explode(F.array_distinct("capabilities")).alias("capability"))
+    matched = wanted.join(has, "capability").groupBy("need", "n", "trauma", "poi_id").agg(F.count("*").alias("met"))
+    fit = matched.where("met = n").join(at, "poi_id").where(~F.col("trauma") | F.col("trauma_level").isNotNull())
+    # one need at most asks for nothing, and every facility serves it
+    any_of = needs.where(F.size("required") == 0).select("need")
+    return fit.select("need", "poi_id", "node").unionByName(at.crossJoin(F.broadcast(any_of)).select("need", "poi_id", "node"))
+
+
 def nearest_facility(edges: DataFrame, incidents: DataFrame, facilities: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """(incident_id, poi_id, cost): the network-nearest facility with all required capabilities, null if there is none.
 
     incidents: (incident_id, node_id, required array); facilities: (poi_id, nearest_node_id, capabilities array,
-    trauma_level). If a trauma capability is required, the facility must also have a trauma level.
+    trauma_level). If a trauma capability is required, the facility must also have a trauma level; ties go to the
+    smaller poi_id. Each distinct set of needs is searched for on its own, and a node keeps one label of a set: its
+    nearest facility that serves it. So neither labels nor pairs grow with facilities times nodes or incidents.
     """
-    at = facilities.select(F.col("nearest_node_id").alias("source")).distinct()
+    required = F.array_sort(F.array_distinct(F.coalesce("required", F.array().cast("array<string>"))))
+    need = F.md5(F.to_json("required"))
+    asked = incidents.select("incident_id", "node_id", required.alias("required")).withColumn("need", need)
+    serving = cut(_facilities_of_needs(asked.select("need", "required").distinct(), facilities))
+    origins = serving.select(F.concat_ws("|", "need", "poi_id").alias("origin"), "node", F.col("need").alias("kind"))
     reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost")
-    labels = shortest_paths(reverse, at, incidents.select(F.col("node_id").alias("node")), blocks=blocks)
-    asked = incidents.select("incident_id", "node_id", F.coalesce("required", F.array().cast("array<string>")).alias("required"))
-    met = asked.join(labels, F.col("node_id") == F.col("node")).join(facilities, F.col("source") == F.col("nearest_node_id"))
-    trauma = F.exists("required", lambda c: c.startswith("trauma_level"))
-    fits = (F.size(F.array_except("required", "capabilities")) == 0) & (~trauma | F.col("trauma_level").isNotNull())
-    best = met.where(fits).groupBy("incident_id").agg(F.min(F.struct("cost", "poi_id")).alias("b"))
-    return asked.select("incident_id").join(best, "incident_id", "left").select("incident_id", "b.poi_id", "b.cost")
+    found = nearest_origins(reverse, origins, 1, incidents.select(F.col("node_id").alias("node")), blocks)
+    best = found.select(F.col("kind").alias("need"), F.col("node").alias("node_id"), "origin", "cost")
+    met = asked.join(best, ["need", "node_id"], "left")
+    poi = F.substring("origin", 34, 1 << 30)  # behind the digest and the bar
+    return met.select("incident_id", poi.cast(facilities.schema["poi_id"].dataType).alias("poi_id"), "cost")
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame, blocks: DataFrame | None = None) -> DataFrame:

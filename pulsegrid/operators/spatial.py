@@ -1,4 +1,8 @@
-"""Spatial joins by grid cells: equi-joins on a cell, then a box test, then the exact predicate."""
+"""Spatial joins by grid cells: equi-joins on a cell, then a box test, then the exact predicate.
+
+Shapes of any size are covered by a bounded number of cells each: a shape takes cells of the level that fits its box,
+and stands beside them in the coarser cells of those levels only that shapes of the other side take.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import geo
+from pulsegrid.plans.lineage import cut
 
 #: Metres of a degree of latitude on the sphere used here.
 DEGREE_M = geo.EARTH_RADIUS_M * 3.141592653589793 / 180
@@ -36,14 +41,22 @@ def _nearest(points: DataFrame, nodes: DataFrame, radius_m: float) -> DataFrame:
 def nearest_node(points: DataFrame, nodes: DataFrame, max_radius_m: float = 5000.0, first_radius_m: float = 500.0) -> DataFrame:
     """(point_id, node_id, distance_m): the nearest node of each point within a radius; ties go to the smaller id.
 
-    A narrow pass settles most points, a wide one the rest; points without a node get no row. Points and
-    nodes without coordinates match nothing. Cells do not wrap at the 180th meridian.
+    Rounds double the radius, from ``first_radius_m`` on, for the points that have found no node. A node found within
+    a round's radius is nearer than all that later rounds could find, so the point is done; rounds end when no point
+    is left or at the largest radius. Points without a node get no row. Points and nodes without coordinates match
+    nothing. Cells do not wrap at the 180th meridian.
     """
-    points, nodes = points.select("point_id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL"), nodes.select("node_id", "lon", "lat")
-    if first_radius_m >= max_radius_m:
-        return _nearest(points, nodes, max_radius_m)
-    near = _nearest(points, nodes, first_radius_m)
-    return near.unionByName(_nearest(points.join(near, "point_id", "left_anti"), nodes, max_radius_m))
+    left = points.select("point_id", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL")
+    nodes, radius, found = nodes.select("node_id", "lon", "lat"), first_radius_m, None
+    while radius < max_radius_m:
+        near = cut(_nearest(left, nodes, radius))
+        found = near if found is None else found.unionByName(near)
+        left = cut(left.join(near, "point_id", "left_anti"))
+        if left.isEmpty():
+            return found
+        radius *= 2
+    last = _nearest(left, nodes, max_radius_m)
+    return last if found is None else found.unionByName(last)
 
 
 def _segments(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -91,40 +104,109 @@ def snap_to_road(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius_m
     )
 
 
-def _covered(rows: DataFrame, shape: Column, name: str, cell: float) -> DataFrame:
-    """Rows once for each grid cell of their shape's box, with the box and its first cell."""
+#: Levels of the cells: at level L they are 360 / 2^L degrees wide. Every second one is used.
+LEVELS = range(-12, 19, 2)
+#: Cells of a shape's box along an axis, at most, for lines and for rings.
+LINE_CELLS, RING_CELLS = 2, 16
+#: Coordinates are clamped to so many degrees for their cell; the exact test sees them as they are.
+FARTHEST = 1e6
+
+
+def _cell_of(value: Column, level: Column | int) -> Column:
+    size = F.lit(360.0) * F.pow(F.lit(2.0), -F.lit(level) if isinstance(level, int) else -level)
+    return F.floor(F.least(F.greatest(value, F.lit(-FARTHEST)), F.lit(FARTHEST)) / size)
+
+
+def _levelled(rows: DataFrame, shape: Column, name: str, most: int) -> DataFrame:
+    """Rows with their shape's box and the finest level at which it covers ``most`` cells along an axis at most.
+
+    Shapes without points, or with one that is no finite number, meet nothing.
+    """
     boxed = rows.withColumn(f"{name}_box", geo.bounds(shape))
     box = F.col(f"{name}_box")
-    span = lambda low, high: F.sequence(F.floor(box[low] / cell), F.floor(box[high] / cell))
-    first = F.struct(F.floor(box["min_lon"] / cell).alias("x"), F.floor(box["min_lat"] / cell).alias("y")).alias(f"{name}_first")
-    return boxed.select("*", first).withColumn("cell_x", F.explode(span("min_lon", "max_lon"))).withColumn("cell_y", F.explode(span("min_lat", "max_lat")))
+    ends = [box[c] for c in ("min_lon", "min_lat", "max_lon", "max_lat")]
+    finite = F.coalesce(F.size(shape) > 0, F.lit(False))
+    for c in ends:
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    width = F.greatest(box["max_lon"] - box["min_lon"], box["max_lat"] - box["min_lat"], F.lit(1e-12))
+    fit = 2 * F.floor(F.log2(360.0 * (most - 1) / width) / 2)
+    return boxed.where(finite).withColumn(f"{name}_level", F.least(F.greatest(fit, F.lit(LEVELS[0])), F.lit(LEVELS[-1])).cast("int"))
+
+
+def _taken(rows: DataFrame, name: str) -> list[int]:
+    """The levels that shapes take; a few numbers at most."""
+    if rows.isStreaming:
+        return list(LEVELS)
+    return sorted(r[0] for r in rows.select(f"{name}_level").distinct().collect())
+
+
+def _covered(rows: DataFrame, name: str, others: list[int]) -> DataFrame:
+    """Rows once for each cell of their box: at the own level, and at the coarser ones of ``others``."""
+    own = F.col(f"{name}_level")
+    coarser = F.filter(F.array(*map(F.lit, others)).cast("array<int>"), lambda x: x < own)
+    at = rows.withColumn("level", F.explode(F.concat(F.array(own), coarser)))
+    box, level = F.col(f"{name}_box"), F.col("level")
+    span = lambda low, high: F.sequence(_cell_of(box[low], level), _cell_of(box[high], level))
+    first = F.struct(_cell_of(box["min_lon"], level).alias("x"), _cell_of(box["min_lat"], level).alias("y"))
+    at = at.withColumn(f"{name}_first", first).withColumn("cell_x", F.explode(span("min_lon", "max_lon")))
+    return at.withColumn("cell_y", F.explode(span("min_lat", "max_lat")))
 
 
 def _met(left: DataFrame, right: DataFrame, exact: Column) -> DataFrame:
-    """Pairs whose boxes overlap and meet exactly; each pair is looked at only in the first cell that both cover."""
+    """Pairs whose boxes overlap and meet exactly; left and right are levelled as "l" and "r".
+
+    A pair meets at the coarser of its two levels, and is looked at only in the first cell that both cover there.
+    """
+    cells = _covered(left, "l", _taken(right, "r")).join(_covered(right, "r", _taken(left, "l")), ["level", "cell_x", "cell_y"])
+    at = F.col("level") == F.least("l_level", "r_level")
     once = (F.col("cell_x") == F.greatest("l_first.x", "r_first.x")) & (F.col("cell_y") == F.greatest("l_first.y", "r_first.y"))
-    return left.join(right, ["cell_x", "cell_y"]).where(once & geo.bounds_overlap(F.col("l_box"), F.col("r_box"))).where(exact)
+    return cells.where(at & once & geo.bounds_overlap(F.col("l_box"), F.col("r_box"))).where(exact)
+
 
+def edges_in_hazards(edges: DataFrame, nodes: DataFrame, hazards: DataFrame) -> DataFrame:
+    """(src, dst, hazard_id): roads whose line lies in, touches or crosses a hazard's ring; distinct.
 
-def edges_in_hazards(edges: DataFrame, nodes: DataFrame, hazards: DataFrame, cell: float = 0.01) -> DataFrame:
-    """(src, dst, hazard_id): roads whose line lies in, touches or crosses a hazard's ring; distinct."""
+    A road or ring stands in a bounded number of cells, be it a yard or a continent long.
+    """
     lines = with_lines(edges.select(*[c for c in ("src", "dst", "geometry") if c in edges.columns]), nodes).select("src", "dst", "line").distinct()
     rings = hazards.where(F.size("ring") >= 3).select("hazard_id", "ring")
-    met = _met(_covered(lines, F.col("line"), "l", cell), _covered(rings, F.col("ring"), "r", cell), geo.line_meets_ring(F.col("line"), F.col("ring")))
-    return met.select("src", "dst", "hazard_id").distinct()
+    left, right = _levelled(lines, F.col("line"), "l", LINE_CELLS), _levelled(rings, F.col("ring"), "r", RING_CELLS)
+    return _met(left, right, geo.line_meets_ring(F.col("line"), F.col("ring"))).select("src", "dst", "hazard_id").distinct()
 
 
-def hazards_on_edges(edges: DataFrame, nodes: DataFrame, hazards: DataFrame, cell: float = 0.01) -> DataFrame:
+def hazards_on_edges(edges: DataFrame, nodes: DataFrame, hazards: DataFrame) -> DataFrame:
     """(src, dst, hazard_ids): the sorted hazards on each road that has any."""
-    return edges_in_hazards(edges, nodes, hazards, cell).groupBy("src", "dst").agg(F.sort_array(F.collect_set("hazard_id")).alias("hazard_ids"))
+    return edges_in_hazards(edges, nodes, hazards).groupBy("src", "dst").agg(F.sort_array(F.collect_set("hazard_id")).alias("hazard_ids"))
+
+
+def cells_of_points(points: DataFrame, levels: list[int]) -> DataFrame:
+    """``points`` (lon, lat and any columns) once for each of the levels, with level, cell_x and cell_y; none without coordinates."""
+    known = F.coalesce(~F.isnan("lon") & ~F.isnan("lat") & (F.abs("lon") < float("inf")) & (F.abs("lat") < float("inf")), F.lit(False))
+    at = points.where(known).withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    return at.withColumn("cell_x", _cell_of(F.col("lon"), F.col("level"))).withColumn("cell_y", _cell_of(F.col("lat"), F.col("level")))
+
+
+def cells_of_rings(rings: DataFrame) -> DataFrame:
+    """``rings`` (ring and any columns) once for each cell of their box at the level that fits it."""
+    levelled = _levelled(rings.where(F.size("ring") >= 3), F.col("ring"), "r", RING_CELLS)
+    return _covered(levelled, "r", []).drop("r_first", "r_level")
 
 
-def points_in_hazards(points: DataFrame, hazards: DataFrame, cell: float = 0.01) -> DataFrame:
-    """(point_id, hazard_id): points inside or on the boundary of a hazard's ring."""
-    at = points.select("point_id", F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
-    left = _covered(at, F.array(F.struct(F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"))), "l", cell)
-    right = _covered(hazards.where(F.size("ring") >= 3).select("hazard_id", "ring"), F.col("ring"), "r", cell)
-    return _met(left, right, geo.point_in_ring(F.col("p_lon"), F.col("p_lat"), F.col("ring"))).select("point_id", "hazard_id")
+def ring_holds(ring: Column, box: Column, lon: Column, lat: Column) -> Column:
+    """Whether a ring with its box holds a point."""
+    inside = lon.between(box["min_lon"], box["max_lon"]) & lat.between(box["min_lat"], box["max_lat"])
+    return inside & geo.point_in_ring(lon, lat, ring)
+
+
+def points_in_hazards(points: DataFrame, hazards: DataFrame) -> DataFrame:
+    """(point_id, hazard_id): points inside or on the boundary of a hazard's ring.
+
+    A ring stands in a bounded number of cells, and a point in one cell of each level that rings take.
+    """
+    rings = _levelled(hazards.where(F.size("ring") >= 3).select("hazard_id", "ring"), F.col("ring"), "r", RING_CELLS)
+    at = cells_of_points(points.select("point_id", "lon", "lat"), _taken(rings, "r"))
+    met = at.join(_covered(rings, "r", []), ["level", "cell_x", "cell_y"])
+    return met.where(ring_holds(F.col("ring"), F.col("r_box"), F.col("lon"), F.col("lat"))).select("point_id", "hazard_id")
 
 
 def bind_pois(pois: DataFrame, nodes: DataFrame, edges: DataFrame, max_snap_m: float = 1500.0) -> tuple[DataFrame, DataFrame]:

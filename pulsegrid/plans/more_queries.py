@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import geo, text
 from pulsegrid.operators import dispatch, network, overlay, spatial, tracking
 from pulsegrid.plans.lineage import shared_folder
-from pulsegrid.plans.queries import _LATEST_SQL, _WALK, NOW, _apart, _at, _blocks, query
+from pulsegrid.plans.queries import _LATEST_SQL, NOW, _apart, _at, _blocks, query
 from pulsegrid.plans.views import table, view
 from pulsegrid.sources import feeds as feed_sources
 from pulsegrid.streaming import live
@@ -81,26 +81,32 @@ def obstructed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.obstructions(trackers, overlay.apply_overlay(edges, changes, NOW, keep_blocked=True))
 
 
-@query(_WALK.format(start="depot", origin="depot", of="FROM depots", most=35) + " SELECT source, node, min(cost) AS cost, true AS valid FROM w GROUP BY source, node")
+@query()
 def route_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, depots = _at(spark, sf_dir, "edges", "depots")
-    found = network.routes(network.shortest_paths(edges, depots.select(F.col("depot").alias("source")), max_cost=35.0))
+    """The way from every depot to every node it reaches, driven again road by road."""
+    nodes, edges, depots = _at(spark, sf_dir, "nodes", "edges", "depots")
+    labels = network.shortest_paths(edges, depots.select(F.col("depot").alias("source")), blocks=_blocks(nodes, 25))
+    found = network.routes(labels)
     steps = found.select("source", "node", "cost", "path", F.explode_outer(geo.path_pairs(F.col("path"))).alias("s"))
     priced = steps.join(edges.groupBy("src", "dst").agg(F.min("cost").alias("step")), (F.col("s.src") == F.col("src")) & (F.col("s.dst") == F.col("dst")), "left")
     sums = priced.groupBy("source", "node", "cost").agg(F.coalesce(F.sum("step"), F.lit(0.0)).alias("total"), (F.count("s") == F.count("step")).alias("known"), (F.first("path")[0] == F.col("source")).alias("starts"))
     return sums.select("source", "node", F.col("total").alias("cost"), (F.col("known") & F.col("starts") & (F.col("total") == F.col("cost"))).alias("valid"))
 
 
-@query(_WALK.format(start="current_node_id", origin="current_node_id", of="FROM units", most=30) + """, m AS (SELECT source, node, min(cost) AS cost FROM w GROUP BY source, node),
-t AS (SELECT i.incident_id, u.apparatus_type, u.unit_id, m.cost / u.speed_factor AS eta_s, row_number() OVER (PARTITION BY i.incident_id, u.apparatus_type ORDER BY m.cost / u.speed_factor, u.unit_id) AS rank
-  FROM incidents i JOIN m ON m.node = i.node_id JOIN units u ON u.current_node_id = m.source WHERE u.status = 'available')
-SELECT incident_id, apparatus_type, unit_id, eta_s, CAST(rank AS INT) AS rank FROM t WHERE rank <= 2""")
+@query()
 def nearest_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, incidents, units = _at(spark, sf_dir, "edges", "incidents", "units")
-    labels = network.shortest_paths(edges, units.select(F.col("current_node_id").alias("source")).distinct(), max_cost=30.0)
-    met = incidents.select("incident_id", "node_id").join(labels, F.col("node_id") == F.col("node")).join(dispatch.units_available(units), F.col("source") == F.col("current_node_id"))
-    etas = met.select("incident_id", "unit_id", "apparatus_type", (F.col("cost") / F.col("speed_factor")).alias("eta_s"))
-    return dispatch.top_units(etas, 2).select("incident_id", "apparatus_type", "unit_id", "eta_s", "rank")
+    """The two nearest available units of each type for every incident; an incident that none reaches stays, with nulls."""
+    nodes, edges, incidents, units = _at(spark, sf_dir, "nodes", "edges", "incidents", "units")
+    free = dispatch.units_available(units)
+    near = dispatch.nearest_units(edges, _calls(incidents, free), free, 2, _blocks(nodes, 25)).withColumnRenamed("incident_id", "node_id")
+    met = incidents.select("incident_id", "node_id").join(near, "node_id", "left")
+    return met.select("incident_id", "apparatus_type", "unit_id", "eta_s", "rank")
+
+
+def _calls(incidents: DataFrame, units: DataFrame) -> DataFrame:
+    """Each node with incidents as one call for every type of unit; the types are a bounded list."""
+    calls = incidents.select(F.col("node_id").alias("incident_id"), "node_id").distinct()
+    return calls.crossJoin(F.broadcast(units.agg(F.collect_set("apparatus_type").alias("required_apparatus"))))
 
 
 # --- whole searches: from all depots or units, without a bound; SQL would not end
@@ -124,16 +130,59 @@ def depot_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "node", "cost", F.array_join("path", ",").alias("path"))
 
 
+#: Metres of a road of the derived grid.
+METRES = "CAST(100 + (CAST(src AS BIGINT) * 3 + CAST(dst AS BIGINT) * 5) % 97 AS DOUBLE)"
+
+
+def _driven(rows: DataFrame, edges: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, unit_id, node_id, eta_s, distance_m, path) with ``valid`` in place of the path.
+
+    A path is valid if it leads from the unit's node to node_id over known roads, and their costs and metres add up to
+    the ETA and the distance; that of a unit without a way is empty.
+    """
+    own = rows.join(units.select("unit_id", "current_node_id", "speed_factor"), "unit_id", "left")
+    steps = own.select(*keys, "unit_id", F.explode(geo.path_pairs(F.col("path"))).alias("s"))
+    roads = edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.min(F.struct("cost", "distance_m")).alias("r"))
+    priced = steps.join(roads, (F.col("s.src") == F.col("a")) & (F.col("s.dst") == F.col("b")), "left")
+    sums = priced.groupBy(*keys, "unit_id").agg(F.sum("r.cost").alias("cost"), F.sum("r.distance_m").alias("metres"), F.bool_and(F.col("r").isNotNull()).alias("known"))
+    met = own.join(sums, [*keys, "unit_id"], "left")
+    ends = (F.try_element_at("path", F.lit(1)) == F.col("current_node_id")) & (F.try_element_at("path", F.lit(-1)) == F.col("node_id"))
+    total = (F.coalesce("cost", F.lit(0.0)) / F.col("speed_factor") == F.col("eta_s")) & (F.coalesce("metres", F.lit(0.0)) == F.col("distance_m"))
+    none = F.col("unit_id").isNull() | (F.col("eta_s") == float("inf"))
+    valid = F.when(none, F.coalesce(F.size("path") <= 0, F.lit(True))).otherwise(F.coalesce(ends & total & F.coalesce("known", F.lit(True)), F.lit(False)))
+    return met.withColumn("valid", valid).select(*[c for c in rows.columns if c != "path"], "valid")
+
+
 @query()
 def ranked_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two nearest available units of each type for every incident; without a way last, with an infinite ETA; without units null."""
+    """The two nearest available units of each type for every incident, with their ways driven again; without a way last."""
     nodes, edges, incidents, units = _at(spark, sf_dir, "nodes", "edges", "incidents", "units")
-    free = dispatch.units_available(units)
-    calls = incidents.select(F.col("node_id").alias("incident_id"), "node_id").distinct()
-    asked = calls.crossJoin(F.broadcast(free.agg(F.collect_set("apparatus_type").alias("required_apparatus"))))
-    near = dispatch.top_units(dispatch.unit_etas(edges, asked, free, _blocks(nodes, 25)), 2)
-    near = near.select(F.col("incident_id").alias("node_id"), "apparatus_type", "unit_id", "eta_s", "reachable", "rank")
-    return incidents.select("incident_id", "node_id").join(near, "node_id", "left").select("incident_id", "apparatus_type", "unit_id", "eta_s", "reachable", "rank")
+    edges, free = edges.withColumn("distance_m", F.expr(METRES)), dispatch.units_available(units)
+    near = dispatch.ranked_units(edges, _calls(incidents, free), free, 2, _blocks(nodes, 25), paths=True)
+    near = _driven(near.withColumnRenamed("incident_id", "node_id"), edges, free, ["node_id", "apparatus_type", "rank"])
+    met = incidents.select("incident_id", "node_id").join(near, "node_id", "left")
+    return met.select("incident_id", "apparatus_type", "unit_id", "eta_s", "distance_m", "reachable", "rank", "valid")
+
+
+@query()
+def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units that every incident gets, with their ways driven again."""
+    nodes, edges, incidents, units = _at(spark, sf_dir, "nodes", "edges", "incidents", "units")
+    needs = F.when(F.col("event_type") == "error", F.array(F.lit("fire_engine"), F.lit("ambulance_als"), F.lit("fire_engine"))).otherwise(F.array().cast("array<string>"))
+    edges = edges.withColumn("distance_m", F.expr(METRES))
+    given = dispatch.allocate(edges, incidents.withColumn("required_apparatus", needs), units, _blocks(nodes, 25), paths=True)
+    return _driven(given.join(incidents.select("incident_id", "node_id"), "incident_id"), edges, units, ["incident_id", "req_ordinal"]).drop("node_id")
+
+
+@query()
+def exclusive_allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As allocations, but incidents take units from one another in the order of the queue."""
+    nodes, edges, incidents, units = _at(spark, sf_dir, "nodes", "edges", "incidents", "units")
+    needs = F.when(F.col("event_type") == "error", F.array(F.lit("fire_engine"), F.lit("ambulance_als"))).otherwise(F.array().cast("array<string>"))
+    queued = dispatch.queue_order(incidents.withColumn("required_apparatus", needs))
+    edges = edges.withColumn("distance_m", F.expr(METRES))
+    given = dispatch.allocate_exclusive(edges, queued, units, blocks=_blocks(nodes, 25), paths=True)
+    return _driven(given.join(incidents.select("incident_id", "node_id"), "incident_id"), edges, units, ["incident_id", "req_ordinal"]).drop("node_id")
 
 
 # --- overlays

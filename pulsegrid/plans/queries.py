@@ -134,10 +134,50 @@ def nearest_depots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("distance_m", F.round("distance_m", 3))
 
 
-@query()
+_SNAP_SQL = f"""near AS (SELECT p.point_id, p.lon, p.lat, min(struct_pack(d := {_apart('p', 'n')}, id := n.node_id)) AS b FROM points p JOIN nodes n
+  ON abs(n.lat - p.lat) < 0.005 AND abs(n.lon - p.lon) < 0.0075 GROUP BY p.point_id, p.lon, p.lat),
+snap AS (SELECT point_id, lon, lat, b.id AS hub, b.d AS d FROM near WHERE b.d <= 500),
+hubs AS (SELECT point_id, lon, lat, hub FROM snap UNION SELECT s.point_id, s.lon, s.lat, e.dst FROM snap s JOIN edges e ON e.src = s.hub),
+tried AS (SELECT DISTINCT h.point_id, h.lon, h.lat, e.src, e.dst FROM hubs h JOIN edges e ON e.src = h.hub OR e.dst = h.hub),
+flat AS (SELECT t.*, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1, cos(radians((a.lat + b.lat) / 2)) AS w FROM tried t JOIN nodes a ON a.node_id = t.src JOIN nodes b ON b.node_id = t.dst),
+along AS (SELECT *, least(greatest(((lon - x0) * w * (x1 - x0) * w + (lat - y0) * (y1 - y0)) / ((x1 - x0) * w * (x1 - x0) * w + (y1 - y0) * (y1 - y0)), 0), 1) AS t FROM flat),
+foot AS (SELECT p.point_id, p.src, p.dst, p.x AS x, p.y AS y, {_apart('p', 'q')} AS d FROM (SELECT *, x0 + t * (x1 - x0) AS x, y0 + t * (y1 - y0) AS y FROM along) p CROSS JOIN LATERAL (SELECT p.x AS lon, p.y AS lat) q),
+road AS (SELECT point_id, min(struct_pack(near := round(d, 4), a := least(src, dst), b := greatest(src, dst), x := round(x, 6), y := round(y, 6), d := d)) AS r FROM foot GROUP BY point_id)"""
+
+
+@query(f"""WITH {_SNAP_SQL} SELECT s.point_id, round(CASE WHEN on_road THEN r.x ELSE n.lon END, 6) AS lon, round(CASE WHEN on_road THEN r.y ELSE n.lat END, 6) AS lat,
+round(CASE WHEN on_road THEN r.d ELSE s.d END, 3) AS distance_to_road_m, s.hub AS nearest_node_id, CASE WHEN on_road THEN r.a END AS one_end, CASE WHEN on_road THEN r.b END AS other_end
+FROM snap s JOIN nodes n ON n.node_id = s.hub LEFT JOIN road USING (point_id) CROSS JOIN LATERAL (SELECT coalesce(r.d < s.d, false) AS on_road) o""")
 def snapped_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents on the nearest road; its ends are named in order, as both directions of a road are equally near."""
     points, nodes, edges = _at(spark, sf_dir, "points", "nodes", "edges")
-    return spatial.snap_to_road(points, nodes, edges, 500.0)
+    out = spatial.snap_to_road(points, nodes, edges, 500.0)
+    places = [F.round(c, 6).alias(c) for c in ("lon", "lat")]
+    ends = [F.when(F.col("edge_src").isNotNull(), pick("edge_src", "edge_dst")).alias(name) for pick, name in ((F.least, "one_end"), (F.greatest, "other_end"))]
+    return out.select("point_id", *places, F.round("distance_to_road_m", 3).alias("distance_to_road_m"), "nearest_node_id", *ends)
+
+
+#: Rhombs about the boxes' centres: most are a few blocks wide, those of the last region span the whole country.
+_RHOMBS = """rhombs AS (SELECT hazard_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, CASE WHEN h % 5 = 4 THEN 9.37 ELSE 0.00413 + h * 0.000171 END AS rx,
+  CASE WHEN h % 5 = 4 THEN 7.91 ELSE 0.00637 - h * 0.000133 END AS ry FROM boxes)"""
+
+
+def _rhombs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(f"WITH {_RHOMBS.replace('boxes', '{boxes}')} SELECT * FROM rhombs", boxes=view(spark, sf_dir, "boxes"))
+    corner = lambda x, y: F.struct((F.col("cx") + x * F.col("rx")).cast("double").alias("lon"), (F.col("cy") + y * F.col("ry")).cast("double").alias("lat"))
+    return rows.select("hazard_id", F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1)).alias("ring"))
+
+
+@query(f"""WITH {_RHOMBS} SELECT DISTINCT e.src, e.dst, r.hazard_id FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst
+JOIN rhombs r ON abs(greatest(least(a.lon, b.lon), least(cx, greatest(a.lon, b.lon))) - cx) / rx + abs(greatest(least(a.lat, b.lat), least(cy, greatest(a.lat, b.lat))) - cy) / ry <= 1""")
+def roads_in_slanted_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _at(spark, sf_dir, "nodes", "edges")
+    return spatial.edges_in_hazards(edges, nodes, _rhombs(spark, sf_dir))
+
+
+@query(f"WITH {_RHOMBS} SELECT p.point_id, r.hazard_id FROM points p JOIN rhombs r ON abs(p.lon - cx) / rx + abs(p.lat - cy) / ry <= 1")
+def incidents_in_slanted_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.points_in_hazards(view(spark, sf_dir, "points"), _rhombs(spark, sf_dir))
 
 
 _MET_SQL = """met AS (SELECT DISTINCT e.src, e.dst, h.hazard_id, h.h, h.severity, h.speed_multiplier, h.active FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst
@@ -300,17 +340,19 @@ _WALK = """WITH RECURSIVE w AS (SELECT {start} AS node, {origin} AS source, CAST
   UNION SELECT e.dst, w.source, w.cost + e.cost FROM w JOIN edges e ON e.src = w.node WHERE w.cost + e.cost <= {most})"""
 
 
-@query(_WALK.format(start="s", origin="s", of="FROM (VALUES ('0'), ('777'), ('55')) v(s) WHERE s IN (SELECT node_id FROM nodes)", most=60) + " SELECT source, node, min(cost) AS cost FROM w GROUP BY source, node")
+@query()
 def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _at(spark, sf_dir, "nodes", "edges")
-    sources = nodes.where(F.col("node_id").isin("0", "777", "55")).select(F.col("node_id").alias("source"))
-    return network.shortest_paths(edges, sources, max_cost=60.0).select("source", "node", "cost")
+    """From every depot to all that lies within a cost of 60."""
+    edges, depots = _at(spark, sf_dir, "edges", "depots")
+    return network.shortest_paths(edges, depots.select(F.col("depot").alias("source")), max_cost=60.0).select("source", "node", "cost")
 
 
-@query(_WALK.format(start="depot", origin="depot", of="FROM depots", most=40) + ", b AS (SELECT node, min(struct_pack(cost := cost, depot := source)) AS b FROM w GROUP BY node) SELECT node, b.depot AS depot, b.cost AS cost FROM b")
+@query()
 def depot_catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with its nearest depot within a cost of 40; null where none is as near."""
     nodes, edges, depots = _at(spark, sf_dir, "nodes", "edges", "depots")
-    return network.catchment(edges, depots, nodes, max_cost=40.0)
+    near = network.catchment(edges, depots, nodes, max_cost=40.0)
+    return nodes.select(F.col("node_id").alias("node")).join(near, "node", "left")
 
 
 @query(_WALK.format(start="depot", origin="depot", of="FROM depots", most=30) + ", m AS (SELECT source, node, min(cost) AS cost FROM w GROUP BY source, node) SELECT source, c.cutoff, count(*) AS nodes FROM m JOIN (VALUES (10.0::DOUBLE), (20.0::DOUBLE), (30.0::DOUBLE)) c(cutoff) ON m.cost <= c.cutoff GROUP BY source, c.cutoff")
@@ -326,13 +368,6 @@ def eta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.eta_matrix(edges, depots.select(F.col("depot").alias("source")), depots.select(F.col("depot").alias("node")), blocks=_blocks(nodes, 25))
 
 
-@query()
-def allocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges, incidents, units = _at(spark, sf_dir, "nodes", "edges", "incidents", "units")
-    needs = F.when(F.col("event_type") == "error", F.array(F.lit("fire_engine"), F.lit("ambulance_als"), F.lit("fire_engine"))).otherwise(F.array().cast("array<string>"))
-    return dispatch.allocate(edges, incidents.withColumn("required_apparatus", needs), units, _blocks(nodes, 25))
-
-
 @query()
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _at(spark, sf_dir, "nodes", "edges")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import dispatch, network
+from pulsegrid.plans.more_queries import METRES
 from pulsegrid.plans.queries import SQL, _at, _blocks, query
 from pulsegrid.plans.views import oracle, table, view
 
@@ -24,20 +25,50 @@ FROM depots a CROSS JOIN depots b LEFT JOIN w ON w.source = a.depot AND w.node =
 _NEAREST = "near AS (SELECT node, source AS depot, cost, row_number() OVER (PARTITION BY node ORDER BY cost, source) AS rank FROM w)"
 SQL["whole_catchments"] = oracle(f"{_FROM_DEPOTS}, {_NEAREST} SELECT node, depot, cost FROM near WHERE rank = 1")
 
-SQL["ranked_units"] = oracle(f"""{_FROM_UNITS},
-ranked AS (SELECT i.node_id, u.apparatus_type, u.unit_id, coalesce(w.cost / u.speed_factor, CAST('Infinity' AS DOUBLE)) AS eta_s, w.cost IS NOT NULL AS reachable,
-  row_number() OVER (PARTITION BY i.node_id, u.apparatus_type ORDER BY coalesce(w.cost / u.speed_factor, CAST('Infinity' AS DOUBLE)), u.unit_id) AS rank
-  FROM (SELECT DISTINCT node_id FROM incidents) i CROSS JOIN units u LEFT JOIN w ON w.source = u.current_node_id AND w.node = i.node_id WHERE u.status = 'available')
-SELECT i.incident_id, r.apparatus_type, r.unit_id, r.eta_s, r.reachable, CAST(r.rank AS INT) AS rank FROM incidents i LEFT JOIN ranked r ON r.node_id = i.node_id AND r.rank <= 2""")
+SQL["bounded_paths"] = oracle(f"{_FROM_DEPOTS} SELECT source, node, cost FROM w WHERE cost <= 60")
+SQL["depot_catchments"] = oracle(f"""{_FROM_DEPOTS}, {_NEAREST}
+SELECT node_id AS node, near.depot, near.cost FROM nodes LEFT JOIN near ON near.node = node_id AND rank = 1 AND near.cost <= 40""")
+SQL["route_paths"] = oracle(f"{_FROM_DEPOTS} SELECT source, node, cost, true AS valid FROM w")
 
-SQL["allocations"] = oracle(f"""{_FROM_UNITS},
+#: Cost and metres in one number: whole costs in millions, so of equal costs the shortest way counts.
+_MEASURED = _FROM_UNITS.replace("min(cost) AS cost FROM edges", f"min(cost * 1000000 + {METRES}) AS cost FROM edges", 1)
+_SPLIT = "m AS (SELECT source, node, floor(cost / 1000000) AS cost, cost % 1000000 AS metres FROM w)"
+_METRES = "CASE WHEN metres = 0 THEN cost ELSE metres END"
+
+SQL["nearest_units"] = oracle(f"""{_FROM_UNITS},
+ranked AS (SELECT w.node, u.apparatus_type, u.unit_id, w.cost / u.speed_factor AS eta_s, row_number() OVER (PARTITION BY w.node, u.apparatus_type ORDER BY w.cost / u.speed_factor, u.unit_id) AS rank
+  FROM w JOIN units u ON u.current_node_id = w.source WHERE u.status = 'available')
+SELECT i.incident_id, r.apparatus_type, r.unit_id, r.eta_s, CAST(r.rank AS INT) AS rank FROM incidents i LEFT JOIN ranked r ON r.node = i.node_id AND r.rank <= 2""")
+
+SQL["ranked_units"] = oracle(f"""{_MEASURED}, {_SPLIT},
+ranked AS (SELECT i.node_id, u.apparatus_type, u.unit_id, coalesce(m.cost / u.speed_factor, CAST('Infinity' AS DOUBLE)) AS eta_s, coalesce({_METRES}, 0) AS distance_m, m.cost IS NOT NULL AS reachable,
+  row_number() OVER (PARTITION BY i.node_id, u.apparatus_type ORDER BY coalesce(m.cost / u.speed_factor, CAST('Infinity' AS DOUBLE)), u.unit_id) AS rank
+  FROM (SELECT DISTINCT node_id FROM incidents) i CROSS JOIN units u LEFT JOIN m ON m.source = u.current_node_id AND m.node = i.node_id WHERE u.status = 'available')
+SELECT i.incident_id, r.apparatus_type, r.unit_id, r.eta_s, r.distance_m, r.reachable, CAST(r.rank AS INT) AS rank, CASE WHEN r.rank IS NOT NULL THEN true END AS valid
+FROM incidents i LEFT JOIN ranked r ON r.node_id = i.node_id AND r.rank <= 2""")
+
+SQL["allocations"] = oracle(f"""{_MEASURED}, {_SPLIT},
 need AS (SELECT incident_id, node_id, ord AS req_ordinal, kind AS required_type, v.k FROM incidents CROSS JOIN (VALUES (0, 'fire_engine', 1), (1, 'ambulance_als', 1), (2, 'fire_engine', 2)) v(ord, kind, k) WHERE event_type = 'error'
   UNION ALL SELECT incident_id, node_id, 0, 'ambulance_als', 1 FROM incidents WHERE event_type <> 'error'),
-ranked AS (SELECT w.node, u.apparatus_type, u.unit_id, w.cost / u.speed_factor AS eta_s, row_number() OVER (PARTITION BY w.node, u.apparatus_type ORDER BY w.cost / u.speed_factor, u.unit_id) AS k
-  FROM w JOIN units u ON u.current_node_id = w.source WHERE u.status = 'available')
-SELECT n.incident_id, CAST(n.req_ordinal AS INT) AS req_ordinal, n.required_type, r.unit_id, coalesce(r.eta_s, CAST('Infinity' AS DOUBLE)) AS eta_s, r.unit_id IS NOT NULL AS fulfilled
+ranked AS (SELECT m.node, u.apparatus_type, u.unit_id, m.cost / u.speed_factor AS eta_s, {_METRES} AS distance_m, row_number() OVER (PARTITION BY m.node, u.apparatus_type ORDER BY m.cost / u.speed_factor, u.unit_id) AS k
+  FROM m JOIN units u ON u.current_node_id = m.source WHERE u.status = 'available')
+SELECT n.incident_id, CAST(n.req_ordinal AS INT) AS req_ordinal, n.required_type, r.unit_id, coalesce(r.eta_s, CAST('Infinity' AS DOUBLE)) AS eta_s, coalesce(r.distance_m, 0) AS distance_m, r.unit_id IS NOT NULL AS fulfilled, true AS valid
 FROM need n LEFT JOIN ranked r ON r.node = n.node_id AND r.apparatus_type = n.required_type AND r.k = n.k""")
 
+#: Needs in the order of the queue take units one after another; taken holds those of the needs before.
+SQL["exclusive_allocations"] = oracle(f"""{_MEASURED}, {_SPLIT},
+q AS (SELECT incident_id, node_id, event_type, row_number() OVER (ORDER BY CASE urgency WHEN 'priority_1_echo' THEN 0 WHEN 'priority_2_delta' THEN 1 WHEN 'priority_3_bravo' THEN 2 WHEN 'priority_4_alpha' THEN 3 ELSE 4 END, reported_at, incident_id) AS turn FROM incidents),
+need AS (SELECT *, row_number() OVER (PARTITION BY required_type ORDER BY turn) AS pos FROM (SELECT incident_id, node_id, turn, 0 AS req_ordinal, 'fire_engine' AS required_type FROM q WHERE event_type = 'error'
+  UNION ALL SELECT incident_id, node_id, turn, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END, 'ambulance_als' FROM q)),
+option AS (SELECT n.required_type, n.pos, u.unit_id, m.cost / u.speed_factor AS eta_s, {_METRES} AS distance_m FROM need n JOIN units u ON u.apparatus_type = n.required_type AND u.status = 'available' JOIN m ON m.source = u.current_node_id AND m.node = n.node_id),
+listed AS (SELECT required_type, pos, list(struct_pack(eta := eta_s, id := unit_id, d := distance_m) ORDER BY eta_s, unit_id) AS wishes FROM option GROUP BY required_type, pos),
+turns AS (SELECT required_type, pos, wishes, row_number() OVER (PARTITION BY required_type ORDER BY pos) AS step FROM listed),
+took(required_type, step, got, taken) AS (SELECT DISTINCT required_type, CAST(0 AS BIGINT), CAST(NULL AS STRUCT(eta DOUBLE, id VARCHAR, d DOUBLE)), CAST([] AS VARCHAR[]) FROM turns
+  UNION ALL SELECT o.required_type, o.step, o.pick, CASE WHEN o.pick IS NULL THEN o.taken ELSE list_append(o.taken, o.pick.id) END
+  FROM (SELECT t.required_type, t.step, k.taken, list_filter(t.wishes, lambda x: NOT list_contains(k.taken, x.id))[1] AS pick FROM took k JOIN turns t ON t.required_type = k.required_type AND t.step = k.step + 1) o)
+SELECT n.incident_id, CAST(n.req_ordinal AS INT) AS req_ordinal, n.required_type, k.got.id AS unit_id, coalesce(k.got.eta, CAST('Infinity' AS DOUBLE)) AS eta_s, coalesce(k.got.d, 0) AS distance_m, k.got.id IS NOT NULL AS fulfilled, true AS valid
+FROM need n LEFT JOIN turns t ON t.required_type = n.required_type AND t.pos = n.pos LEFT JOIN took k ON k.required_type = n.required_type AND k.step = t.step""")
+
 #: Every node's component: the least node that it reaches and that reaches it.
 _SCC = """WITH RECURSIVE reach AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT reach.a, edges.dst FROM reach JOIN edges ON edges.src = reach.b),
 part AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
