@@ -161,6 +161,31 @@ def gauge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.read_gauges(spark, folder, limits).select("site_id", "gage_height_ft", "flood_stage", "site_name")
 
 
+@query("""SELECT 'osm' AS source, code, count(*) AS n FROM (SELECT CASE event_id % 9 WHEN 0 THEN 'malformed_record' WHEN 1 THEN 'malformed_record' WHEN 2 THEN 'missing_id' WHEN 3 THEN 'invalid_coordinates' WHEN 4 THEN 'missing_coordinates' WHEN 5 THEN 'missing_nodes' END AS code FROM events) WHERE code IS NOT NULL GROUP BY code
+UNION ALL SELECT 'pois', code, count(*) FROM (SELECT CASE event_id % 9 WHEN 0 THEN 'malformed_record' WHEN 1 THEN 'malformed_record' WHEN 2 THEN 'missing_id' WHEN 3 THEN 'invalid_coordinates' WHEN 4 THEN 'missing_coordinates' WHEN 5 THEN 'missing_coordinates' WHEN 6 THEN 'invalid_coordinates' END AS code FROM events) WHERE code IS NOT NULL GROUP BY code
+UNION ALL SELECT 'cap', code, count(*) FROM (SELECT unnest(CASE event_id % 4 WHEN 0 THEN ['missing_id', 'invalid_time'] WHEN 1 THEN ['invalid_polygon'] WHEN 2 THEN ['invalid_time', 'invalid_polygon', 'invalid_polygon'] ELSE [] END) AS code FROM events) GROUP BY code
+UNION ALL SELECT 'gauges', code, count(*) FROM (SELECT CASE event_id % 5 WHEN 0 THEN 'invalid_value' WHEN 1 THEN 'missing_value' WHEN 2 THEN 'invalid_coordinates' WHEN 3 THEN 'missing_id' END AS code FROM events) WHERE code IS NOT NULL GROUP BY code""", plain=True)
+def reader_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers refuse: a document a day in which most records have a fault."""
+    events = table(spark, sf_dir, "events")
+    tags = "'tags', map('amenity', 'hospital')"
+    element = f"""CASE event_id % 9 WHEN 0 THEN '"no object"' WHEN 1 THEN concat('{{"id":', event_id, '}}')
+        WHEN 2 THEN to_json(named_struct('type', 'node', 'lat', 1D, 'lon', 2D, {tags})) WHEN 3 THEN to_json(named_struct('type', 'node', 'id', event_id, 'lat', 'north', 'lon', 2D, {tags}))
+        WHEN 4 THEN to_json(named_struct('type', 'node', 'id', event_id, 'lat', 1D, {tags})) WHEN 5 THEN to_json(named_struct('type', 'way', 'id', event_id, {tags}))
+        WHEN 6 THEN to_json(named_struct('type', 'node', 'id', event_id, 'lat', 95D, 'lon', 2D, {tags})) WHEN 7 THEN to_json(named_struct('type', 'relation', 'lat', 5D, 'lon', 2D, 'tags', map('a', 'b')))
+        ELSE to_json(named_struct('type', 'node', 'id', event_id, 'lat', 5D, 'lon', 2D, {tags})) END"""
+    elements = maps.osm_elements(spark, _documents(_daily(events, element, '{"elements":[', "]}", ",")))
+    alert = """concat('<alert><identifier>', CASE WHEN event_id % 4 = 0 THEN ' ' ELSE CAST(event_id AS STRING) END, '</identifier><sender>desk</sender><sent>', CASE WHEN event_id % 4 IN (0, 2) THEN 'noon' ELSE '2024-01-01T00:00:00+00:00' END,
+        '</sent><info><event>Flood</event><area><areaDesc>x</areaDesc>', CASE event_id % 4 WHEN 1 THEN '<polygon>1,2 3,4</polygon><polygon>1,2 3,4 5,6</polygon>' WHEN 2 THEN '<polygon>1,2 x,y 3 4,5</polygon><polygon>none</polygon>' ELSE '<polygon>1,2 3,4 5,6</polygon>' END, '</area></info></alert>')"""
+    records = feeds.cap_records(spark, _documents(_daily(events, alert, "<alerts>", "</alerts>")))
+    series = """to_json(named_struct('sourceInfo', named_struct('siteName', 'x', 'siteCode', CASE WHEN event_id % 5 <> 3 THEN array(named_struct('value', CAST(user_id AS STRING))) END, 'geoLocation', named_struct('geogLocation', named_struct('latitude', CASE WHEN event_id % 5 = 2 THEN '95' ELSE '5' END, 'longitude', '7'))),
+        'variable', named_struct('variableCode', array(named_struct('value', '00065'))), 'values', array(named_struct('value', array(named_struct('value', CASE event_id % 5 WHEN 0 THEN 'Ice' WHEN 1 THEN '-999999' ELSE '3' END, 'dateTime', '2024-01-01T00:00:00'))))))"""
+    values = feeds.gauge_values(spark, _documents(_daily(events, series, '{"value":{"timeSeries":[', "]}}", ",")))
+    told = [("osm", maps.osm_rejects(elements)), ("pois", feeds.poi_rejects(elements)), ("cap", feeds.cap_rejects(records)), ("gauges", feeds.gauge_rejects(values))]
+    counts = [rows.groupBy("code").agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "code", "n") for name, rows in told]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
 @query("""WITH w AS (SELECT CAST(event_id % 120 AS DOUBLE) AS wind, CAST(event_id % 45 AS DOUBLE) AS hot FROM events)
 SELECT CASE WHEN hot > 38 THEN 'wildfire_perimeter' ELSE 'flood_inundation' END AS hazard_type, CASE WHEN wind >= 85 THEN 'critical_blocked' ELSE 'severe' END AS severity, CASE WHEN wind >= 85 THEN 0 ELSE 0.35 END::DOUBLE AS speed_multiplier, count(*) AS n
 FROM w WHERE wind >= 75 GROUP BY 1, 2, 3""", plain=True)

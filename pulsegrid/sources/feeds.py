@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import feeds, geo
-from pulsegrid.sources.maps import OSM_ELEMENTS, TAGS, read_features
+from pulsegrid.sources.maps import TAGS, _told, osm_elements, read_features
 
 # Domains of alert fields and their defaults.
 CAP_DOMAINS = {
@@ -55,8 +55,36 @@ def parse_alerts(raw: DataFrame, now: str) -> DataFrame:
 
 def read_cap_alerts(spark: SparkSession, paths: str | list[str], now: str) -> DataFrame:
     """CAP 1.2 XML documents as alerts, whatever their namespaces."""
-    raw = spark.read.format("xml").option("rowTag", "alert").option("ignoreNamespace", True).schema(CAP).load(paths)
-    return parse_alerts(raw, now)
+    return parse_alerts(cap_records(spark, paths), now)
+
+
+def cap_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The fields of CAP 1.2 XML documents as they are."""
+    return spark.read.format("xml").option("rowTag", "alert").option("ignoreNamespace", True).schema(CAP).load(paths)
+
+
+def cap_rejects(records: DataFrame) -> DataFrame:
+    """(record, code, message) of what ``parse_alerts`` replaces or drops, from ``cap_records``.
+
+    Codes: missing_id and invalid_time (of sent or expires) of alerts that stay with defaults, invalid_polygon of each
+    polygon of fewer than three readable points, which is dropped. An alert may have several.
+    """
+    info = F.try_element_at("info", F.lit(1))
+    stamp = lambda c: F.try_to_timestamp(F.regexp_replace(F.trim(c), "^$", "x"))
+    wrong = lambda c: (F.length(F.trim(c)) > 0) & stamp(c).isNull()
+    fault = lambda test, code, text: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.coalesce(text, F.lit("")).alias("text")))
+    alone = F.array(
+        fault(F.coalesce(F.length(F.trim("identifier")), F.lit(0)) == 0, "missing_id", F.col("sender")),
+        fault(wrong(F.col("sent")), "invalid_time", F.col("sent")),
+        fault(wrong(info["expires"]), "invalid_time", info["expires"]),
+    )
+    areas = F.coalesce(info["area"], F.array().cast("array<struct<areaDesc:string,polygon:array<string>>>"))
+    texts = F.flatten(F.transform(areas, lambda a: F.coalesce(a["polygon"], F.array().cast("array<string>"))))
+    safe = lambda t: F.array_join(F.filter(F.split(F.trim(t), r"\s+"), lambda p: p.contains(",")), " ")
+    small = F.filter(texts, lambda t: F.coalesce(F.size(cap_ring(safe(t))), F.lit(0)) < 3)
+    shapes = F.transform(small, lambda t: fault(F.lit(True), "invalid_polygon", t))
+    rows = records.select("identifier", F.explode(F.filter(F.concat(alone, shapes), lambda f: f.isNotNull())).alias("f"))
+    return _told(rows, F.col("identifier"), F.col("f.code"), F.col("f.text"))
 
 
 HAZARD_METADATA = "map<string,string>"
@@ -89,14 +117,40 @@ POI_TYPES = [("amenity", "hospital", "hospital"), ("healthcare", "hospital", "ho
 SPECIALITIES = [("cardio", "cardiac_care"), ("stroke", "stroke_center"), ("neurolog", "stroke_center"), ("burn", "burn_center"), ("pediatric", "pediatric_care"), ("paediatric", "pediatric_care")]
 
 
+def _poi_kind() -> Column:
+    """The kind of facility that an element's tags name, null if none."""
+    kind = F.lit(None).cast("string")
+    for key, value, name in reversed(POI_TYPES):
+        kind = F.when(F.try_element_at("tags", F.lit(key)) == value, name).otherwise(kind)
+    return kind
+
+
+def poi_rejects(elements: DataFrame) -> DataFrame:
+    """(record, code, message) of the facilities that ``read_pois`` leaves out, from ``osm_elements``.
+
+    Codes: malformed_record (no object, or without a type), and for elements with the tags of a facility missing_id,
+    missing_coordinates and invalid_coordinates (no number, or outside WGS84). Other elements are no rejects.
+    """
+    place = F.col("lon").isNull() | F.col("lat").isNull()
+    code = F.when(F.col("type").isNull(), "malformed_record").when(
+        _poi_kind().isNotNull(),
+        F.when(F.col("id").isNull(), "missing_id")
+        .when(F.col("bad_number"), "invalid_coordinates")
+        .when(place, "missing_coordinates")
+        .when(~geo.valid_wgs84(F.col("lon"), F.col("lat")), "invalid_coordinates"),
+    )
+    return _told(elements, F.concat_ws("/", "type", "id"), code, F.col("raw"))
+
+
 def read_pois(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Facilities of Overpass documents; ways and relations stand at their centre, other elements and places are left out."""
-    e = spark.read.schema(OSM_ELEMENTS).json(paths, multiLine=True).select(F.explode("elements").alias("e")).select("e.*").withColumn("tags", F.coalesce("tags", F.create_map().cast(TAGS)))
+    return pois_of(osm_elements(spark, paths))
+
+
+def pois_of(elements: DataFrame) -> DataFrame:
+    """The facilities among ``osm_elements``; those left out for a fault are what ``poi_rejects`` tells of."""
+    e = elements.withColumn("tags", F.coalesce("tags", F.create_map().cast(TAGS)))
     tag = lambda n: F.try_element_at("tags", F.lit(n))
-    kind = F.lit(None).cast("string")
-    for key, value, name in reversed(POI_TYPES):
-        kind = F.when(tag(key) == value, name).otherwise(kind)
-    lon, lat = F.coalesce("lon", "center.lon"), F.coalesce("lat", "center.lat")
     level = F.regexp_extract(F.coalesce(tag("emergency:trauma_level"), tag("trauma_level"), F.lit("")), r"([1-5])", 1).try_cast("int")
     special = F.lower(F.coalesce(tag("healthcare:speciality"), F.lit("")))
     yes = lambda n: F.coalesce(F.lower(tag(n)).isin("yes", "true", "1"), F.lit(False))
@@ -104,7 +158,7 @@ def read_pois(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     bays = F.coalesce(tag("fire_station:engine_bays"), tag("engine_bays")).try_cast("int")
     address = F.array_join(F.filter(F.array(tag("addr:housenumber"), tag("addr:street"), tag("addr:city")), lambda x: x.isNotNull()), ", ")
     title = F.initcap(F.replace(F.col("poi_type"), F.lit("_"), F.lit(" ")))
-    out = e.withColumn("poi_type", kind).withColumn("lon", lon).withColumn("lat", lat).where(F.col("poi_type").isNotNull() & F.col("id").isNotNull() & geo.valid_wgs84(F.col("lon"), F.col("lat")))
+    out = e.withColumn("poi_type", _poi_kind()).where(~F.col("bad_number")).where(F.col("poi_type").isNotNull() & F.col("id").isNotNull() & geo.valid_wgs84(F.col("lon"), F.col("lat")))
     return out.select(
         F.concat_ws("/", "type", "id").alias("poi_id"), F.col("id").alias("osm_id"), F.col("type").alias("osm_type"), "poi_type", F.coalesce(F.when(F.length(F.trim(tag("name"))) > 0, F.trim(tag("name"))), F.concat(F.lit("Unnamed "), title, F.lit(" "), F.col("id"))).alias("name"), "lon", "lat",
         F.array_sort(F.array_distinct(F.filter(F.array(*having), lambda c: c.isNotNull()))).alias("capabilities"), level.alias("trauma_level"), bays.alias("apparatus_bays"), F.when(F.length(address) > 0, address).alias("address"), tag("phone").alias("phone"), tag("operator").alias("operator"),
@@ -116,15 +170,45 @@ GAUGES = f"value struct<timeSeries:array<struct<sourceInfo:struct<siteName:strin
 HEIGHT, FLOW = "00065", "00060"
 
 
+def gauge_values(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Every value of gauge documents: site_id, site_name, lat, lon, code, value and time as they are, x and ts if readable."""
+    s = spark.read.schema(GAUGES).json(paths, multiLine=True).select(F.explode("value.timeSeries").alias("s"))
+    place = F.col("s.sourceInfo.geoLocation.geogLocation")
+    rows = s.select(
+        F.try_element_at("s.sourceInfo.siteCode", F.lit(1))["value"].alias("site_id"),
+        F.col("s.sourceInfo.siteName").alias("site_name"),
+        place["latitude"].try_cast("double").alias("lat"),
+        place["longitude"].try_cast("double").alias("lon"),
+        F.try_element_at("s.variable.variableCode", F.lit(1))["value"].alias("code"),
+        F.explode(F.flatten(F.transform("s.values", lambda v: v["value"]))).alias("v"),
+    )
+    return rows.withColumn("x", F.col("v.value").try_cast("double")).withColumn("ts", F.try_to_timestamp("v.dateTime"))
+
+
+#: Values at or below this stand for none.
+NO_VALUE = -999998
+
+
+def gauge_rejects(values: DataFrame) -> DataFrame:
+    """(record, code, message) of the values that ``read_gauges`` leaves out, from ``gauge_values``.
+
+    Codes: missing_id, invalid_value (no number), missing_value (the mark for none), invalid_coordinates.
+    """
+    code = (
+        F.when(F.col("site_id").isNull(), "missing_id")
+        .when(F.col("x").isNull(), "invalid_value")
+        .when(F.col("x") <= NO_VALUE, "missing_value")
+        .when(~geo.valid_wgs84(F.col("lon"), F.col("lat")), "invalid_coordinates")
+    )
+    return _told(values, F.concat_ws("/", "site_id", "code"), code, F.to_json("v"))
+
+
 def read_gauges(spark: SparkSession, paths: str | list[str], thresholds: DataFrame | None = None) -> DataFrame:
     """The latest height and flow of each site; sites without height or place are dropped.
 
     ``thresholds``: (site_id, action_ft, minor_ft, moderate_ft, major_ft); sites without any are normal.
     """
-    s = spark.read.schema(GAUGES).json(paths, multiLine=True).select(F.explode("value.timeSeries").alias("s"))
-    place = F.col("s.sourceInfo.geoLocation.geogLocation")
-    rows = s.select(F.try_element_at("s.sourceInfo.siteCode", F.lit(1))["value"].alias("site_id"), F.col("s.sourceInfo.siteName").alias("site_name"), place["latitude"].try_cast("double").alias("lat"), place["longitude"].try_cast("double").alias("lon"), F.try_element_at("s.variable.variableCode", F.lit(1))["value"].alias("code"), F.explode(F.flatten(F.transform("s.values", lambda v: v["value"]))).alias("v"))
-    rows = rows.withColumn("x", F.col("v.value").try_cast("double")).withColumn("ts", F.try_to_timestamp("v.dateTime")).where("site_id IS NOT NULL AND x IS NOT NULL AND x > -999998").where(geo.valid_wgs84(F.col("lon"), F.col("lat")))
+    rows = gauge_values(spark, paths).where(f"site_id IS NOT NULL AND x IS NOT NULL AND x > {NO_VALUE}").where(geo.valid_wgs84(F.col("lon"), F.col("lat")))
     order = F.struct(F.coalesce("ts", F.lit("1970-01-01").cast("timestamp")), "x")
     wide = rows.groupBy("site_id").agg(F.max("site_name").alias("site_name"), F.max("lon").alias("lon"), F.max("lat").alias("lat"), F.max("ts").alias("ts"), F.max_by(F.when(F.col("code") == HEIGHT, F.col("x")), F.when(F.col("code") == HEIGHT, order)).alias("gage_height_ft"), F.max_by(F.when(F.col("code") == FLOW, F.col("x")), F.when(F.col("code") == FLOW, order)).alias("streamflow_cfs")).where("gage_height_ft IS NOT NULL")
     stage = F.lit("normal")

@@ -9,7 +9,58 @@ from pulsegrid.functions import geo, roads
 from pulsegrid.operators.network import prune_orphans, with_reverse
 
 TAGS = "map<string,string>"
-OSM_ELEMENTS = f"elements array<struct<type:string,id:long,lat:double,lon:double,nodes:array<long>,center:struct<lat:double,lon:double>,tags:{TAGS}>>"
+#: An element as its document has it; what must be a number is read as text, so that a bad one spoils itself alone.
+_ELEMENT = f"type string, id string, lat string, lon string, nodes array<string>, center struct<lat:string,lon:string>, tags {TAGS}"
+REJECTS = ("record", "code", "message")
+
+
+def osm_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Every element of OSM JSON documents: raw (its JSON text), type, id, lon, lat, nodes, tags and bad_number.
+
+    Elements stand where they are or at their centre. Each is parsed on its own: one that is no object has nulls.
+    bad_number says that a coordinate is there but is no number.
+    """
+    raw = spark.read.schema("elements array<string>").json(paths, multiLine=True).select(F.explode("elements").alias("raw"))
+    e = raw.withColumn("e", F.from_json("raw", _ELEMENT))
+    number = lambda c: F.coalesce(F.col(f"e.{c}"), F.col(f"e.center.{c}"))
+    lon, lat = (number(c).try_cast("double") for c in ("lon", "lat"))
+    bad = (number("lon").isNotNull() & lon.isNull()) | (number("lat").isNotNull() & lat.isNull())
+    nodes = F.transform("e.nodes", lambda n: n.try_cast("long"))
+    return e.select(
+        "raw",
+        F.col("e.type").alias("type"),
+        F.col("e.id").try_cast("long").alias("id"),
+        lon.alias("lon"),
+        lat.alias("lat"),
+        F.col("e.lon").try_cast("double").alias("own_lon"),
+        F.col("e.lat").try_cast("double").alias("own_lat"),
+        nodes.alias("nodes"),
+        F.col("e.tags").alias("tags"),
+        bad.alias("bad_number"),
+    )
+
+
+def _told(rows: DataFrame, record: Column, code: Column, message: Column) -> DataFrame:
+    """(record, code, message) of the rows that have a code; messages are the first 200 characters."""
+    told = rows.select(record.alias("record"), code.alias("code"), F.substring(message, 1, 200).alias("message"))
+    return told.where("code IS NOT NULL")
+
+
+def osm_rejects(elements: DataFrame) -> DataFrame:
+    """(record, code, message) of the elements that no network can take, from ``osm_elements``.
+
+    Codes: malformed_record (no object, or without a type), missing_id, missing_coordinates and invalid_coordinates
+    of nodes, missing_nodes of ways. Other types are no part of a network, and no rejects.
+    """
+    is_node, is_way = F.col("type") == "node", F.col("type") == "way"
+    code = (
+        F.when(F.col("type").isNull(), "malformed_record")
+        .when((is_node | is_way) & F.col("id").isNull(), "missing_id")
+        .when(is_node & F.col("bad_number"), "invalid_coordinates")
+        .when(is_node & (F.col("own_lat").isNull() | F.col("own_lon").isNull()), "missing_coordinates")
+        .when(is_way & F.col("nodes").isNull(), "missing_nodes")
+    )
+    return _told(elements, F.concat_ws("/", "type", "id"), code, F.col("raw"))
 
 
 def _network(points: DataFrame, ways: DataFrame, profile: str, allow_emergency: bool, highways: list[str] | None) -> tuple[DataFrame, DataFrame]:
@@ -32,9 +83,13 @@ def _network(points: DataFrame, ways: DataFrame, profile: str, allow_emergency:
 
 def read_osm_json(spark: SparkSession, paths: str | list[str], profile: str = "distance", allow_emergency: bool = True, highways: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of OSM JSON documents; elements without what they need are left out."""
-    e = spark.read.schema(OSM_ELEMENTS).json(paths, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
-    points = e.where("type = 'node' AND id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select("id", "lon", "lat", "tags")
-    ways = e.where("type = 'way' AND id IS NOT NULL AND nodes IS NOT NULL").select(F.col("id").alias("way_id"), F.col("nodes").alias("refs"), F.coalesce("tags", F.create_map().cast(TAGS)).alias("tags"))
+    return osm_network(osm_elements(spark, paths), profile, allow_emergency, highways)
+
+
+def osm_network(elements: DataFrame, profile: str = "distance", allow_emergency: bool = True, highways: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of ``osm_elements``; what is left out for a fault is what ``osm_rejects`` tells of."""
+    points = elements.where("type = 'node' AND id IS NOT NULL AND own_lat IS NOT NULL AND own_lon IS NOT NULL").select("id", F.col("own_lon").alias("lon"), F.col("own_lat").alias("lat"), "tags")
+    ways = elements.where("type = 'way' AND id IS NOT NULL AND nodes IS NOT NULL").select(F.col("id").alias("way_id"), F.col("nodes").alias("refs"), F.coalesce("tags", F.create_map().cast(TAGS)).alias("tags"))
     return _network(points, ways, profile, allow_emergency, highways)
 
 
