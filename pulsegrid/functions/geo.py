@@ -23,10 +23,10 @@ def _num(x: Column | float | str) -> Column:
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str = "m") -> Column:
-    """Great-circle distance; the square under the root is clamped to [0, 1]."""
+    """Great-circle distance, null if a coordinate is; the square under the root is clamped to [0, 1]."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     a = F.pow(F.sin((p2 - p1) / 2), F.lit(2.0)) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    a = F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))
+    a = F.when(a < 0, 0.0).when(a > 1, 1.0).otherwise(a)  # greatest and least would pass over a null
     return F.atan2(F.sqrt(a), F.sqrt(1 - a)) * (2 * EARTH_RADIUS_M / METERS_PER_UNIT[unit])
 
 
