@@ -1,16 +1,17 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 Tokens (words and runs of marks) are predicted from the WINDOW tokens on each side. What is gathered from
-the corpus grows with it: a table of every distinct token's count. The OWN most frequent tokens have ids of
-their own, the others share BINS ids by hash. The network multiplies each neighbour's embedding by its
-place's matrix, passes the sum through tanh, and predicts the token's class and then its member of the class;
-output biases start at the corpus's own counts. The inputs never hold the token itself, so every position of
-every document is a target in each round. A token of a bin is then told from the others of its bin by its
+the corpus grows with it: a table of every distinct token's count. Of a network's side * side ids, whose number
+follows the corpus's size (see ``side_for``), seven in eight go to the most frequent tokens; all others share the
+rest by hash. The network multiplies each neighbour's embedding by its place's matrix, passes the sum through tanh,
+and predicts the token's class and then its member of the class; output biases start at the corpus's own counts. The inputs never hold the token itself, so every position of
+every document is a target. A token of a bin is then told from the others of its bin by its
 share of the bin's counts, joined from the table. A document's score is the sum over all positions of the log
 probability of its token given both sides (Wang and Cho, 2019; Salazar et al., 2020).
 
-Each task trains on its partition from the round's common weights, and the weights are averaged by the number
-of tokens. So weights depend, slightly, on how Spark splits the files; the same splits give the same weights.
+Rows are dealt by hash to lots of about LOT tokens, and lots to rounds, so each position is trained on once. A round
+trains each of its lots from the weights of the round before, and averages the weights by the number of tokens. Lots,
+their order and the averages follow from the rows alone, not from files or machines.
 """
 
 from __future__ import annotations
@@ -26,36 +27,53 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import hashing
 from pulsegrid.llm.store import partitions, written
 
-CLASSES, MEMBERS, WINDOW, DIM = 64, 64, 3, 16
-VOCABULARY = CLASSES * MEMBERS
-BINS = 512
-OWN = VOCABULARY - BINS
+WINDOW, DIM = 3, 16
+#: Classes of the smallest network, and members of each; one id in so many is shared.
+SIDE, SHARED = 64, 8
 #: Learning rate, tokens in a step, weights in one averaged block, and partial means of a block.
 RATE, STEP, BLOCK, LOTS = 0.15, 4096, 8192, 32
+#: Tokens of a lot, at least, lots of a round, at most, and rounds.
+LOT, MOST_LOTS, ROUNDS = 1 << 19, 1 << 16, 2
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
-class Network:
-    """Weights: embeddings, places' matrices, their bias, class outputs, class inputs, member outputs, and biases."""
+def side_for(tokens: int) -> int:
+    """Classes, and members of each, for a corpus: ids grow with the cube root of its tokens, four times as many at a time."""
+    side = SIDE
+    while tokens > 1 << 28:
+        side, tokens = 2 * side, tokens >> 6
+    return side
+
+
+def own_ids(side: int) -> int:
+    return side * side - side * side // SHARED
+
+
+def shapes(side: int) -> tuple[tuple[int, ...], ...]:
+    """Embeddings, places' matrices, their bias, class outputs, class biases, class inputs, member outputs, and their biases."""
+    return (side * side + 1, DIM), (len(PLACES) * DIM, DIM), (DIM,), (DIM, side), (side,), (side, DIM), (DIM, side), (side, side)
 
-    SHAPES = ((VOCABULARY + 1, DIM), (len(PLACES) * DIM, DIM), (DIM,), (DIM, CLASSES), (CLASSES,), (CLASSES, DIM), (DIM, MEMBERS), (CLASSES, MEMBERS))
 
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat, self.parts, at = flat, [], 0
-        for shape in self.SHAPES:
+class Network:
+    """The weights of ``shapes``, in one flat array."""
+
+    def __init__(self, flat: np.ndarray, side: int = SIDE) -> None:
+        self.flat, self.side, self.pad, self.parts, at = flat, side, side * side, [], 0
+        for shape in shapes(side):
             n = int(np.prod(shape))
             self.parts.append(flat[at : at + n].reshape(shape))
             at += n
 
     @classmethod
     def start(cls, counts: np.ndarray) -> Network:
-        """Small fixed random weights, and biases that give the counts' own distribution."""
-        flat = np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES), np.float32)
-        net, rng = cls(flat), np.random.default_rng(7)
+        """Small fixed random weights, and biases that give the counts' own distribution; counts: side * side of them."""
+        side = round(len(counts) ** 0.5)
+        flat = np.zeros(sum(int(np.prod(s)) for s in shapes(side)), np.float32)
+        net, rng = cls(flat, side), np.random.default_rng(7)
         for i, scale in ((0, 0.3), (1, 0.25), (3, 0.1), (5, 0.1), (6, 0.1)):
             net.parts[i][:] = rng.normal(0, scale, net.parts[i].shape)
-        net.parts[0][VOCABULARY] = 0  # beyond a document's ends
-        share = (counts.reshape(CLASSES, MEMBERS) + 1.0) / (counts.sum() + VOCABULARY)
+        net.parts[0][net.pad] = 0  # beyond a document's ends
+        share = (counts.reshape(side, side) + 1.0) / (counts.sum() + side * side)
         net.parts[4][:], net.parts[7][:] = np.log(share.sum(1)), np.log(share / share.sum(1, keepdims=True))
         return net
 
@@ -66,7 +84,7 @@ class Network:
         near = np.concatenate([x[at + k] for k in PLACES], 1)
         hidden = np.tanh(near @ mix + bias)
         token = row[at]
-        group, member = token // MEMBERS, token % MEMBERS
+        group, member = token // self.side, token % self.side
         joint = hidden + inner[group]
         rows = np.arange(len(at))
         probabilities = []
@@ -100,7 +118,7 @@ class Network:
             self._step(i, slice(None), grad, past)
         self._sparse(group, ((5, to_joint), (7, of_member)), past)
         self._sparse(row, ((0, to_x),), past)
-        self.parts[0][VOCABULARY] = 0
+        self.parts[0][self.pad] = 0
 
     def _step(self, i: int, at, grad: np.ndarray, past: Network) -> None:
         past.parts[i][at] += grad * grad
@@ -116,27 +134,30 @@ class Network:
 
 @dataclass
 class Model:
-    """Hashes of the tokens with ids of their own (sorted) and their ids, each bin's (count, distinct tokens), the token table, and weights."""
+    """Hashes of the tokens with ids of their own (sorted) and their ids, each shared id's (count, distinct tokens), the token table, and weights."""
 
     known: np.ndarray
     ids: np.ndarray
     bins: np.ndarray
     table: DataFrame
     weights: np.ndarray
+    side: int
+    tokens: int
 
-    def mapping(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.known, self.ids
+    def mapping(self) -> tuple[np.ndarray, np.ndarray, int]:
+        return self.known, self.ids, self.side
 
 
-def numbered(h: np.ndarray, mapping: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of hashed tokens, and which of them are of a bin."""
-    known, ids = mapping
+def numbered(h: np.ndarray, mapping: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of hashed tokens, and which of them are shared."""
+    known, ids, side = mapping
     h = h.view(np.int64)
+    shared = own_ids(side) + (h & (side * side // SHARED - 1))
     if not len(known):
-        return OWN + (h & (BINS - 1)), np.ones(len(h), bool)
+        return shared, np.ones(len(h), bool)
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     rare = known[at] != h
-    return np.where(rare, OWN + (h & (BINS - 1)), ids[at]), rare
+    return np.where(rare, shared, ids[at]), rare
 
 
 def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,11 +167,11 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield at, n, h, seat, places
 
 
-def steps(ids: np.ndarray, seat: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def steps(ids: np.ndarray, seat: np.ndarray, size: int, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Padded rows of up to ``size`` tokens with their neighbours, and the tokens' places in them."""
     if not len(ids):
         return
-    row = np.full(seat[-1] + WINDOW + 1, VOCABULARY)
+    row = np.full(seat[-1] + WINDOW + 1, pad)
     row[seat] = ids
     for lo in range(0, len(ids), size):
         own = seat[lo : lo + size]
@@ -203,52 +224,92 @@ def averaged(parts: DataFrame) -> DataFrame:
     return parts
 
 
-def fit(batches: Iterator[pa.RecordBatch], net: Network, mapping: tuple[np.ndarray, np.ndarray]) -> int:
-    """Trains ``net`` on every position of the texts in column 0, and tells how many there were."""
-    past, n = Network(np.zeros_like(net.flat)), 0
-    for batch in batches:
-        for _, _, h, seat, _ in sequences(batch.column(0)):
-            for row, at in steps(numbered(h, mapping)[0], seat, STEP):
-                net.learn(row, at, past)
-            n += len(h)
-    return n
+def fit(column: pa.Array, net: Network, past: Network, mapping: tuple[np.ndarray, np.ndarray, int]) -> int:
+    """Trains ``net`` on every position of a column of texts, and tells how many there were."""
+    total = 0
+    for _, _, h, seat, _ in sequences(column):
+        for row, at in steps(numbered(h, mapping)[0], seat, STEP, net.pad):
+            net.learn(row, at, past)
+        total += len(h)
+    return total
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """``docs`` in at least as many partitions as there are cores: a small table may lie in one part of one file."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def vocabulary(docs: DataFrame) -> Model:
-    """The token table of the texts of ``docs``, ids for its OWN most frequent tokens, and a network that knows the counts alone."""
-    table = written(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    top = table.orderBy(F.desc("n"), "token").limit(OWN).collect()  # OWN rows at most
-    counts, bins = np.zeros(VOCABULARY), np.zeros((BINS, 2))
+    """The token table of the texts of ``docs``, ids for the most frequent tokens, and a network that knows the counts alone."""
+    texts = _spread(docs.select(F.col("text").cast("string").alias("text")))
+    table = written(texts.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    tokens = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    side = side_for(tokens)
+    own, bins = own_ids(side), side * side // SHARED
+    top = table.orderBy(F.desc("n"), "token").limit(own).collect()  # a network's ids at most
+    counts, of_bin = np.zeros(side * side), np.zeros((bins, 2))
     counts[: len(top)] = [r["n"] for r in top]
     if top:
         rare = (F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("token") > top[-1]["token"]))
-        for b, n, distinct in table.where(rare).groupBy(F.col("token").bitwiseAND(BINS - 1)).agg(F.sum("n"), F.count("*")).collect():  # BINS rows at most
-            bins[b] = n, distinct
-    counts[OWN:] = bins[:, 0]
+        for b, n, distinct in table.where(rare).groupBy(F.col("token").bitwiseAND(bins - 1)).agg(F.sum("n"), F.count("*")).collect():  # a row for each shared id at most
+            of_bin[b] = n, distinct
+    counts[own:] = of_bin[:, 0]
     order = np.argsort([r["token"] for r in top]).astype(np.int64)
     known = np.array([r["token"] for r in top], np.int64)[order]
-    return Model(known, order, bins, table, Network.start(counts).flat)
+    return Model(known, order, of_bin, table, Network.start(counts).flat, side, tokens)
 
 
-def train(docs: DataFrame, rounds: int = 1) -> Model:
-    """A model trained on the texts of all of ``docs``; of an empty table, an untrained one."""
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    model = vocabulary(docs)
-    for _ in range(rounds):
-        shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping()))
+def lots_of(tokens: int, rounds: int) -> int:
+    """Lots of a round."""
+    return max(1, min(MOST_LOTS, -(-tokens // (rounds * LOT))))
+
+
+def dealt(docs: DataFrame, lots: int, rounds: int) -> DataFrame:
+    """(round, lot, rank, doc_id, text): rows dealt by a hash of their id and text; within a lot they go by rank, then id."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64("doc_id", text).alias("rank"))
+    place = F.pmod("rank", F.lit(lots * rounds))
+    return rows.select((place % rounds).cast("int").alias("round"), F.floor(place / rounds).cast("int").alias("lot"), "rank", "doc_id", "text")
+
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+def _trained(shared) -> object:
+    """A task's function: from rows (lot, text) in order to the weights of each lot, in blocks."""
 
-            weights, mapping = shared.value
-            net = Network(weights.copy())
-            n = fit(batches, net, mapping)
-            if n:
-                parts = [net.flat[lo : lo + BLOCK].tobytes() for lo in range(0, len(net.flat), BLOCK)]
-                cells = (range(len(parts)), pa.int32()), ([TaskContext.get().partitionId()] * len(parts), pa.int32()), ([n] * len(parts), pa.int64()), (parts, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cells], ["block", "lot", "n", "weights"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, mapping = shared.value
+        lot, net, past, n = None, None, None, 0
+
+        def done() -> pa.RecordBatch:
+            parts = [net.flat[lo : lo + BLOCK].tobytes() for lo in range(0, len(net.flat), BLOCK)]
+            cells = (range(len(parts)), pa.int32()), ([lot] * len(parts), pa.int32()), ([n] * len(parts), pa.int64()), (parts, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cells], ["block", "lot", "n", "weights"])
 
-        fitted = averaged(texts.mapInArrow(run, "block int, lot int, n long, weights binary")).collect()  # as many rows as the network has blocks
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1), len(own)] if len(own) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if own[lo] != lot:
+                    if n:
+                        yield done()
+                    lot, net, n = int(own[lo]), Network(weights.copy(), mapping[2]), 0
+                    past = Network(np.zeros_like(net.flat), mapping[2])
+                n += fit(batch.column(1).slice(lo, hi - lo), net, past, mapping)
+        if n:
+            yield done()
+
+    return run
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    """A model trained on the texts of all of ``docs`` (doc_id, text); of an empty table, an untrained one."""
+    model = vocabulary(docs)
+    lots = lots_of(model.tokens, rounds)
+    rows = dealt(docs, lots, rounds)
+    for k in range(rounds):
+        shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping()))
+        own = rows.where(F.col("round") == k).repartitionById(lots, F.col("lot")).sortWithinPartitions("lot", "rank", "doc_id").select("lot", "text")
+        fitted = averaged(own.mapInArrow(_trained(shared), "block int, lot int, n long, weights binary")).collect()  # as many rows as the network has blocks
         if fitted:
             model.weights = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(fitted, key=lambda r: r["block"])])
     return model
@@ -266,25 +327,25 @@ def _lists(own: np.ndarray, h: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, mean_log_probability, log_probability, n_tokens); a text without tokens has a null mean and 0.
 
-    In a bin of N counts and D distinct tokens, a token seen n times has the share (n + 1) / (N + D + 1), which
+    Of a shared id with N counts and D distinct tokens, a token seen n times has the share (n + 1) / (N + D + 1), which
     leaves one part for tokens never seen.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping(), np.log(model.bins.sum(1) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, mapping, norms = shared.value
-        net = Network(weights)
+        net, own_from = Network(weights, mapping[2]), own_ids(mapping[2])
         for batch in batches:
             for first, k, h, seat, places in sequences(batch.column(1)):
                 ids, rare = numbered(h, mapping)
-                logs = np.concatenate([np.zeros(0), *[net.forward(row, at)[0] for row, at in steps(ids, seat, STEP)]])
-                logs[rare] -= norms[ids[rare] - OWN]
+                logs = np.concatenate([np.zeros(0), *[net.forward(row, at)[0] for row, at in steps(ids, seat, STEP, net.pad)]])
+                logs[rare] -= norms[ids[rare] - own_from]
                 sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
                 own = np.repeat(np.arange(k), np.diff(places))
                 tokens, times = _lists(own[rare], h[rare], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(places).astype(np.int64)), pa.array(sums[places[1:]] - sums[places[:-1]]), tokens, times], ["doc_id", "n_tokens", "known", "tokens", "times"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = _spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = written(texts.mapInArrow(run, "doc_id long, n_tokens long, known double, tokens array<long>, times array<long>").withColumn("own", F.monotonically_increasing_id()))
     met = rows.select("own", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("own", "t.*").withColumnRenamed("tokens", "token")
     shares = met.join(model.table, "token", "left").groupBy("own").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("shares"))
@@ -292,7 +353,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.join(shares, "own", "left").select("doc_id", F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_probability"), total.alias("log_probability"), "n_tokens")
 
 
-def pseudo_likelihood(docs: DataFrame, rounds: int = 1) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text) under a model trained on all of them, as of ``score``.
 
     Null and empty texts have no tokens; repeated rows count and are scored each, alike; rows without doc_id are
