@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from pulsegrid.llm.store import spread
+
 #: The published pattern of byte-level BPE pre-tokenizers, with white space as Unicode defines it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Long texts are encoded in parts of about so many characters, cut where a token must end.
@@ -180,7 +182,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], ["doc_id", "token_ids"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string")).mapInArrow(run, "doc_id long, token_ids array<int>")
+    return spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string"))).mapInArrow(run, "doc_id long, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

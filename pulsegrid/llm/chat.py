@@ -165,19 +165,27 @@ def learned_text(formatted: Column, loss_mask: Column) -> Column:
 
 
 def records_of(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record): each conversation's rows by turn as one JSON record, in the layout its roles fit.
+    """(conv_id, record): each conversation's rows by turn as one JSON record, in a layout its roles fit.
 
-    Null texts and roles are empty; rows with equal turns follow by role and text; a null turn comes first.
-    A conversation is one record and so one row, however long.
+    A user's and an assistant's turn become a prompt record or an instruction without input, by the conversation's
+    hash; with a system's turn before they become an instruction. Others become messages or, by the hash and if no
+    role would be renamed, conversations. Null texts and roles are empty; rows with equal turns follow by role and
+    text; a null turn comes first. A conversation is one record and so one row, however long.
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     roles, text = F.col("rows")["role"], lambda i: F.col("rows")[i]["content"]
     is_of = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    even = F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0
     messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["content"].alias("content")))
+    renamed = F.create_map(*[F.lit(n) for n in ("user", "human", "assistant", "gpt", "system", "system")])
+    said = F.transform("rows", lambda r: F.struct(F.try_element_at(renamed, r["role"]).alias("from"), r["content"].alias("value")))
+    plain = F.forall(roles, lambda r: r.isin("user", "assistant", "system"))
     record = (
-        F.when(is_of("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
+        F.when(is_of("user", "assistant") & even, F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
+        .when(is_of("user", "assistant"), F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("output"))))
         .when(is_of("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("input"), text(2).alias("output"))))
+        .when(even & plain, F.to_json(F.struct(said.alias("conversations"))))
         .otherwise(F.to_json(F.struct(messages.alias("messages"))))
     )
     return whole.select("conv_id", record.alias("record"))

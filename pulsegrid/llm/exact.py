@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.store import cut, written
+from pulsegrid.llm.store import cut, spread, written
 
 #: Characters of a chunk before its end is looked for, and at most; a text without such an end is cut at the latter.
 SHORTEST, LONGEST = 512, 8192
@@ -75,7 +75,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    base = spread(docs.select(F.col(id_col).alias("id"), text.alias("text"))).select("id", F.sha2("text", 256).alias("digest"), "text")
     rows = written(recipes(base, "text", identify).withColumn("own", F.monotonically_increasing_id()))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.max(F.struct("id", "own")).alias("last")).where("n > 1")
     met = rows.join(written(groups), "recipe", "left")

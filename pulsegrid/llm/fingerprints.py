@@ -67,7 +67,7 @@ def likeness(a: bytes, b: bytes) -> float:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, guest, doc_id, text) in order; a bucket's last row is a guest, the next bucket's first."""
+    """Rows (unit, guest, doc_id, text) in order; a unit's last row is a guest, the next unit's first."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     held: tuple | None = None
     mark = b""
@@ -90,24 +90,37 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of each text and of the text whose last half is replaced from the next document's start.
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row per row.
-    Documents follow by falling doc_id, those without one last, ties by text; after the last comes the
-    first, and a single document follows itself. Null texts are empty. Other columns are not read.
-
-    The order is cut into ranges of ids at sampled quantiles, four for each shuffle partition; each
-    range also gets the first row of the next one, so texts are shuffled once and every task streams
-    through its ranges with two rows in hand.
+    Documents follow by falling doc_id, those without one last, ties by the texts' xxhash64; after the last comes the
+    first, and a single document follows itself. Null texts are empty, an empty table gives an empty one, and a text
+    may be as long as a row can be: two are in hand at a time. Other columns are not read.
+
+    The order is cut into ranges of ids at sampled quantiles, four for each shuffle partition. An id that fills
+    ranges, and the rows without one, are cut further by hash, so a task's rows are bounded but for rows of one id
+    and one text. Each range also gets the first row of the next one, so texts are shuffled once and every task
+    streams through its ranges.
     """
     spark = docs.sparkSession
     n = 4 * partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100_000)).first()[0]
-    bounds = sorted(set(cuts or []))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 100_000)).first()[0] or []
+    hot = {x for x, y in zip(cuts, cuts[1:], strict=False) if x == y}
+    bounds = sorted({*cuts, *hot, *(x + 1 for x in hot if x < (1 << 63) - 1)})
     bucket = F.coalesce(F.lit(len(bounds)) - position(F.col("doc_id"), bounds), F.lit(len(bounds) + 1))
-    placed = rows.select(F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket).cast("int").alias("bucket"), "doc_id", "text")
-    heads = sorted((r["bucket"], r["head"]) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
-    guests = [(b, heads[(k + 1) % len(heads)][1], heads[(k + 1) % len(heads)][0]) for k, (b, _) in enumerate(heads)]
-    table = spark.createDataFrame(guests or [(0, 0, 0)], "to_bucket int, head long, of_bucket int")
-    firsts = placed.join(F.broadcast(table), (F.col("bucket") == F.col("of_bucket")) & F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("to_bucket").agg(F.min("text").alias("text"))
-    both = placed.select("bucket", F.lit(0).alias("guest"), "doc_id", "text").union(firsts.select("to_bucket", F.lit(1), F.lit(None).cast("long"), "text"))
-    ordered = both.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "text")
+    placed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(bucket).cast("int"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("alone")).collect()
+    fair = max(1, sum(r["n"] for r in sizes) // n)
+    parted = [(r["bucket"], -(-r["n"] // fair)) for r in sizes if r["alone"] and r["n"] > 2 * fair]
+    pieces = F.broadcast(spark.createDataFrame(parted or [(-1, 1)], "bucket int, pieces int"))  # as many rows as ranges at most
+    share = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("pieces")), F.col("pieces") - 1)
+    placed = placed.join(pieces, "bucket", "left").withColumn("piece", F.coalesce(share, F.lit(0)).cast("int")).drop("pieces")
+
+    heads = sorted(tuple(r) for r in placed.groupBy("bucket", "piece").agg(F.max("doc_id").alias("head")).collect())
+    units = [(k, b, p, head) for k, (b, p, head) in enumerate(heads)]
+    known = F.broadcast(spark.createDataFrame(units or [(0, -1, 0, 0)], "unit int, bucket int, piece int, head long"))
+    placed = placed.join(known, ["bucket", "piece"])
+    before = F.pmod(F.col("unit") - 1, F.lit(max(1, len(units)))).cast("int")
+    firsts = placed.where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy(before.alias("unit")).agg(F.min(F.struct("tie", "text")).alias("t"))
+    both = placed.select("unit", F.lit(0).alias("guest"), "doc_id", "tie", "text").union(firsts.select("unit", F.lit(1), F.lit(None).cast("long"), "t.tie", "t.text"))
+    ordered = both.repartition(partitions(spark), "unit").sortWithinPartitions("unit", "guest", F.desc_nulls_last("doc_id"), "tie", "text").drop("tie")
     return ordered.mapInArrow(_walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

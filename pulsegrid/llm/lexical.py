@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.hashing import grouped, spans
-from pulsegrid.llm.store import written
+from pulsegrid.llm.store import spread, written
 
 #: A block's items times its terms, the columns of a vocabulary tile and the documents of a tile.
 BLOCK_CELLS, TERMS, DOCS = 1 << 23, 1 << 11, 512
@@ -215,7 +215,7 @@ def search(items: DataFrame, docs: DataFrame, k: int = 10, item_id: str = "item_
     spark = docs.sparkSession
     named = written(items.select(F.monotonically_increasing_id().alias("item"), F.col(item_id).alias("name"), F.col(text_col).alias("text")))
     of_items = written(named.select("item", "text").mapInArrow(_terms_of_items, "item long, term binary, times long"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text_col).alias("text")))
     found = spark.createDataFrame([], "item long, id long, score long")
     for first, last in _blocks([tuple(r) for r in of_items.groupBy("item").count().collect()]):
         block = of_items.where(F.col("item").between(first, last)).collect()

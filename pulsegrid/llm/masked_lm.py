@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import hashing
-from pulsegrid.llm.store import partitions, written
+from pulsegrid.llm.store import partitions, spread, written
 
 WINDOW, DIM = 3, 16
 #: Classes of the smallest network, and members of each; one id in so many is shared.
@@ -54,6 +54,27 @@ def shapes(side: int) -> tuple[tuple[int, ...], ...]:
     return (side * side + 1, DIM), (len(PLACES) * DIM, DIM), (DIM,), (DIM, side), (side,), (side, DIM), (DIM, side), (side, side)
 
 
+#: Sums of exponentials from here on are taken as they are; a smaller one is worked out from its own row's maximum.
+SMALLEST = 1e-25
+
+
+def _exponentials(logits, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of logits() less a maximum: the picked column of each row, all exponentials, and each row's sum of them."""
+    rows = np.arange(len(pick))
+    x = logits()
+    x -= x.max(initial=0)  # one maximum for all rows is cheap
+    chosen = x[rows, pick]
+    np.exp(x, out=x)
+    norm = x @ np.ones(x.shape[1], x.dtype)
+    if len(norm) and norm.min() < SMALLEST:
+        x = logits()
+        x -= x.max(1, keepdims=True)
+        chosen = x[rows, pick]
+        np.exp(x, out=x)
+        norm = x.sum(1)
+    return chosen, x, norm
+
+
 class Network:
     """The weights of ``shapes``, in one flat array."""
 
@@ -77,43 +98,56 @@ class Network:
         net.parts[4][:], net.parts[7][:] = np.log(share.sum(1)), np.log(share / share.sum(1, keepdims=True))
         return net
 
+    def near(self) -> np.ndarray:
+        """What each token's embedding adds to the hidden sum at each place beside it: fixed weights need this once."""
+        emb, mix = self.parts[:2]
+        return np.stack([emb @ mix[i * DIM : (i + 1) * DIM] for i in range(len(PLACES))])
+
+    def score(self, row: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Log probabilities of the tokens at some places of a padded row; ``near`` is that of the weights."""
+        total = near[0][row[at + PLACES[0]]]
+        for table, k in zip(near[1:], PLACES[1:], strict=True):
+            total += table[row[at + k]]
+        return self._read(np.tanh(total + self.parts[2]), row[at])[0]
+
+    def _read(self, hidden: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+        """Log probabilities, joint inputs, classes and members of tokens, and both outputs as (exponentials, their sums)."""
+        out, out_bias, inner, last, last_bias = self.parts[3:]
+        group, member = token // self.side, token % self.side
+        joint = hidden + inner[group]
+        logs, both = np.zeros(len(token), hidden.dtype), []
+        for logits, pick in ((lambda: hidden @ out + out_bias, group), (lambda: joint @ last + last_bias[group], member)):
+            chosen, exponentials, norm = _exponentials(logits, pick)
+            logs += chosen - np.log(norm)
+            both.append((exponentials, norm))
+        return logs, joint, group, member, both
+
     def forward(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Log probabilities of the tokens at some places of a padded row, and what the gradient needs."""
-        emb, mix, bias, out, out_bias, inner, last, last_bias = self.parts
+        emb, mix, bias = self.parts[:3]
         x = emb[row]
         near = np.concatenate([x[at + k] for k in PLACES], 1)
         hidden = np.tanh(near @ mix + bias)
-        token = row[at]
-        group, member = token // self.side, token % self.side
-        joint = hidden + inner[group]
-        rows = np.arange(len(at))
-        probabilities = []
-        logs = np.zeros(len(at), hidden.dtype)
-        for logits, pick in ((hidden @ out + out_bias, group), (joint @ last + last_bias[group], member)):
-            logits -= logits.max(1, keepdims=True)
-            chosen = logits[rows, pick]
-            np.exp(logits, out=logits)
-            norm = logits.sum(1, keepdims=True)
-            logs += chosen - np.log(norm[:, 0])
-            logits /= norm
-            probabilities.append(logits)
-        return logs, (near, hidden, joint, group, member, *probabilities)
+        logs, joint, group, member, both = self._read(hidden, row[at])
+        return logs, (near, hidden, joint, group, member, both)
 
     def learn(self, row: np.ndarray, at: np.ndarray, past: Network) -> None:
         """One step of Adagrad; ``past`` holds the squared gradients so far."""
-        _, (near, hidden, joint, group, member, of_class, of_member) = self.forward(row, at)
+        _, (near, hidden, joint, group, member, both) = self.forward(row, at)
         rows, n = np.arange(len(at)), len(at)
-        of_class[rows, group] -= 1
-        of_member[rows, member] -= 1
-        of_class /= n
-        of_member /= n
+        for (grad, norm), pick in zip(both, (group, member), strict=True):  # of the mean loss: probabilities, less one where the token is
+            grad *= (1 / (norm * n))[:, None]
+            grad[rows, pick] -= 1 / n
+        of_class, of_member = both[0][0], both[1][0]
         mix, out, last = self.parts[1], self.parts[3], self.parts[6]
         to_joint = of_member @ last.T
         to_total = (of_class @ out.T + to_joint) * (1 - hidden * hidden)
-        to_near = to_total @ mix.T
-        to_x = np.zeros((len(row), DIM), to_near.dtype)
-        for i, k in enumerate(PLACES):  # a place of the row is met once for each k
-            to_x[at + k] += to_near[:, i * DIM : (i + 1) * DIM]
+        to_near = np.zeros((len(row), len(PLACES) * DIM), near.dtype)
+        to_near[at] = to_total @ mix.T
+        to_x = np.zeros((len(row), DIM), near.dtype)
+        for i, k in enumerate(PLACES):  # seats are WINDOW away from either end
+            own = to_near[:, i * DIM : (i + 1) * DIM]
+            to_x[max(k, 0) : len(row) + min(k, 0)] += own[max(-k, 0) : len(row) - max(k, 0)]
         for i, grad in ((1, near.T @ to_total), (2, to_total.sum(0)), (3, hidden.T @ of_class), (4, of_class.sum(0)), (6, joint.T @ of_member)):
             self._step(i, slice(None), grad, past)
         self._sparse(group, ((5, to_joint), (7, of_member)), past)
@@ -234,15 +268,9 @@ def fit(column: pa.Array, net: Network, past: Network, mapping: tuple[np.ndarray
     return total
 
 
-def _spread(docs: DataFrame) -> DataFrame:
-    """``docs`` in at least as many partitions as there are cores: a small table may lie in one part of one file."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def vocabulary(docs: DataFrame) -> Model:
     """The token table of the texts of ``docs``, ids for the most frequent tokens, and a network that knows the counts alone."""
-    texts = _spread(docs.select(F.col("text").cast("string").alias("text")))
+    texts = spread(docs.select(F.col("text").cast("string").alias("text")))
     table = written(texts.mapInArrow(_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     tokens = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     side = side_for(tokens)
@@ -335,17 +363,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, mapping, norms = shared.value
         net, own_from = Network(weights, mapping[2]), own_ids(mapping[2])
+        near = net.near()
         for batch in batches:
             for first, k, h, seat, places in sequences(batch.column(1)):
                 ids, rare = numbered(h, mapping)
-                logs = np.concatenate([np.zeros(0), *[net.forward(row, at)[0] for row, at in steps(ids, seat, STEP, net.pad)]])
+                logs = np.concatenate([np.zeros(0), *[net.score(row, at, near) for row, at in steps(ids, seat, STEP, net.pad)]])
                 logs[rare] -= norms[ids[rare] - own_from]
                 sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
                 own = np.repeat(np.arange(k), np.diff(places))
                 tokens, times = _lists(own[rare], h[rare], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, k), pa.array(np.diff(places).astype(np.int64)), pa.array(sums[places[1:]] - sums[places[:-1]]), tokens, times], ["doc_id", "n_tokens", "known", "tokens", "times"])
 
-    texts = _spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    texts = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = written(texts.mapInArrow(run, "doc_id long, n_tokens long, known double, tokens array<long>, times array<long>").withColumn("own", F.monotonically_increasing_id()))
     met = rows.select("own", F.explode(F.arrays_zip("tokens", "times")).alias("t")).select("own", "t.*").withColumnRenamed("tokens", "token")
     shares = met.join(model.table, "token", "left").groupBy("own").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("shares"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import hashing
 from pulsegrid.llm.components import connected
-from pulsegrid.llm.store import cut, partitions
+from pulsegrid.llm.store import cut, partitions, spread
 
 ROWS, BATCH = 5, 24
 BLOCK, COMMON = 256, 16
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
     n_bands = bands_needed(threshold[0] / threshold[1], miss)
     least = least_matches(threshold[0] / threshold[1], miss)
     text = F.col(text_col).cast("string")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    plain = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")))
     described = cut(plain.mapInArrow(lambda it: _describe(it, width, n_bands), "doc_id long, words_key binary, n_shingles long, signature binary, bands array<long>, text_key long"))
 
     usable = described.where("words_key IS NOT NULL AND doc_id IS NOT NULL")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import hashing
 from pulsegrid.llm.hashing import U64
-from pulsegrid.llm.store import cut
+from pulsegrid.llm.store import cut, spread
 
 FEATURES = 1 << 14
 #: Labelled rows used to fit the target model and to calibrate, about, by default; the raw model counts all documents.
@@ -122,6 +122,7 @@ def calibrated_cut(sample: list[tuple[float, bool]]) -> float:
 
 
 def _selection(docs: DataFrame, labels: DataFrame, seed: int, k: int | None, n_labels: int) -> tuple[np.ndarray, float, DataFrame]:
+    docs = spread(docs.select("doc_id", "text"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     sample = cut(known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(n, 1))) < n_labels).select("doc_id", "quality", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).alias("fold")))

@@ -16,6 +16,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.store import spread
 from pulsegrid.llm.arrays import let, offsets
 
 SPAN = "array<struct<start:long,rank:int,end:long>>"
@@ -196,7 +197,7 @@ def find_secrets(docs: DataFrame, allowed: tuple[str, ...] = ALLOWED, text_col:
     unless the candidate is on the allow-list or reads as words. All other columns and repeated rows stay as
     they are; a column named secrets is replaced. An empty table gives an empty one.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit("\n").alias("fill"))
+    rows = spread(docs).select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.lit("\n").alias("fill"))
     names = F.array(*[F.lit(k.name) for k in (*BASE, *ALPHABETS)])
     secrets = F.transform("found", lambda s: F.struct(s["start"].alias("start"), F.element_at(names, s["rank"] + 1).alias("kind"), s["end"].alias("end")))
     return _scan(rows, allowed).select("row", secrets.alias("secrets")).select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], "secrets")
@@ -217,7 +218,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", allowed: tuple[str, ...] = A
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     free = F.coalesce(*[F.when(~F.contains(text, F.lit(c)), F.lit(c)) for c in NONCHARACTERS])
-    rows = docs.select(F.struct("*").alias("row"), text.alias("text"), free.alias("fill"))
+    rows = spread(docs).select(F.struct("*").alias("row"), text.alias("text"), free.alias("fill"))
     lost = F.when(F.col("fill").isNull(), F.replace("text", F.lit(NONCHARACTERS[0]), F.lit("\ufffd"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", lost).withColumn("fill", F.coalesce("fill", F.lit(NONCHARACTERS[0])))
     quoted = mark.replace("\\", "\\\\").replace("$", "\\$")

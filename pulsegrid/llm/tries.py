@@ -22,8 +22,8 @@ from pulsegrid.llm.store import partitions, written
 
 #: Sums of so many numbers of 32 bits name a prefix; a sum of 2^31 turns still fits a long.
 LANES = 6
-#: Characters of a piece of an end list, and bytes hashed at once.
-PIECE = 1 << 18
+#: Characters of a piece of an end list, and pieces of a batch.
+PIECE, ROWS = 1 << 18, 1000
 
 
 def _turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,42 +91,58 @@ def _prefixes(rows: DataFrame, convs: DataFrame) -> DataFrame:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, conv_id) in order to pieces (key, first, ids): decimal ids joined by commas, at most some PIECE characters."""
-    key, first, ids, size = None, 0, [], 0
+    key, first, ids, size, held = None, 0, [], 0, 0
+    rows: list[tuple] = []
 
-    def piece() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"key": pa.array([key], pa.binary()), "first": pa.array([first], pa.int64()), "ids": pa.array([",".join(ids)])})
+    def batch_of() -> pa.RecordBatch:
+        cells = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cells, (pa.binary(), pa.int64(), pa.string()), strict=True)], ["key", "first", "ids"])
 
     for batch in batches:
         for k, c in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
             if ids and (k != key or size > PIECE):
-                yield piece()
+                rows.append((key, first, ",".join(ids)))
+                held += size
+                if len(rows) >= ROWS or held > PIECE:
+                    yield batch_of()
+                    rows.clear()
+                    held = 0
                 ids, size = [], 0
             if not ids:
                 key, first = k, c
             ids.append(str(c))
             size += len(ids[-1]) + 1
     if ids:
-        yield piece()
+        rows.append((key, first, ",".join(ids)))
+    if rows:
+        yield batch_of()
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces in order of (key, first) to (key, ends_sha256), one key after another."""
     key, state = None, None
+    rows: list[tuple] = []
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"key": pa.array([key], pa.binary()), "ends_sha256": pa.array([state.hexdigest()])})
+    def batch_of() -> pa.RecordBatch:
+        keys, digests = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests)], ["key", "ends_sha256"])
 
     for batch in batches:
         for k, ids in zip(batch[0].to_pylist(), batch[2].to_pylist(), strict=True):
             if k != key:
                 if state:
-                    yield done()
+                    rows.append((key, state.hexdigest()))
                 key, state = k, hashlib.sha256()
             else:
                 state.update(b",")
             state.update(ids.encode())
+        if len(rows) >= ROWS:
+            yield batch_of()
+            rows.clear()
     if state:
-        yield done()
+        rows.append((key, state.hexdigest()))
+    if rows:
+        yield batch_of()
 
 
 def _end_lists(ends: DataFrame) -> DataFrame:

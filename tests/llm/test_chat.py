@@ -84,3 +84,11 @@ def test_broken_values_and_clashing_columns(spark):
     out = [r.turns for r in chat.canonical_turns(df).collect()]
     assert out[0] is None and [t.text for t in out[1]] == ["a", "b"] and out[2] is None
     assert [r.formatted for r in chat.format_turns(chat.canonical_turns(df)).collect()][1].count("</turn>") == 2
+
+
+def test_all_layouts_occur_in_the_query(spark, sf_dir):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
+    turns = chat.canonical_turns(chat.records_of(rows))
+    assert {r.layout for r in turns.select("layout").distinct().collect()} == {layout.name for layout in chat.LAYOUTS}
+    odd = spark.createDataFrame([(i, t, "human", "kept as it is") for i in range(8) for t in range(3)], rows.schema)
+    assert all(x.role == "human" for r in chat.canonical_turns(chat.records_of(odd)).collect() for x in r.turns)

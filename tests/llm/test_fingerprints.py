@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 
 from pulsegrid.llm import fingerprints, queries
 
@@ -28,8 +29,13 @@ def test_likeness_estimates_the_shared_part(shared):
     assert fingerprints.likeness(a, b) == fingerprints.likeness(b, a)
 
 
+def tie(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute(rows):
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1]))
     out = []
     for k, (i, t) in enumerate(rows):
         n = rows[(k + 1) % len(rows)][1]
@@ -51,6 +57,15 @@ def test_edge_cases_equal_brute_force(spark):
     assert fingerprints.compare_with_next(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hot", [None, 77, 500])
+def test_one_id_with_most_rows_is_spread(spark, hot):
+    r = random.Random(8)
+    rows = [(hot, f"text {r.randrange(900)}. More of it {i % 7}.") for i in range(1500)] + [(i, f"own {i}. line") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints.compare_with_next(df)
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows)
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = [tuple(r) for r in queries.op5_fingerprints(spark, sf_dir).collect()]

@@ -53,6 +53,20 @@ def test_gradient_equals_differences():
         assert abs(want - flat[i]) < 1e-3
 
 
+def test_scores_equal_the_forward_pass_and_extremes_are_kept():
+    own, r = net(), np.random.default_rng(6)
+    row = np.concatenate([[PAD] * 3, r.integers(0, PAD, 500), [PAD] * 3])
+    at = np.arange(3, 503)
+    assert np.allclose(own.score(row, at, own.near()), own.forward(row, at)[0], atol=1e-4)
+    logits = r.normal(size=(6, 9)).astype(np.float32)
+    logits[2] += 500  # beside it, the other rows' exponentials vanish
+    pick = np.arange(6)
+    chosen, x, norm = masked_lm._exponentials(lambda: logits.copy(), pick)
+    exact = logits.astype(float)
+    assert np.allclose(chosen - np.log(norm), exact[pick, pick] - np.log(np.exp(exact - exact.max(1, keepdims=True)).sum(1)) - exact.max(1), atol=1e-4)
+    assert np.allclose(x / norm[:, None], np.exp(exact - exact.max(1, keepdims=True)) / np.exp(exact - exact.max(1, keepdims=True)).sum(1, keepdims=True), atol=1e-5)
+
+
 def test_neighbours_stop_at_documents():
     ((_, n, h, seat, places),) = masked_lm.sequences(pa.array(["a b", None, "", "c"]))
     assert n == 4 and places.tolist() == [0, 2, 2, 2, 3]
