@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import feeds, geo, roads, text
 from pulsegrid.operators import dispatch, metrics, network, overlay, spatial, tracking
 from pulsegrid.plans import rules, triage
+from pulsegrid.plans.lineage import spread
 from pulsegrid.plans.views import hazards, oracle, table, view
 from pulsegrid.sources import exports
 
@@ -438,14 +439,19 @@ def _masked(sql: str) -> str:
 @query(f"SELECT doc_id, sha256({_masked('text')}) AS masked_sha256, len(regexp_extract_all({_masked('text')}, 'REDACTED')) AS marks FROM documents", plain=True)
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = text.mask_pii(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
 
 
-@query(f"SELECT doc_id, lang, sha256({_masked('text')}) AS masked_sha256, len(regexp_extract_all({_masked('text')}, 'REDACTED')) AS marks FROM documents", plain=True)
+_MARKS = {name: f"[REDACTED-{name.upper()}]" for name in ("ssn", "card", "phone")}
+
+
+@query(f"""WITH m AS (SELECT lang, {_masked('text')} AS t FROM documents) SELECT lang, count(*) AS documents, {", ".join(f"CAST(sum(CASE WHEN t IS NULL THEN 0 ELSE (length(t) - length(replace(t, '{m}', ''))) // {len(m)} END) AS BIGINT) AS {name}" for name, m in _MARKS.items())} FROM m GROUP BY lang""", plain=True)
 def masked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``masked_documents`` over every document, whatever its language or without one."""
-    masked = text.mask_pii(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
+    """What was masked in the documents of each language, by kind."""
+    docs = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", text.mask_pii(F.col("text")).alias("t"))
+    n = lambda m: F.coalesce(F.sum(F.floor((F.length("t") - F.length(F.replace("t", F.lit(m)))) / len(m))), F.lit(0)).cast("long")
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), *[n(m).alias(name) for name, m in _MARKS.items()])
 
 
 _HITS = [f"regexp_matches(l, '{r[0]}')" for r in rules.REPORT_RULES]
@@ -460,12 +466,12 @@ _DOMAIN = "regexp_matches(l, '\\b(" + "|".join(rules.DOMAIN_WORDS) + ")\\b')"
 o AS (SELECT *, CASE WHEN k > 1 THEN 'multiple' WHEN {_DOUBT} THEN 'contradictory' WHEN k = 1 THEN 'matched' WHEN {_DOMAIN} THEN 'general' ELSE 'unsupported' END AS outcome FROM n)
 SELECT request_id, outcome, CASE outcome WHEN 'multiple' THEN {_GRAVEST} WHEN 'contradictory' THEN coalesce(f, 'medical_general') WHEN 'matched' THEN f WHEN 'general' THEN 'medical_general' END AS emergency_type FROM o""")
 def classified_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.classify_reports(view(spark, sf_dir, "reports")).select("request_id", "outcome", "emergency_type")
+    return triage.classify_reports(spread(view(spark, sf_dir, "reports"))).select("request_id", "outcome", "emergency_type")
 
 
 @query()
 def policy_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = triage.directives(view(spark, sf_dir, "reports").select("request_id", "raw_text"))
+    out = triage.directives(spread(view(spark, sf_dir, "reports").select("request_id", "raw_text")))
     needs = F.array_join(F.transform("required", lambda r: F.concat_ws(":", r["apparatus_type"], r["quantity"], r["is_mandatory"].cast("string"))), ",")
     return out.select("request_id", "emergency_type", "effective_urgency", "validation_status", "is_dispatchable", needs.alias("required"), "weighting_profile", "routing_objective", F.array_join("routing_constraints", ",").alias("routing_constraints"), F.array_join("policy_rules", ",").alias("policy_rules"))
 

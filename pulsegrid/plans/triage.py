@@ -247,13 +247,13 @@ def apply_policy(contracts: DataFrame, augment: bool = True) -> DataFrame:
     keyed = F.transform("_needs", lambda r: F.struct((~r["is_mandatory"]).alias("a"), r["apparatus_type"].alias("b"), r.alias("r")))
     required = F.when(valid, F.transform(F.array_sort(keyed), lambda k: k["r"])).otherwise(F.array().cast(REQUIRED))
     flood_types = ["flash_flood", "flood_inundation"]
-    floods = F.exists("identified_hazards", lambda h: F.lower(F.trim(h["hazard_type"])).isin(flood_types))
+    floods = F.size(F.filter("identified_hazards", lambda h: F.lower(F.trim(h["hazard_type"])).isin(flood_types)))
     p = p.withColumn("required", required).withColumn("_floods", floods)
     any_hazard = F.size("identified_hazards") > 0
     constraints = F.concat(
         F.coalesce("_constraints", F.array().cast(STRINGS)),
         F.when(any_hazard, _list([rules.HAZARD_AVOIDING])).otherwise(_list([])),
-        F.when(F.col("_floods"), _list([rules.FLOOD_AVOIDING])).otherwise(_list([])),
+        F.when(F.col("_floods") > 0, _list([rules.FLOOD_AVOIDING])).otherwise(_list([])),
     )
     constraints = F.array_sort(F.array_distinct(constraints))
     p = p.withColumn("routing_constraints", F.when(valid, constraints).otherwise(_list([])))
@@ -269,18 +269,19 @@ def apply_policy(contracts: DataFrame, augment: bool = True) -> DataFrame:
         .otherwise("minimize_distance")
     )
 
-    def augmented(r: Column) -> Column:
-        change = F.when(r["is_mandatory"], "RULE_AUGMENT_QUANTITY_").otherwise("RULE_AUGMENT_TYPE_")
-        return F.concat(change, F.upper(r["apparatus_type"]))
+    def told(a: Column) -> Column:
+        """The rule that a suggested type calls for, if any."""
+        least = F.try_element_at(F.filter(base, lambda b: b["apparatus_type"] == a), F.lit(1))["quantity"]
+        code = F.when(least.isNotNull(), F.when(times(a) > least, "RULE_AUGMENT_QUANTITY_"))
+        code = code.when(F.array_contains("_allowed", a), "RULE_AUGMENT_TYPE_").otherwise("RULE_REJECT_INCOMPATIBLE_")
+        return F.concat(code, F.upper(a))
 
+    # types in the order in which they were first suggested, then a rule for each flood
     applied = F.concat(
         F.array("_raised", "_rule"),
-        F.transform(F.filter("_needs", lambda r: r["source"] == "model_augmented"), augmented),
-        F.transform("_refused", lambda a: F.concat(F.lit("RULE_REJECT_INCOMPATIBLE_"), F.upper(a))),
-        F.array(
-            F.when(any_hazard, "RULE_ENFORCE_HAZARD_AVOIDANCE"),
-            F.when(F.col("_floods"), "RULE_ENFORCE_FLOOD_ZONE_BYPASS"),
-        ),
+        F.transform(F.array_distinct("_suggested"), told),
+        F.array(F.when(any_hazard, "RULE_ENFORCE_HAZARD_AVOIDANCE")),
+        F.array_repeat(F.lit("RULE_ENFORCE_FLOOD_ZONE_BYPASS"), F.col("_floods")),
     )
     applied = F.filter(applied, lambda r: r.isNotNull())
     issues = F.transform("issues", lambda i: i["code"])
