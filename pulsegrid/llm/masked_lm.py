@@ -32,6 +32,8 @@ WINDOW, DIM = 3, 16
 SIDE, SHARED = 64, 8
 #: Learning rate, tokens in a step, weights in one averaged block, and partial means of a block.
 RATE, STEP, BLOCK, LOTS = 0.15, 4096, 8192, 32
+#: Counts of so many tokens go to every task; those of rarer ones are joined.
+COUNTED = 1 << 17
 #: Tokens of a lot, at least, lots of a round, at most, and rounds.
 LOT, MOST_LOTS, ROUNDS = 1 << 19, 1 << 16, 2
 PLACES = [k for k in range(-WINDOW, WINDOW + 1) if k]
@@ -60,21 +62,26 @@ SMALLEST = 1e-25
 
 def _exponentials(logits, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of logits() less a maximum: the picked column of each row, all exponentials, and each row's sum of them."""
-    rows = np.arange(len(pick))
     x = logits()
+    flat = np.arange(len(pick)) * x.shape[1] + pick
     x -= x.max(initial=0)  # one maximum for all rows is cheap
-    chosen = x[rows, pick]
+    chosen = x.reshape(-1).take(flat)
     np.exp(x, out=x)
     norm = x @ np.ones(x.shape[1], x.dtype)
     if len(norm) and norm.min() < SMALLEST:
         x = logits()
         x -= x.max(1, keepdims=True)
-        chosen = x[rows, pick]
+        chosen = x.reshape(-1).take(flat)
         np.exp(x, out=x)
         norm = x.sum(1)
     return chosen, x, norm
 
 
+def _plus(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x += y
+    return x
+
+
 class Network:
     """The weights of ``shapes``, in one flat array."""
 
@@ -105,18 +112,20 @@ class Network:
 
     def score(self, row: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Log probabilities of the tokens at some places of a padded row; ``near`` is that of the weights."""
-        total = near[0][row[at + PLACES[0]]]
+        total = near[0].take(row.take(at + PLACES[0]), 0)
         for table, k in zip(near[1:], PLACES[1:], strict=True):
-            total += table[row[at + k]]
-        return self._read(np.tanh(total + self.parts[2]), row[at])[0]
+            total += table.take(row.take(at + k), 0)
+        total += self.parts[2]
+        return self._read(np.tanh(total, out=total), row.take(at))[0]
 
     def _read(self, hidden: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
         """Log probabilities, joint inputs, classes and members of tokens, and both outputs as (exponentials, their sums)."""
         out, out_bias, inner, last, last_bias = self.parts[3:]
         group, member = token // self.side, token % self.side
-        joint = hidden + inner[group]
+        joint = inner.take(group, 0)
+        joint += hidden
         logs, both = np.zeros(len(token), hidden.dtype), []
-        for logits, pick in ((lambda: hidden @ out + out_bias, group), (lambda: joint @ last + last_bias[group], member)):
+        for logits, pick in ((lambda: _plus(hidden @ out, out_bias), group), (lambda: _plus(joint @ last, last_bias.take(group, 0)), member)):
             chosen, exponentials, norm = _exponentials(logits, pick)
             logs += chosen - np.log(norm)
             both.append((exponentials, norm))
@@ -125,10 +134,13 @@ class Network:
     def forward(self, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Log probabilities of the tokens at some places of a padded row, and what the gradient needs."""
         emb, mix, bias = self.parts[:3]
-        x = emb[row]
-        near = np.concatenate([x[at + k] for k in PLACES], 1)
-        hidden = np.tanh(near @ mix + bias)
-        logs, joint, group, member, both = self._read(hidden, row[at])
+        x = emb.take(row, 0)
+        near = np.empty((len(at), len(PLACES) * DIM), x.dtype)
+        for i, k in enumerate(PLACES):
+            near[:, i * DIM : (i + 1) * DIM] = x.take(at + k, 0)
+        hidden = _plus(near @ mix, bias)
+        np.tanh(hidden, out=hidden)
+        logs, joint, group, member, both = self._read(hidden, row.take(at))
         return logs, (near, hidden, joint, group, member, both)
 
     def learn(self, row: np.ndarray, at: np.ndarray, past: Network) -> None:
@@ -142,11 +154,11 @@ class Network:
         mix, out, last = self.parts[1], self.parts[3], self.parts[6]
         to_joint = of_member @ last.T
         to_total = (of_class @ out.T + to_joint) * (1 - hidden * hidden)
-        to_near = np.zeros((len(row), len(PLACES) * DIM), near.dtype)
-        to_near[at] = to_total @ mix.T
+        spaced = np.zeros((len(row), DIM), near.dtype)
+        spaced[at] = to_total
         to_x = np.zeros((len(row), DIM), near.dtype)
         for i, k in enumerate(PLACES):  # seats are WINDOW away from either end
-            own = to_near[:, i * DIM : (i + 1) * DIM]
+            own = spaced @ mix[i * DIM : (i + 1) * DIM].T
             to_x[max(k, 0) : len(row) + min(k, 0)] += own[max(-k, 0) : len(row) - max(k, 0)]
         for i, grad in ((1, near.T @ to_total), (2, to_total.sum(0)), (3, hidden.T @ of_class), (4, of_class.sum(0)), (6, joint.T @ of_member)):
             self._step(i, slice(None), grad, past)
@@ -159,16 +171,19 @@ class Network:
         self.parts[i][at] -= RATE * grad / (np.sqrt(past.parts[i][at]) + 1e-6)
 
     def _sparse(self, ids: np.ndarray, grads: tuple[tuple[int, np.ndarray], ...], past: Network) -> None:
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16) if self.pad < 1 << 16 else ids, kind="stable")  # short numbers sort by digits
         own = ids[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         for i, grad in grads:
-            self._step(i, own[first], np.add.reduceat(grad[order], first), past)
+            self._step(i, own[first], np.add.reduceat(grad.take(order, 0), first), past)
 
 
 @dataclass
 class Model:
-    """Hashes of the tokens with ids of their own (sorted) and their ids, each shared id's (count, distinct tokens), the token table, and weights."""
+    """Hashes of the tokens with ids of their own (sorted) and their ids, each shared id's (count, distinct tokens), the token table, and weights.
+
+    counted: hashes of the COUNTED most frequent tokens (sorted) and the logarithms of their counts plus one.
+    """
 
     known: np.ndarray
     ids: np.ndarray
@@ -177,6 +192,7 @@ class Model:
     weights: np.ndarray
     side: int
     tokens: int
+    counted: tuple[np.ndarray, np.ndarray]
 
     def mapping(self) -> tuple[np.ndarray, np.ndarray, int]:
         return self.known, self.ids, self.side
@@ -275,17 +291,21 @@ def vocabulary(docs: DataFrame) -> Model:
     tokens = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     side = side_for(tokens)
     own, bins = own_ids(side), side * side // SHARED
-    top = table.orderBy(F.desc("n"), "token").limit(own).collect()  # a network's ids at most
+    first = table.orderBy(F.desc("n"), "token").limit(max(own, COUNTED)).toPandas()  # two numbers of COUNTED tokens at most
+    hashes, times = first["token"].to_numpy(np.int64), first["n"].to_numpy(np.int64)
     counts, of_bin = np.zeros(side * side), np.zeros((bins, 2))
-    counts[: len(top)] = [r["n"] for r in top]
+    top = min(own, len(hashes))
+    counts[:top] = times[:top]
     if top:
-        rare = (F.col("n") < top[-1]["n"]) | ((F.col("n") == top[-1]["n"]) & (F.col("token") > top[-1]["token"]))
+        least, last = int(times[top - 1]), int(hashes[top - 1])
+        rare = (F.col("n") < least) | ((F.col("n") == least) & (F.col("token") > last))
         for b, n, distinct in table.where(rare).groupBy(F.col("token").bitwiseAND(bins - 1)).agg(F.sum("n"), F.count("*")).collect():  # a row for each shared id at most
             of_bin[b] = n, distinct
     counts[own:] = of_bin[:, 0]
-    order = np.argsort([r["token"] for r in top]).astype(np.int64)
-    known = np.array([r["token"] for r in top], np.int64)[order]
-    return Model(known, order, of_bin, table, Network.start(counts).flat, side, tokens)
+    ids = np.argsort(hashes[:top])
+    order = np.argsort(hashes)
+    counted = hashes[order], np.log(times[order] + 1.0)
+    return Model(hashes[:top][ids], ids.astype(np.int64), of_bin, table, Network.start(counts).flat, side, tokens, counted)
 
 
 def lots_of(tokens: int, rounds: int) -> int:
@@ -358,10 +378,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Of a shared id with N counts and D distinct tokens, a token seen n times has the share (n + 1) / (N + D + 1), which
     leaves one part for tokens never seen.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping(), np.log(model.bins.sum(1) + 1)))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.mapping(), np.log(model.bins.sum(1) + 1), model.counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, mapping, norms = shared.value
+        weights, mapping, norms, (frequent, log_counts) = shared.value
         net, own_from = Network(weights, mapping[2]), own_ids(mapping[2])
         near = net.near()
         for batch in batches:
@@ -369,6 +389,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 ids, rare = numbered(h, mapping)
                 logs = np.concatenate([np.zeros(0), *[net.score(row, at, near) for row, at in steps(ids, seat, STEP, net.pad)]])
                 logs[rare] -= norms[ids[rare] - own_from]
+                if len(frequent):
+                    place = np.flatnonzero(rare)
+                    at = np.minimum(np.searchsorted(frequent, h[place].view(np.int64)), len(frequent) - 1)
+                    found = frequent[at] == h[place].view(np.int64)
+                    logs[place[found]] += log_counts[at[found]]
+                    rare[place[found]] = False  # the rest is joined from the table
                 sums = np.append(0.0, np.cumsum(logs, dtype=np.float64))
                 own = np.repeat(np.arange(k), np.diff(places))
                 tokens, times = _lists(own[rare], h[rare], k)
