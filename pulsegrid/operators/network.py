@@ -84,8 +84,11 @@ def _relax(edges: DataFrame, seeds: DataFrame, max_cost: float | None, k: int |
     return state.select("node", "origin", "cost", "metres", "pred")
 
 
-def _settle(max_cost: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """One block's round for some origins: Dijkstra from the labels that arrived, improved labels inside and just outside."""
+def _settle(max_cost: float | None, changes: bool = False) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """One block's round for some origins: Dijkstra from the labels that arrived, labels inside and improved ones just outside.
+
+    With ``changes`` only those inside are told that arrived or improved.
+    """
     columns = ["block", "origin", "node", "cost", "metres", "pred", "fresh", "kind"]
 
     def run(labels: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
@@ -116,13 +119,76 @@ def _settle(max_cost: float | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd
                     elif dst not in best or new < best[dst][:2]:
                         best[dst] = (*new, 1, node)
                         heapq.heappush(heap, (*new, dst, node))
-            rows += [(block, origin, n, c, m, p or None, 0, kind) for n, (c, m, _, p) in best.items()]
+            rows += [(block, origin, n, c, m, p or None, 0, kind) for n, (c, m, fresh, p) in best.items() if fresh or not changes]
             rows += [(b, origin, n, c, m, p, 1, kind) for n, (c, m, p, b) in outside.items()]
         return pd.DataFrame(rows, columns=columns)
 
     return run
 
 
+_LABEL = "block long, origin string, node string, cost double, metres double, pred string, fresh int, kind string"
+#: Parts of a label log that are merged to one when there are more.
+PARTS = 12
+
+
+def _road_blocks(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """(block, src, dst, step, step_m, dst_block) of the roads whose ends have blocks."""
+    both = (
+        _roads(edges)
+        .join(at.select(F.col("node").alias("src"), "block"), "src")
+        .join(at.select(F.col("node").alias("dst"), F.col("block").alias("dst_block")), "dst")
+    )
+    return cut(both.select("block", "src", "dst", "step", "step_m", "dst_block"))
+
+
+def _whole(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _relax_log(edges: DataFrame, seeds: DataFrame, blocks: DataFrame, max_cost: float | None) -> DataFrame:
+    """The labels of ``_relax_blocks`` without a limit, kept as a log: a round writes what it changed, and nothing else.
+
+    Labels that arrive at a block are compared with those that the log has for that block and origin. What is better
+    is settled together with them, changed labels are appended, and those that leave the block are the next round's.
+    The log is merged once at the end, and where it has more than PARTS parts.
+    """
+    at = blocks.select("node", F.col("block").cast("long").alias("block"))
+    roads = _road_blocks(edges, at)
+    lots = max(1, ceil(seeds.select("origin").distinct().count() / ORIGINS))
+    lot = F.pmod(F.xxhash64("origin"), F.lit(lots))
+    kind = F.col("kind") if "kind" in seeds.columns else F.lit("")
+    best = F.min(F.struct(*_LEAST, "block", "kind")).alias("b")
+    names = [c.split()[0] for c in _LABEL.split(", ")]
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("origin", "node").agg(best).select("origin", "node", "b.*").select(*names)
+
+    zero = F.lit(0.0)
+    first = seeds.join(at, "node").select(
+        "block", "origin", "node", F.col("cost").cast("double").alias("cost"), zero.alias("metres"), F.lit(None).cast("string").alias("pred"), F.lit(1).alias("fresh"), kind.alias("kind")
+    )
+    arrived, log = cut(least(first)), [cut(first.limit(0))]
+    while not arrived.isEmpty():
+        known = least(_whole(log).join(arrived.select("block", "origin").distinct(), ["block", "origin"], "left_semi"))
+        old = known.select("origin", "node", F.col("cost").alias("old_cost"), F.col("metres").alias("old_metres"))
+        better = F.col("old_cost").isNull() | (F.struct("cost", "metres") < F.struct("old_cost", "old_metres"))
+        fresh = cut(arrived.join(old, ["origin", "node"], "left").where(better).select(*names))
+        groups = fresh.select("block", "origin").distinct()
+        held = known.join(groups, ["block", "origin"], "left_semi").withColumn("fresh", F.lit(0)).select(*names)
+        busy = least(held.unionByName(fresh)).withColumn("lot", lot)
+        ways = roads.join(fresh.select("block", lot.alias("of_lot")).distinct(), "block")
+        pairs = busy.groupBy("block", "lot").cogroup(ways.groupBy("block", "of_lot"))
+        told = cut(pairs.applyInPandas(_settle(max_cost, changes=True), _LABEL))
+        log.append(told.where("fresh = 0"))
+        if len(log) > PARTS:
+            log = [cut(least(_whole(log)))]
+        arrived = cut(least(told.where("fresh = 1")))
+    return cut(least(_whole(log))).select("node", "origin", "cost", "metres", "pred")
+
+
 def _relax_blocks(
     edges: DataFrame, seeds: DataFrame, blocks: DataFrame, max_cost: float | None, k: int | None = None
 ) -> DataFrame:
@@ -130,14 +196,10 @@ def _relax_blocks(
 
     A group settles one block for about ORIGINS origins, however many reach it.
     """
-    schema = "block long, origin string, node string, cost double, metres double, pred string, fresh int, kind string"
+    if k is None:
+        return _relax_log(edges, seeds, blocks, max_cost)
     at = blocks.select("node", F.col("block").cast("long").alias("block"))
-    roads = (
-        _roads(edges)
-        .join(at.select(F.col("node").alias("src"), "block"), "src")
-        .join(at.select(F.col("node").alias("dst"), F.col("block").alias("dst_block")), "dst")
-    )
-    roads = cut(roads.select("block", "src", "dst", "step", "step_m", "dst_block"))
+    roads = _road_blocks(edges, at)
     lots = max(1, ceil(seeds.select("origin").distinct().count() / ORIGINS))
     lot = F.pmod(F.xxhash64("origin"), F.lit(lots)).alias("lot")
     kind = F.col("kind") if "kind" in seeds.columns else F.lit("")
@@ -163,7 +225,7 @@ def _relax_blocks(
         groups = busy.select("block", F.col("lot").alias("of_lot")).distinct()
         ways = roads.join(groups, "block").groupBy("block", "of_lot")
         busy = busy.groupBy("block", "lot")
-        state = still.unionByName(busy.cogroup(ways).applyInPandas(_settle(max_cost), schema))
+        state = still.unionByName(busy.cogroup(ways).applyInPandas(_settle(max_cost), _LABEL))
 
 
 def nearest_labels(edges: DataFrame, origins: DataFrame, k: int, blocks: DataFrame | None = None) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import feeds as feed_words
 from pulsegrid.functions import geo
 from pulsegrid.operators import metrics, network, overlay, spatial, tracking
-from pulsegrid.plans.lineage import shared_folder
+from pulsegrid.plans.lineage import cut, shared_folder
 from pulsegrid.plans.more_queries import _PATH_SQL, _drained, _event_stream, _paths
 from pulsegrid.plans.queries import SQL, _apart, _at, query
 from pulsegrid.plans.views import hazards, table, view
@@ -82,12 +82,10 @@ def extract_roads_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extract(maps.read_osm_xml(spark, _osm_xml(spark, sf_dir))[1])
 
 
-@query(f"WITH {_WAYS}, used AS (SELECT src AS k FROM steps UNION SELECT dst FROM steps) SELECT node_id, lon, lat FROM nodes WHERE k IN (SELECT k FROM used)")
+@query("SELECT node_id, lon, lat FROM nodes WHERE CAST(floor(k / 50) AS BIGINT) % 7 <> 5 AND CAST(floor(k / 50) AS BIGINT) % 11 <> 6")
 def extract_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes at the ends of kept roads; a row of one node has a way without steps, so its node is left out here."""
-    nodes, edges = maps.read_osm_json(spark, _osm_json(spark, sf_dir))
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    return nodes.join(ends, "node_id", "left_semi").select("node_id", "lon", "lat")
+    """The nodes of kept ways alone; those of footways and private ways are orphans."""
+    return maps.read_osm_json(spark, _osm_json(spark, sf_dir))[0].select("node_id", "lon", "lat")
 
 
 @query(f"""SELECT e.src, e.dst, round(CASE WHEN e.cost > 9 THEN e.cost ELSE {_apart('a', 'b')} END, 4) AS cost FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst""")
@@ -271,14 +269,26 @@ def scenario_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("scenario", F.size("d.incidents").cast("long").alias("incidents"), F.size("d.vehicles").cast("long").alias("vehicles"), F.col("d.summary.total").alias("total"))
 
 
-@query("""SELECT 'network' AS layer, (SELECT count(*) FROM nodes) + (SELECT count(*) FROM edges) AS n UNION ALL SELECT 'hazards', count(*) FROM boxes UNION ALL SELECT 'incidents', count(*) FROM points
-UNION ALL SELECT 'stations', count(*) FROM units JOIN nodes ON node_id = current_node_id WHERE unit_id LIKE '%a' UNION ALL SELECT 'trajectories', count(DISTINCT k % 9) FROM nodes""")
+@query("""SELECT 'network' AS layer, node_id AS id, 1 AS points, lon, lat FROM nodes
+UNION ALL SELECT 'network', CONCAT(src, '>', dst), 2, y.lon, y.lat FROM edges JOIN nodes y ON y.node_id = dst
+UNION ALL SELECT 'hazards', hazard_id, 5, x0, y0 FROM boxes UNION ALL SELECT 'incidents', point_id, 1, lon, lat FROM points
+UNION ALL SELECT 'stations', station_id, 1, lon, lat FROM units JOIN nodes ON node_id = current_node_id WHERE unit_id LIKE '%a'
+UNION ALL SELECT 'trajectories', CAST(k % 9 AS STRING), CAST(count(*) AS INT), arg_max(lon, k), arg_max(lat, k) FROM nodes GROUP BY k % 9""")
 def replay_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature of a replay read back: its layer, its id, its points and the last of them."""
     nodes, edges, units, points = _at(spark, sf_dir, "nodes", "edges", "units", "points")
     stations = units.where("unit_id LIKE '%a'").selectExpr("station_id", "current_node_id AS node_id", "station_id AS name", "'fire_station' AS station_type")
     incidents = points.selectExpr("point_id AS incident_id", "'fire' AS emergency_type", "'other' AS urgency", "lon", "lat")
     tracks = nodes.selectExpr("CAST(k % 9 AS STRING) AS unit_id", "CAST(k AS DOUBLE) AS tick_s", "lon", "lat")
-    return exports.replay_features(nodes, edges, stations, incidents, hazards(spark, sf_dir), tracks).groupBy("layer").agg(F.count("*").alias("n"))
+    made = exports.replay_features(nodes, edges, stations, incidents, hazards(spark, sf_dir), tracks)
+    names = ("node_id", "source", "destination", "hazard_id", "incident_id", "station_id", "unit_id")
+    read = f"geometry struct<type:string,coordinates:string>, properties struct<{','.join(n + ':string' for n in names)}>"
+    f = made.withColumn("f", F.from_json("feature", read)).select("layer", "f.geometry.*", "f.properties.*")
+    parsed = lambda depth: F.from_json("coordinates", "array<" * depth + "double" + ">" * depth)
+    line = F.when(F.col("type") == "Point", F.array(parsed(1))).when(F.col("type") == "LineString", parsed(2)).otherwise(F.element_at(parsed(3), 1))
+    known = F.coalesce("node_id", "hazard_id", "incident_id", "station_id", "unit_id", F.concat_ws(">", "source", "destination"))
+    end = F.element_at("line", -1)
+    return f.withColumn("line", line).select("layer", known.alias("id"), F.size("line").alias("points"), end[0].alias("lon"), end[1].alias("lat"))
 
 
 # --- changes, checks and logs
@@ -309,20 +319,34 @@ def coordinate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", geo.valid_wgs84(F.col("value"), F.col("y")).alias("valid"), geo.guess_lon_lat(F.col("value"), F.col("y")).alias("g")).select("event_id", "valid", "g.*")
 
 
-@query("""SELECT k, CAST(floor((lon + 180.0) / 360.0 * 4096) AS INT) AS x0, CAST((floor((lon + 0.1 + 180.0) / 360.0 * 4096) - floor((lon + 180.0) / 360.0 * 4096) + 1) AS BIGINT) AS columns, round(floor((lon + 180.0) / 360.0 * 4096) / 4096 * 360.0 - 180.0, 9) AS corner_lon FROM nodes""")
+_TILE_Y = "floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * 4096)"
+
+
+@query(f"""WITH t AS (SELECT k, floor((lon + 180.0) / 360.0 * 4096) AS x0, floor((lon + 0.1 + 180.0) / 360.0 * 4096) AS x1, {_TILE_Y.format(lat="(lat + 0.07)")} AS y0, {_TILE_Y.format(lat="lat")} AS y1 FROM nodes)
+SELECT k, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 - x0 + 1 AS BIGINT) AS columns, CAST(y1 - y0 + 1 AS BIGINT) AS rows, CAST((x1 - x0 + 1) * (y1 - y0 + 1) AS BIGINT) AS tiles, round(x0 / 4096 * 360.0 - 180.0, 9) AS corner_lon,
+round(degrees(atan(sinh(pi() * (1 - 2 * y0 / 4096)))), 9) AS corner_lat FROM t""")
 def covered_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles at zoom 12 of a box a tenth of a degree wide and of no height east of every node, its corners given swapped."""
+    """Tiles at zoom 12 of a box a tenth of a degree wide, north-east of every node, its corners given swapped."""
     zoom, tiles = F.lit(12), F.col("t")
-    t = view(spark, sf_dir, "nodes").withColumn("t", geo.covering_tiles(F.col("lon") + 0.1, F.col("lat"), F.col("lon"), F.col("lat"), zoom))
-    return t.select("k", tiles[0]["x"].alias("x0"), F.size("t").cast("long").alias("columns"), F.round(geo.tile_corner(tiles[0]["x"], tiles[0]["y"], zoom)["lon"], 9).alias("corner_lon"))
+    t = view(spark, sf_dir, "nodes").withColumn("t", geo.covering_tiles(F.col("lon") + 0.1, F.col("lat"), F.col("lon"), F.col("lat") + 0.07, zoom))
+    several = lambda c: F.size(F.array_distinct(F.transform(tiles, lambda x: x[c]))).cast("long")
+    low = F.array_min(F.transform(tiles, lambda x: x["y"]))
+    corner = geo.tile_corner(tiles[0]["x"], low, zoom)
+    return t.select(
+        "k", tiles[0]["x"].alias("x0"), low.alias("y0"), several("x").alias("columns"), several("y").alias("rows"), F.size("t").cast("long").alias("tiles"),
+        F.round(corner["lon"], 9).alias("corner_lon"), F.round(corner["lat"], 9).alias("corner_lat"),
+    )
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, priority, seq) AS place FROM log l WHERE NOT EXISTS (SELECT 1 FROM log c WHERE c.event_id = l.event_id AND c.event_type = 'unit_cleared')")
 def log_without_cancelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered log; places are counted from the partitions that ordering leaves, each a range."""
+    """The ordered log; places are counted within the ranges that ordering leaves, and run on over them."""
     log = view(spark, sf_dir, "log")
     ordered = tracking.ordered_log(log, log.where("event_type = 'unit_cleared'").select("event_id"))
-    ranged = ordered.select("event_id", F.monotonically_increasing_id().alias("at")).withColumn("part", F.shiftright("at", 33)).withColumn("own", F.col("at").bitwiseAND((1 << 33) - 1))
+    # sorted once and written; row ids rise within a partition, and partitions are ranges
+    ranged = cut(ordered.select("event_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    first = Window.partitionBy("part")
+    ranged = ranged.withColumn("own", F.col("at") - F.min("at").over(first))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     return ranged.join(F.broadcast(before), "part").select("event_id", (F.col("own") + F.col("before") + 1).alias("place"))

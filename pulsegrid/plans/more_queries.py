@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import geo, text
 from pulsegrid.operators import dispatch, network, overlay, spatial, tracking
 from pulsegrid.plans.lineage import shared_folder
-from pulsegrid.plans.queries import _LATEST_SQL, NOW, _apart, _at, _blocks, query
+from pulsegrid.plans.queries import _LATEST_SQL, NOW, SQL, _apart, _at, _blocks, query
 from pulsegrid.plans.views import table, view
 from pulsegrid.sources import feeds as feed_sources
 from pulsegrid.streaming import live
@@ -245,13 +245,16 @@ def alert_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STAGE = "CASE WHEN value >= 40 THEN 'major' WHEN value >= 20 THEN 'moderate' WHEN value >= 10 THEN 'minor' ELSE 'normal' END"
+_RADIUS = f"CAST(CASE {_STAGE} WHEN 'major' THEN 1000 WHEN 'moderate' THEN 500 WHEN 'minor' THEN 250 ELSE 100 END AS DOUBLE)"
 
 
 @query(f"""SELECT CONCAT('flood_', CAST(event_id AS STRING)) AS hazard_id, CASE {_STAGE} WHEN 'major' THEN 'critical_blocked' WHEN 'moderate' THEN 'severe' WHEN 'minor' THEN 'moderate' ELSE 'low' END AS severity,
-CAST(CASE {_STAGE} WHEN 'major' THEN 0 WHEN 'moderate' THEN 0.2 WHEN 'minor' THEN 0.5 ELSE 0.75 END AS DOUBLE) AS speed_multiplier, 12 AS vertices FROM events""", plain=True)
+CAST(CASE {_STAGE} WHEN 'major' THEN 0 WHEN 'moderate' THEN 0.2 WHEN 'minor' THEN 0.5 ELSE 0.75 END AS DOUBLE) AS speed_multiplier, 12 AS vertices,
+round(-122.0 + {_RADIUS} / (111320.0 * cos(radians(47.5))), 9) AS east, round(47.5 + {_RADIUS} / 111320.0, 9) AS north, round(47.5 - {_RADIUS} / 111320.0, 9) AS south FROM events""", plain=True)
 def gauge_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     gauges = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("site_id"), F.lit("river").alias("site_name"), F.lit(-122.0).alias("lon"), F.lit(47.5).alias("lat"), "ts", F.expr(_STAGE).alias("flood_stage"))
-    return feed_sources.gauges_to_hazards(gauges).select("hazard_id", "severity", "speed_multiplier", F.size("ring").alias("vertices"))
+    ends = [F.round(F.col("ring")[i][c], 9).alias(name) for i, c, name in ((0, "lon", "east"), (3, "lat", "north"), (9, "lat", "south"))]
+    return feed_sources.gauges_to_hazards(gauges).select("hazard_id", "severity", "speed_multiplier", F.size("ring").alias("vertices"), *ends)
 
 
 # --- text
@@ -295,8 +298,11 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, live.deduplicated(e)).select("event_id")
 
 
-@query("""SELECT request_id, CASE WHEN regexp_matches(raw_text, 'Lovely') AND event_type NOT IN ('purchase') THEN false ELSE true END AS read FROM reports""")
+@query()
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = view(spark, sf_dir, "reports").select("event_id", "request_id", "raw_text")
     arriving = _event_stream(spark, sf_dir).select("event_id").join(words, "event_id").select("request_id", "raw_text")
-    return _drained(spark, live.intake(arriving).select("request_id", "outcome")).select("request_id", (~F.col("outcome").isin("refused", "unsupported")).alias("read"))
+    return _drained(spark, live.intake(arriving).select("request_id", "outcome", "emergency_type"))
+
+
+SQL["stream_intake"] = SQL["classified_reports"]

@@ -181,3 +181,26 @@ def test_read_then_route(spark, tmp_path):
     _, edges = maps.read_osm_json(spark, put(tmp_path / "m.json", OSM))
     found = shortest_paths(edges, spark.createDataFrame([("1",)], "source string")).collect()
     assert {r.node for r in found} == {"1", "2", "3", "4"}
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.json").write_bytes(b'{"x": 1}')
+    (tmp_path / "b.bin").write_bytes(bytes(range(256)) * 100)
+    out = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in exports.file_digests(spark, str(tmp_path)).collect()}
+    assert out == {f.name: hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.iterdir() if f.suffix in (".json", ".bin")}
+
+
+def test_faulty_elements_spoil_themselves_alone(spark, tmp_path):
+    elements = [
+        '"text"', '{"id": 1}', '{"type": "node", "lat": 1, "lon": 2}', '{"type": "node", "id": 2, "lat": "x", "lon": 2}', '{"type": "node", "id": 3, "lat": 1}',
+        '{"type": "way", "id": 4}', '{"type": "node", "id": 5, "lat": 1.0, "lon": 2.0}', '{"type": "node", "id": 6, "lat": 1.0, "lon": 2.001}',
+        '{"type": "way", "id": 7, "nodes": [5, 6], "tags": {"highway": "residential"}}', '{"type": "node", "id": 8, "lat": 1, "lon": 2, "tags": "none"}',
+    ]
+    (tmp_path / "d.json").write_text('{"elements": [' + ",\n".join(elements) + "]}")
+    rows = maps.osm_elements(spark, str(tmp_path))
+    told = sorted((r.code, r.record) for r in maps.osm_rejects(rows).collect())
+    assert told == [("invalid_coordinates", "node/2"), ("malformed_record", ""), ("malformed_record", "1"), ("missing_coordinates", "node/3"), ("missing_id", "node"), ("missing_nodes", "way/4")]
+    nodes, edges = maps.osm_network(rows)
+    assert sorted(r.node_id for r in nodes.collect()) == ["5", "6"] and edges.count() == 2
