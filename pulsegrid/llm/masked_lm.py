@@ -284,6 +284,34 @@ def fit(column: pa.Array, net: Network, past: Network, mapping: tuple[np.ndarray
     return total
 
 
+#: Counts up to here are bins of their own when the most frequent tokens are looked for; larger ones share 64 bins an octave.
+EXACT = 4096
+
+
+def most_frequent(table: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of ``table`` (token, n) of the largest n, ties by token, found by a histogram of n.
+
+    Only tokens that can be among them are sorted, so what tasks send on does not grow with their number: of the tokens
+    of the last bin, if that holds many of one count, only those with small hashes.
+    """
+    n = F.col("n")
+    of = F.when(n <= EXACT, n).otherwise(EXACT + 1 + F.floor(F.log2(n / EXACT) * 64)).cast("long")
+    sizes = dict(table.groupBy(of.alias("bin")).count().collect())  # some EXACT + 64 * 50 rows at most
+    above = 0
+    for last in sorted(sizes, reverse=True):
+        if above + sizes[last] >= k:
+            break
+        above += sizes[last]
+    else:
+        return table
+    wanted = of >= last
+    need = k - above
+    share = (2 * need + 1000) / sizes[last]
+    if last <= EXACT and share < 0.5:
+        wanted = (of > last) | ((of == last) & (F.col("token") < -(1 << 63) + int(share * (1 << 64))))
+    return table.where(wanted).orderBy(F.desc("n"), "token").limit(k)
+
+
 def vocabulary(docs: DataFrame) -> Model:
     """The token table of the texts of ``docs``, ids for the most frequent tokens, and a network that knows the counts alone."""
     texts = spread(docs.select(F.col("text").cast("string").alias("text")))
@@ -291,7 +319,8 @@ def vocabulary(docs: DataFrame) -> Model:
     tokens = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     side = side_for(tokens)
     own, bins = own_ids(side), side * side // SHARED
-    first = table.orderBy(F.desc("n"), "token").limit(max(own, COUNTED)).toPandas()  # two numbers of COUNTED tokens at most
+    first = most_frequent(table, max(own, COUNTED)).toPandas()  # two numbers of COUNTED tokens at most
+    first = first.sort_values(["n", "token"], ascending=[False, True])
     hashes, times = first["token"].to_numpy(np.int64), first["n"].to_numpy(np.int64)
     counts, of_bin = np.zeros(side * side), np.zeros((bins, 2))
     top = min(own, len(hashes))

@@ -275,8 +275,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), wid
     Null, empty and blank texts have an empty set and link with nothing. Rows with a null doc_id have a
     null component_id, link with nothing and are kept. Rows repeated with one doc_id and text get the
     same result; a doc_id with several texts gets a result for each, and its texts link apart. With
-    ``text_key`` the rows also have the xxhash64 of their text. Other columns of ``docs`` are not read,
-    and an empty table gives an empty one.
+    ``text_key`` the rows also have the xxhash64 of their text. Texts may be as long as a row can be: they are read in
+    pieces. Other columns of ``docs`` are not read, and an empty table gives an empty one.
+
+    Buckets above ``block`` documents go to the verification whole, where posterior bounds prune pairs block by block.
     """
     spark = docs.sparkSession
     n_bands = bands_needed(threshold[0] / threshold[1], miss)

@@ -141,8 +141,9 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, k: int | None =
 
     ``labels`` has doc_id and quality (1 is good); about ``n_labels`` of them, drawn by a hash of doc_id, are
     used, half to fit and half to calibrate; of a doc_id with several labels or rows the least counts. ``k`` documents are drawn; by default as many as weigh at least the calibrated cut. Rows
-    that tie with the k-th (repeated rows do) are drawn too. Null and empty texts weigh 0. Without labels
-    all are drawn. Other columns are not read.
+    that tie with the k-th (repeated rows do) are drawn too. Null and empty texts weigh 0, and texts may be as long as
+    a row can be: they are read in pieces. Without labels all are drawn, and an empty table gives an empty one. Other
+    columns are not read.
     """
     _, least, marks = _selection(docs, labels, seed, k, n_labels)
     return marks.withColumn("selected", F.col("gumbel_key") >= least)

@@ -177,3 +177,13 @@ def test_edge_cases(spark):
     assert out[0][1:] == out[5][1:] and out[None].n_tokens == 2 and out[4].n_tokens == 50_000
     assert masked_lm.pseudo_likelihood(df.limit(0)).collect() == []
     assert len(masked_lm.pseudo_likelihood(df.union(df)).collect()) == 14
+
+
+def test_most_frequent_tokens_by_histogram(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(h), int(n)) for h, n in zip(r.integers(-(1 << 63), 1 << 63, 30_000), r.choice([1, 1, 1, 1, 2, 3, 50, 5000, 5001, 1 << 40], 30_000), strict=True)]
+    table = spark.createDataFrame(rows, "token long, n long")
+    ranked = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for k in (1, 500, 5_000, 13_000, 18_500, 40_000):  # 18,500: a few of many tokens of one count
+        assert sorted(map(tuple, masked_lm.most_frequent(table, k).collect())) == sorted(ranked[:k])
+    assert masked_lm.most_frequent(table.limit(0), 5).collect() == []
