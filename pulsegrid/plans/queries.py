@@ -443,11 +443,19 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
 
 
+@query(f"SELECT doc_id, lang, sha256({_masked('text')}) AS masked_sha256, len(regexp_extract_all({_masked('text')}, 'REDACTED')) AS marks FROM documents", plain=True)
+def masked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``masked_documents`` over every document, whatever its language or without one."""
+    masked = text.mask_pii(F.col("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return docs.select("doc_id", "lang", F.sha2(masked, 256).alias("masked_sha256"), F.regexp_count(masked, F.lit("REDACTED")).cast("long").alias("marks"))
+
+
 _MARKS = {name: f"[REDACTED-{name.upper()}]" for name in ("ssn", "card", "phone")}
 
 
 @query(f"""WITH m AS (SELECT lang, {_masked('text')} AS t FROM documents) SELECT lang, count(*) AS documents, {", ".join(f"CAST(sum(CASE WHEN t IS NULL THEN 0 ELSE (length(t) - length(replace(t, '{m}', ''))) // {len(m)} END) AS BIGINT) AS {name}" for name, m in _MARKS.items())} FROM m GROUP BY lang""", plain=True)
-def masked_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def masks_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was masked in the documents of each language, by kind."""
     docs = spread(table(spark, sf_dir, "documents").select("lang", "text")).select("lang", text.mask_pii(F.col("text")).alias("t"))
     n = lambda m: F.coalesce(F.sum(F.floor((F.length("t") - F.length(F.replace("t", F.lit(m)))) / len(m))), F.lit(0)).cast("long")
