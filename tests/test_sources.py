@@ -204,3 +204,11 @@ def test_faulty_elements_spoil_themselves_alone(spark, tmp_path):
     assert told == [("invalid_coordinates", "node/2"), ("malformed_record", ""), ("malformed_record", "1"), ("missing_coordinates", "node/3"), ("missing_id", "node"), ("missing_nodes", "way/4")]
     nodes, edges = maps.osm_network(rows)
     assert sorted(r.node_id for r in nodes.collect()) == ["5", "6"] and edges.count() == 2
+
+
+def test_documents_in_other_encodings(spark, tmp_path):
+    text = json.dumps({"elements": [{"type": "node", "id": 7, "lat": 1.5, "lon": 2.5, "tags": {"name": "Café"}}]}, ensure_ascii=False)
+    for name in ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "utf-32"):
+        (tmp_path / f"{name}.json").write_bytes(text.encode(name))
+    out = maps.osm_elements(spark, str(tmp_path)).collect()
+    assert [(r.id, r.lat, r.tags["name"]) for r in out] == [(7, 1.5, "Café")] * 6
